@@ -43,3 +43,71 @@ def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     )
     stats = quality_statistics(readings)
     return readings.select("id", "pdf_stem", "page_num").join(stats, "id").join(stored, ["pdf_stem", "page_num"], "left")
+
+
+# ---- 4: splitting ----------------------------------------------------------------
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """At which level each over-long reading can be cut."""
+    from pagewright.llm.split import split_items
+
+    return split_items(table(spark, folder, "pdf_page_readings", "id", "text")).select("id", "cut").distinct()
+
+
+ORACLE["p4_found"] = r"""
+WITH t AS (SELECT DISTINCT id, text FROM pdf_page_readings WHERE length(text) > 800),
+paragraphs AS (SELECT id, max(length(trim(u, chr(10)))) AS m FROM (SELECT id, unnest(string_split(regexp_replace(chr(10) || text || chr(10), '\n[ \t]*\n(?:[ \t]*\n)*', chr(1), 'g'), chr(1))) AS u FROM t) GROUP BY id),
+lines AS (SELECT id, unnest(string_split(text, chr(10))) AS u FROM t),
+line_max AS (SELECT id, max(length(u)) AS m FROM lines GROUP BY id),
+sentence_max AS (SELECT id, max(length(s)) AS m FROM (SELECT id, unnest(string_split(regexp_replace(u, '([.!?])[ \t]+', '\1' || chr(1), 'g'), chr(1))) AS s FROM lines) GROUP BY id),
+word_max AS (SELECT id, max(length(w)) AS m FROM (SELECT id, unnest(regexp_split_to_array(text, '[ \t\n]+')) AS w FROM t) GROUP BY id)
+SELECT t.id, CASE WHEN p.m <= 800 THEN 'paragraph' WHEN l.m <= 800 THEN 'line' WHEN s.m <= 800 THEN 'sentence' WHEN w.m <= 800 THEN 'word' ELSE 'none' END AS cut
+FROM t JOIN paragraphs p USING (id) JOIN line_max l USING (id) JOIN sentence_max s USING (id) JOIN word_max w USING (id)
+"""
+
+
+@query
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every over-long reading, with their text."""
+    from pagewright.llm.split import split_items
+
+    readings = table(spark, folder, "pdf_page_readings", "id", "text")
+    cut = split_items(readings).select("id", F.posexplode("pieces").alias("piece", "p"))
+    return cut.join(readings, "id").select("id", "piece", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.boundary").alias("boundary"), F.expr("substring(text, p.start + 1, p.end - p.start)").alias("text"))
+
+
+# ---- 6: best representative ------------------------------------------------------
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every page with several readings the chosen one, and the one that gives the markdown."""
+    from pagewright.llm.representative import choose_bundles
+
+    chosen = choose_bundles(table(spark, folder, "pdf_page_readings"), table(spark, folder, "ocr_engines"))
+    return chosen.where(F.col("readings") > 1).select("pdf_stem", "page_num", "id", "markdown_id")
+
+
+_P6_RANKED = r"""
+WITH r AS (
+  SELECT p.*, e.trust, coalesce(reason, '') <> 'rejected' AND coalesce(regexp_matches(text, '[^\s\x{a0}]'), false) AS ok,
+    CASE WHEN score BETWEEN 0 AND 100 THEN score END AS s,
+    CASE WHEN regexp_matches(recorded_at, '(Z|[+-]\d\d:?\d\d)$') THEN try_cast(recorded_at AS TIMESTAMPTZ) ELSE try_cast(recorded_at || 'Z' AS TIMESTAMPTZ) END AS seen
+  FROM pdf_page_readings p LEFT JOIN ocr_engines e ON replace(lower(trim(p.engine)), '_', '-') = e.engine),
+k AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY pdf_stem, page_num) AS c FROM r
+  WINDOW w AS (PARTITION BY pdf_stem, page_num ORDER BY ok DESC, s DESC NULLS LAST, trust DESC NULLS LAST, seen DESC NULLS LAST, id DESC))
+"""
+ORACLE["p6_found"] = _P6_RANKED + r"""
+SELECT pdf_stem, page_num, max(CASE WHEN n = 1 THEN id END) AS id, coalesce(arg_min(id, n) FILTER (WHERE regexp_matches(markdown, '[^\s\x{a0}]')), 0) AS markdown_id
+FROM k WHERE c > 1 GROUP BY pdf_stem, page_num
+"""
+
+
+@query
+def p6_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving record of every page."""
+    from pagewright.llm.representative import merged_records
+
+    return merged_records(table(spark, folder, "pdf_page_readings"), table(spark, folder, "ocr_engines"))
