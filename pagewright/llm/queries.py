@@ -111,3 +111,22 @@ def p6_records(spark: SparkSession, folder: str) -> DataFrame:
     from pagewright.llm.representative import merged_records
 
     return merged_records(table(spark, folder, "pdf_page_readings"), table(spark, folder, "ocr_engines"))
+
+
+# ---- 5: near duplicates ----------------------------------------------------------
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of readings of different documents that share at least half of their three-word sequences."""
+    from pagewright.llm.near_dup import Forest
+
+    return Forest(table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "text")).between_groups()
+
+
+@query
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every reading, copies by class and not as pairs."""
+    from pagewright.llm.near_dup import Forest
+
+    return Forest(table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "text")).groups()
