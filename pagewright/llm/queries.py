@@ -130,3 +130,22 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     from pagewright.llm.near_dup import Forest
 
     return Forest(table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "text")).groups()
+
+
+# ---- 2: personal information -----------------------------------------------------
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct piece of personal information by reading and field."""
+    from pagewright.llm.pii import personal_information
+
+    return personal_information(table(spark, folder, "pdf_page_readings", "id", "text", "markdown")).select("id", "field", "kind", "snippet").distinct()
+
+
+@query
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts and markdowns with typed placeholders."""
+    from pagewright.llm.pii import redacted
+
+    return redacted(table(spark, folder, "pdf_page_readings", "id", "text", "markdown"))
