@@ -74,7 +74,17 @@ _ENDS = tuple(".!?:;,…»”\"')-‐‑–¬=\xad")
 _BLANK = " \t\ufeff\xa0\u200b"
 
 
+def read_lines(text: str) -> list[tuple[str, str]]:
+    """The lines with something on them, stripped, each with its kind."""
+    return [(s, kind(s)) for s in [x.strip(_BLANK) for x in text.splitlines()] if s]
+
+
 def read_page(text: str) -> Page:
+    """``weigh`` for a text."""
+    return weigh(read_lines(text))
+
+
+def weigh(lines: list[tuple[str, str]]) -> Page:
     """Characters of a page by the kind of their lines.
 
     A line that says nothing by itself counts with running text when it ends a
@@ -83,11 +93,9 @@ def read_page(text: str) -> Page:
     of a page when it has more characters than rows and unreadable lines together; one
     sentence above rows doesn't.
     """
-    lines = [s for s in [x.strip(_BLANK) for x in text.splitlines()] if s]
     prose = rows = garbage = n_rows = n_ends = 0
     last, before, told = len(lines) - 1, NEUTRAL, []
-    for i, s in enumerate(lines):
-        k = kind(s)
+    for i, (s, k) in enumerate(lines):
         size = len(s)
         n_ends += s.endswith(_ENDS)
         if k == NEUTRAL:

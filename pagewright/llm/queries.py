@@ -149,3 +149,24 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     from pagewright.llm.pii import redacted
 
     return redacted(table(spark, folder, "pdf_page_readings", "id", "text", "markdown"))
+
+
+# ---- 3: scanning damage ----------------------------------------------------------
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """What scanning did to each prose reading, item by item."""
+    from pagewright.llm.scan_repair import learn, scan_repair
+
+    readings = table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "page_num", "text")
+    return scan_repair(readings, learn(readings)).select("id", F.explode("found").alias("f")).select("id", "f.kind", "f.item").distinct()
+
+
+@query
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Prose readings as continuous paragraphs."""
+    from pagewright.llm.scan_repair import learn, scan_repair
+
+    readings = table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "page_num", "text")
+    return scan_repair(readings, learn(readings)).select("id", "repaired")
