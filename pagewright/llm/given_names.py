@@ -14,11 +14,15 @@ GIVEN = frozenset(
     åke åsa öjvind östen""".split()
 )
 
-# Short forms and the name each stands for.
-NICKNAMES = dict(
-    pair.split(":")
-    for pair in """adde:anders babben:barbro berra:bertil bibbi:birgit fredde:fredrik hattan:harriet inga:ingegerd kalle:karl-erik kicki:kristina
-    lasse:lars lelle:lennart lisbet:elisabet maggan:margareta malla:mathilda nella:petronella nettan:jeanette nisse:nils-göran ogge:oskar olle:olof
-    pelle:per-olof ricke:rikard sebbe:sebastian steffo:staffan stina:kristina teo:teodor tilda:mathilda tobbe:tobias vicke:viktor vivan:vivianne
-    wille:wilhelm kattis:katarina gurra:gustav janne:jan benke:bengt bosse:bo hasse:hans tompa:tomas micke:mikael svenne:sven""".split()
-)
+# Short forms and the names each may stand for.
+NICKNAMES = {
+    k: tuple(v.split("/"))
+    for k, v in (
+        pair.split(":")
+        for pair in """adde:anders babben:barbro berra:bertil bibbi:birgit cilla:cecilia fredde:fredrik hattan:harriet henke:henrik inga:ingegerd
+        jojje:josef kalle:karl-erik/karl kicki:kerstin/kristina lasse:lars lelle:lennart leo:leopold lisbet:elisabet macke:malkolm/magnus maggan:margareta
+        malla:amalia/mathilda nella:petronella nettan:jeanette nisse:nils-göran/nils ogge:oskar olle:olof palla:paulina pelle:per-olof/per
+        ricke:rikard sebbe:sebastian steffo:staffan stina:kristina teo:teodor tilda:mathilda tobbe:tobias totte:torsten ulla:ulrika vicke:viktor
+        vivan:vivianne wille:wilhelm kattis:katarina gurra:gustav janne:jan benke:bengt bosse:bo hasse:hans tompa:tomas micke:mikael svenne:sven""".split()
+    )
+}

@@ -170,3 +170,24 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
     readings = table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "page_num", "text")
     return scan_repair(readings, learn(readings)).select("id", "repaired")
+
+
+# ---- 7: names --------------------------------------------------------------------
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    from pagewright.llm.names import link_names
+
+    linked = link_names(table(spark, folder, "doc_entities", "payload"), table(spark, folder, "graph_review_decisions", "target_json")).where("links > 0")
+    a, b = (linked.select("kind", "entity", F.col("name").alias(f"name_{x}")) for x in "ab")
+    return a.join(b, ["kind", "entity"]).where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b").distinct()
+
+
+@query
+def p7_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every name with the entity it stands for."""
+    from pagewright.llm.names import link_names
+
+    return link_names(table(spark, folder, "doc_entities", "payload"), table(spark, folder, "graph_review_decisions", "target_json"))
