@@ -191,3 +191,24 @@ def p7_entities(spark: SparkSession, folder: str) -> DataFrame:
     from pagewright.llm.names import link_names
 
     return link_names(table(spark, folder, "doc_entities", "payload"), table(spark, folder, "graph_review_decisions", "target_json"))
+
+
+# ---- 9: leaked evaluation texts --------------------------------------------------
+
+
+@query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least half of a test passage, with the items concerned."""
+    from pagewright.llm.leakage import leaked_passages
+
+    return leaked_passages(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "passage")).select("doc_id", "item_id").distinct()
+
+
+@query
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without those that leak a test item."""
+    from pagewright.llm.leakage import leaked_passages
+
+    documents = table(spark, folder, "documents")
+    leaked = leaked_passages(documents, table(spark, folder, "eval_items", "item_id", "passage")).select("doc_id").distinct()
+    return documents.join(leaked, "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars")
