@@ -212,3 +212,22 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     leaked = leaked_passages(documents, table(spark, folder, "eval_items", "item_id", "passage")).select("doc_id").distinct()
     return documents.join(leaked, "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars")
+
+
+# ---- 10: spam --------------------------------------------------------------------
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents made of keywords, links or tags."""
+    from pagewright.llm.spam import spam_pages
+
+    return spam_pages(table(spark, folder, "documents", "doc_id", "text", "lang")).where("is_spam").select("doc_id").distinct()
+
+
+@query
+def p10_curves(spark: SparkSession, folder: str) -> DataFrame:
+    """The rank-frequency figures of every document."""
+    from pagewright.llm.spam import spam_pages
+
+    return spam_pages(table(spark, folder, "documents", "doc_id", "text", "lang"))
