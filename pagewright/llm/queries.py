@@ -231,3 +231,23 @@ def p10_curves(spark: SparkSession, folder: str) -> DataFrame:
     from pagewright.llm.spam import spam_pages
 
     return spam_pages(table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
+# ---- 8: containers ---------------------------------------------------------------
+
+
+@query
+def p8_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Which container every document goes into."""
+    from pagewright.llm.packing import fill_containers, token_counts
+
+    return fill_containers(token_counts(table(spark, folder, "documents", "doc_id", "text")))
+
+
+@query
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    from pagewright.llm.packing import CAPACITY, fill_containers, token_counts
+
+    used = fill_containers(token_counts(table(spark, folder, "documents", "doc_id", "text"))).groupBy("container").agg(F.sum("tokens").alias("used"))
+    return used.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.avg("used") / CAPACITY, 4).alias("mean_fill"))
