@@ -1,0 +1,129 @@
+"""Vector, full-text and fuzzy search, and what is done with ranked lists."""
+
+from __future__ import annotations
+
+import difflib
+import re
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from pagewright.functions import text as T
+from pagewright.session import with_package
+
+RRF_K = 60
+K1, B = 1.2, 0.75
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
+def knn(df: DataFrame, vector: str, query: Sequence[float], k: int, key: str, where: Column | None = None) -> DataFrame:
+    """The ``k`` nearest rows to a query vector, among those that meet ``where`` first; ties by key.
+
+    A literal query makes this a scan with a top-k per task, never a shuffle of vectors.
+    """
+    df = df if where is None else df.where(where)
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return df.withColumn("distance", F.round(distance(F.col(vector), q), 6)).orderBy("distance", key).limit(k)
+
+
+def bm25_index(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``term``, ``tf``, ``length``: the postings of a collection."""
+    tokens = df.select(key, T.search_tokens(F.col(text)).alias("_t")).withColumn("length", F.size("_t"))
+    return tokens.select(key, "length", F.explode("_t").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25(df: DataFrame, key: str, text: str, query: str, k: int) -> DataFrame:
+    """``key``, ``score`` of the ``k`` best texts. Only the query's terms leave the scan; n, average length and the terms' document counts are single rows."""
+    terms = sorted(set(re.findall("[0-9a-zåäöéèü]+", query.lower())))
+
+    def times(word: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == F.lit(word)))
+
+    tokens = df.where(F.col(text).isNotNull()).select(key, T.search_tokens(F.col(text)).alias("t"))
+    per_text = tokens.select(key, F.size("t").alias("length"), *[times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    totals = per_text.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    j = per_text.join(F.broadcast(totals), F.lit(True))  # a single row
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, d = F.col(f"tf{i}"), F.col(f"df{i}")
+        score = score + F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg")))
+    return j.select(key, F.round(score, 6).alias("score")).where(F.col("score") > 0).orderBy(F.desc("score"), key).limit(k)
+
+
+def rrf(lists: Sequence[DataFrame], key: str, k: int) -> DataFrame:
+    """Reciprocal rank fusion of ranked lists (``key``, ``rank`` from 0): ``key``, ``score``; ties by first list and rank."""
+    rows = None
+    for i, d in enumerate(lists):
+        one = d.select(key, F.col("rank"), F.lit(i).alias("_list"))
+        rows = one if rows is None else rows.unionByName(one)
+    fused = rows.groupBy(key).agg(F.round(F.sum(1 / (RRF_K + F.col("rank") + 1)), 8).alias("score"), F.min(F.struct("_list", "rank")).alias("_first"))
+    return fused.orderBy(F.desc("score"), "_first").limit(k).select(key, "score")
+
+
+def interleave(first: DataFrame, second: DataFrame, key: str, k: int) -> DataFrame:
+    """Two ranked lists in turns, each hit once: ``key``, ``place`` from 0."""
+    rows = first.select(key, F.struct("rank", F.lit(0).alias("l")).alias("o")).unionByName(second.select(key, F.struct("rank", F.lit(1).alias("l")).alias("o")))
+    best = rows.groupBy(key).agg(F.min("o").alias("o")).orderBy("o").limit(k)
+    return best.withColumn("place", F.row_number().over(Window.orderBy("o")) - 1).drop("o")
+
+
+def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
+    """A short list (already limited) with ``rank`` from 0."""
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Ratcliff/Obershelp similarity of two strings, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
+
+    return ratio(a, b)
+
+
+def levenshtein_ratio(a: Column, b: Column) -> Column:
+    return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)), 6)
+
+
+def fuzzy(df: DataFrame, key: str, text: str, query: str, k: int, threshold: float, exact_ratio: bool = True) -> DataFrame:
+    """Texts with a token like one of the query's: ``key``, ``score``.
+
+    The vocabulary is compared, not the texts: distinct tokens whose length alone
+    doesn't rule the threshold out, each with each of the few query tokens.
+    """
+    with_package(df.sparkSession)
+    wanted = list(dict.fromkeys(re.findall("[0-9a-zåäöéèü]+", query.lower())))
+    postings = df.select(key, F.explode(F.array_distinct(T.search_tokens(F.col(text)))).alias("token"))
+    scores = []
+    for w in wanted:
+        n = len(w)
+        size = F.length("token")
+        near = postings.select("token").distinct().where((2 * F.least(size, F.lit(n)) >= threshold * (size + n)) if exact_ratio else (F.least(size, F.lit(n)) >= threshold * F.greatest(size, F.lit(n))))
+        scores.append(near.withColumn("s", similarity(F.lit(w), F.col("token")) if exact_ratio else levenshtein_ratio(F.lit(w), F.col("token"))).where(F.col("s") >= threshold))
+    best = scores[0]
+    for s in scores[1:]:
+        best = best.unionByName(s)
+    hits = postings.join(best.groupBy("token").agg(F.max("s").alias("s")), "token")
+    return hits.groupBy(key).agg(F.round(F.max("s"), 3).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def rerank(hits: DataFrame, score: Column, n: int) -> DataFrame:
+    """The ``n`` best hits by another scorer; ties keep their rank."""
+    return hits.withColumn("rescore", score).orderBy(F.desc("rescore"), "rank").limit(n)
+
+
+def context_block(hits: DataFrame, order: str, *parts: Column) -> DataFrame:
+    """Ranked hits as one text with separators (a short list, by design)."""
+    one = hits.select(F.struct(F.col(order).alias("o"), F.concat(*parts).alias("t")).alias("x"))
+    return one.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n---\n").alias("context"))
