@@ -23,6 +23,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(
     r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|(?<![\w:])//|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:test|example|invalid|localhost|com|net|org|info|biz|shop|store|online|site|io|se|nu|no|dk|fi|de|at|ch|eu|co\.uk)\b(?:/\S*)?", re.I
 )
+_HINT = re.compile(r"[\w-]\.[a-z]{2}|//|\]\(|<a\s|www\.", re.I)
 _TAG = re.compile(r"(?<!\w)#\w+")
 _OFFER = re.compile(r"(?:\b\d[\d.,]*\s?(?:kr|sek|eur|usd|euro|€|\$|£)(?!\w)|[€$£]\s?\d)", re.I)
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
@@ -36,7 +37,8 @@ def spam_share(text: str) -> float:
     a line or sentence counts as keywords when its content words recur throughout the
     text far more often than those of prose of that length do.
     """
-    words = Counter(_WORD.findall(_LINK.sub(" ", text).lower()))
+    links = _HINT.search(text) is not None
+    words = Counter(_WORD.findall((_LINK.sub(" ", text) if links else text).lower()))
     total = max(1, sum(words.values()))
     solid = spam = 0
     for line in text.splitlines():
@@ -45,8 +47,8 @@ def spam_share(text: str) -> float:
             continue
         size = len(s) - s.count(" ")
         solid += size
-        linked = sum(len(m.group()) - m.group().count(" ") for m in _LINK.finditer(s))
-        tagged = sum(len(m) for m in _TAG.findall(s))
+        linked = sum(len(m.group()) - m.group().count(" ") for m in _LINK.finditer(s)) if links and _HINT.search(s) else 0
+        tagged = sum(map(len, _TAG.findall(s))) if "#" in s else 0
         if (linked + tagged) * 5 >= size * 2:
             rest = _LINK.sub(" ", _TAG.sub(" ", s))
             spam += linked + tagged if _MARK.match(s) or _is_sentence(rest) else size
@@ -67,17 +69,18 @@ def _is_sentence(s: str) -> bool:
 
 def _is_keywords(part: str, words: Counter, total: int) -> bool:
     w = _WORD.findall(part.lower())
-    content = [x for x in w if x not in _COMMON and len(x) > 2]
-    if len(content) < 2 or _MARK.match(part) or len(content) * 2 < len(w):
+    content = [x for x in w if len(x) > 2 and x not in _COMMON]
+    n = len(content)
+    if n < 2 or n * 2 < len(w):
         return False
-    digits = sum(map(str.isdigit, part))
-    if digits * 8 > len(part) or kind(part) == GARBAGE:
+    mean = sum([words[x] for x in content]) / n
+    if n * 10 >= len(w) * 9 and (n >= 8 or mean >= 3):
+        enough = mean >= max(1.7, 0.015 * total)
+    else:
+        enough = mean >= (max(4.0, 0.02 * total) if n > 2 else max(5.0, 0.04 * total))
+    if not enough or _MARK.match(part) or kind(part) == GARBAGE:
         return False
-    mean = sum(map(words.__getitem__, content)) / len(content)
-    bare = len(content) * 10 >= len(w) * 9
-    if bare and (len(content) >= 8 or mean >= 3):
-        return mean >= max(1.7, 0.015 * total)
-    return len(content) >= 3 and mean >= max(4.0, 0.02 * total) or 2 <= len(content) <= 2 and mean >= max(5.0, 0.04 * total)
+    return sum(map(str.isdigit, part)) * 8 <= len(part)
 
 
 def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
