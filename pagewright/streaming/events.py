@@ -32,3 +32,8 @@ def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None:
     """Run a stream over all that is there into an in-memory table."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def drain_to(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run an append stream over all that is new into Parquet files; a second call goes on where the first ended."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
