@@ -56,6 +56,8 @@ def spam_share(text: str) -> float:
         if _OFFER.search(s) and not _is_sentence(s):
             spam += size
             continue
+        if _MARK.match(s) and not _TURN.match(s):
+            continue  # an item of a list
         for part in _SENTENCES.split(_TURN.sub("", s, count=1) if _TURN.match(s) else s):
             if _is_keywords(part, words, total):
                 spam += len(part) - part.count(" ")
@@ -78,7 +80,7 @@ def _is_keywords(part: str, words: Counter, total: int) -> bool:
         enough = mean >= max(1.7, 0.015 * total)
     else:
         enough = mean >= (max(4.0, 0.02 * total) if n > 2 else max(5.0, 0.04 * total))
-    if not enough or _MARK.match(part) or kind(part) == GARBAGE:
+    if not enough or kind(part) == GARBAGE:
         return False
     return sum(map(str.isdigit, part)) * 8 <= len(part)
 
