@@ -75,11 +75,13 @@ def _is_keywords(part: str, words: Counter, total: int) -> bool:
     n = len(content)
     if n < 2 or n * 2 < len(w):
         return False
-    mean = sum([words[x] for x in content]) / n
+    counts = sorted([words[x] for x in content])
+    middle = counts[(n - 1) // 2]
+    mean = sum(counts) / n
     if n * 10 >= len(w) * 9 and (n >= 8 or mean >= 3):
         enough = mean >= max(1.7, 0.015 * total)
-    else:
-        enough = mean >= (max(4.0, 0.02 * total) if n > 2 else max(5.0, 0.04 * total))
+    else:  # a word or two may recur in honest sentences, so most must
+        enough = middle >= max(3, 0.005 * total) and mean >= (max(4.0, 0.02 * total) if n > 2 else max(5.0, 0.04 * total))
     if not enough or kind(part) == GARBAGE:
         return False
     return sum(map(str.isdigit, part)) * 8 <= len(part)
