@@ -394,7 +394,7 @@ def test_leaks(spark):
 
 # ---- 10 --------------------------------------------------------------------------
 
-KEYWORDS = " ".join(random.Random(1).choice(["spel", "bonus", "klockor", "lån"]) for _ in range(60))
+KEYWORDS = " ".join(random.Random(1).choices(["spel", "bonus", "klockor", "lån"], k=60))
 
 
 @pytest.mark.parametrize(
