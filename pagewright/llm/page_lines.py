@@ -43,6 +43,10 @@ def kind(line: str) -> str:
     raw = line.encode("latin-1", "replace")
     letters = len(raw.translate(None, _OTHER))
     solid = len(line) - n + 1
+    if solid >= 12 and letters * 10 < solid * 6:
+        signs = solid - letters - sum(map(str.isdigit, line))
+        if signs * 20 > solid * 7:
+            return GARBAGE
     if solid >= 12 and letters * 10 < solid * 6 and run * 3 < n:
         return GARBAGE if letters * 10 < solid * 4 or not _INDEX.search(line) else ROW
     if letters >= 12:
