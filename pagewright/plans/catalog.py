@@ -918,3 +918,6 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s"""
 def ext_sessions(spark, d):
     e = table(spark, d, "events", "ts", "user_id")
     return e.groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+from pagewright.plans import catalog_review  # noqa: E402,F401  (adds its queries)
