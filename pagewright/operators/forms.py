@@ -117,3 +117,36 @@ def usage_fields(raw: Column) -> Column:
         F.coalesce(r["completion_tokens"], r["output_tokens"], F.lit(0)).alias("output"),
         F.coalesce(r["prompt_cache_hit_tokens"], r["cache_read_input_tokens"], F.lit(0)).alias("cached"),
     )
+
+
+def order_outliers(labels: list[tuple[int, float, float]], rise: float = 0.0) -> set[int]:
+    """Labels (number, x, y) that break the reading order of their numbers: the one with most violations goes first, until none is left."""
+    left, out = list(labels), set()
+    while True:
+        bad = {a: sum((a[0] < b[0]) != (a[2] <= b[2] + rise) for b in left if a[0] != b[0]) for a in left}
+        worst = max(bad.items(), key=lambda kv: (kv[1], kv[0][0], kv[0][2]), default=(None, 0))
+        if not worst[1]:
+            return out
+        left.remove(worst[0])
+        out.add(worst[0][0])
+
+
+def header_fields(text: Column, labels: tuple[str, ...]) -> Column:
+    """Metadata lines at a text's beginning as ``label``, ``value``; lines without a label go on with the one before; ends at the first empty line."""
+
+    def read(t: str | None) -> list[dict]:
+        out: list[dict] = []
+        for line in (t or "").split("\n"):
+            s = line.strip()
+            if not s:
+                break
+            hit = next((x for x in sorted(labels, key=len, reverse=True) if s.lower().startswith(x.lower())), None)
+            if hit:
+                out.append({"label": hit, "value": s[len(hit) :].lstrip(" :")})
+            elif out:
+                out[-1]["value"] = f"{out[-1]['value']} {s}".strip()
+            else:
+                break
+        return out
+
+    return F.udf(read, "array<struct<label:string,value:string>>")(text)

@@ -96,3 +96,30 @@ def inherited_level(lines: DataFrame, group: str, order: str, text: str) -> Data
     own = F.nullif(F.regexp_extract(F.col(text), r"\b(DEBUG|INFO|WARNING|ERROR)\b", 1), F.lit(""))
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return lines.withColumn("level", F.last(own, ignorenulls=True).over(w))
+
+
+def archived(history: DataFrame, current: DataFrame, keys: DataFrame, on: list[str], reason: str) -> DataFrame:
+    """The history with the current rows of the given keys added, before they are overwritten."""
+    return history.unionByName(current.join(keys, on, "left_semi").withColumn("reason", F.lit(reason)).select(*history.columns))
+
+
+def reset_orphans(decisions: DataFrame, valid: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions that still have their item, and rows for the history of those that don't."""
+    return decisions.join(valid, key, "left_semi"), decisions.join(valid, key, "left_anti").withColumn("action", F.lit("reset"))
+
+
+# Notes of failed downloads that may be tried again.
+RETRYABLE = ("failed:html-response", "failed:403")
+
+
+def failure_note(status: Column) -> Column:
+    """The note of a failed download: lasting for client errors, none for those that may pass."""
+    return F.when(status.between(400, 499) & ~status.isin(408, 429), F.concat(F.lit("failed:"), status.cast("string")))
+
+
+def clamp(value: int | None, least: int, most: int, default: int) -> int:
+    """An argument within its limits; the default for none or nonsense."""
+    try:
+        return max(least, min(most, int(value)))  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return default

@@ -67,3 +67,24 @@ def test_files(spark, tmp_path):
     assert [r["link"] for r in files.link_list(spark, str(tmp_path / "list.csv"), "link").collect()] == ["https://h/d/abc"]
     (tmp_path / "log.txt2").write_text("\n".join(f"rad {i}" for i in range(20)))
     assert [r["line"] for r in files.log_tail(spark, str(tmp_path / "log.txt2"), 3).orderBy("back").collect()] == ["rad 19", "rad 18", "rad 17"]
+
+
+def test_order_and_headers(spark):
+    assert forms.order_outliers([(1, 0, 0), (2, 0, 10), (3, 0, 90), (4, 0, 30), (5, 0, 40)]) == {3}
+    assert forms.order_outliers([]) == set()
+    df = spark.createDataFrame([("Förhörsledare: Anna\nBerg\nTolk Bo\n\nTolk x",), (None,)], "t string")
+    got = [[(r["label"], r["value"]) for r in x[0]] for x in df.select(forms.header_fields(F.col("t"), ("Förhörsledare", "Tolk"))).collect()]
+    assert got == [[("Förhörsledare", "Anna Berg"), ("Tolk", "Bo")], []]
+
+
+def test_small_rules(spark):
+    from pagewright.operators import state
+
+    assert [state.clamp(x, 5, 50, 20) for x in (None, "x", 3, 99, "7")] == [20, 20, 5, 50, 7]
+    df = spark.createDataFrame([(404,), (429,), (500,)], "s int")
+    assert [r[0] for r in df.select(state.failure_note(F.col("s"))).collect()] == ["failed:404", None, None]
+    cur = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    hist = spark.createDataFrame([], "k int, v string, reason string")
+    assert [tuple(r) for r in state.archived(hist, cur, cur.where("k = 2").select("k"), ["k"], "rescan").collect()] == [(2, "b", "rescan")]
+    kept, gone = state.reset_orphans(cur, cur.where("k = 1").select("k"), "k")
+    assert kept.count() == gone.count() == 1 and gone.first()["action"] == "reset"
