@@ -124,6 +124,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return Forest(table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "text")).between_groups()
 
 
+ORACLE["p5_found"] = r"""
+WITH w AS (SELECT id, pdf_stem, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM pdf_page_readings WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT id, pdf_stem, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(generate_series(1, len(w) - 2)) AS u(i) WHERE len(w) >= 20),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id AND a.pdf_stem <> b.pdf_stem GROUP BY ALL)
+SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.5 * (x.n + y.n - c)
+"""
+
+
 @query
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The class of every reading, copies by class and not as pairs."""
