@@ -127,14 +127,16 @@ def _name(text: str, low: str, s: int, e: int) -> Span | None:
     """A person around the given name at ``s``..``e``: given name first, or family name first."""
     if not text[s].isupper() or s and (low[s - 1].isalnum() or low[s - 1] in "-_@.") or e < len(low) and (low[e].isalnum() or low[e] in "-_@"):
         return None
-    m = _AFTER_GIVEN.match(text, e)
-    if m and _is_surname(m[1]):
-        return Span(s, m.end(), "name")
+    after = _AFTER_GIVEN.match(text, e)
+    if after and not (_is_surname(after[1]) and _lower(after[1]) not in GIVEN):
+        after = None
+    if after and "\n" not in text[e : after.start(1)]:
+        return Span(s, after.end(), "name")
     m = _BEFORE_GIVEN.search(text, max(0, s - 45), s)
-    if m and _is_surname(m[1]) and _lower(m[1]) not in GIVEN and (_KNOWN_END.search(m[1]) or m[2] or m[1].isupper()):
+    if m and _is_surname(m[1]) and _lower(m[1]) not in GIVEN and (_KNOWN_END.search(m[1]) or m[2] or m[1].isupper()) and not (after and "\n" in m[0]):
         tail = _MIDDLE_AFTER.match(text, e)
         return Span(m.start(), tail.end() if tail else e, "name")
-    return None
+    return Span(s, after.end(), "name") if after else None
 
 
 def _initial(text: str, s: int) -> Span | None:
