@@ -38,6 +38,8 @@ def tokens_of(name: str, kind: str) -> list[str]:
     """The folded tokens that tell a name: without titles, legal forms, 'och', 'i' and genitive endings; initials and abbreviations keep their full stop."""
     if kind == "person":
         s = _TITLE.sub("", name.strip())
+        if not re.search(r"[\s,]", s.strip(" ,")):
+            s = name.strip()  # what looked like a title is a shortened given name
         out = [fold(t) for t in re.split(r"[\s,]+", s) if t.strip(".-")]
         joined: list[str] = []
         for t in out:
