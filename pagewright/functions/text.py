@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,19 +33,18 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def text_counts(t: Column) -> dict[str, Column]:
-    """The eight counts the page score rests on."""
-    words = F.regexp_extract_all(t, F.lit(r"([A-Za-zÅÄÖåäö\-]+)"), 1)
-    tokens = F.regexp_extract_all(t, F.lit(r"(\S+)"), 1)
+    """The counts the page score rests on. Whole-text patterns only: no arrays of words are built, so this stays one pass per count."""
+    w = r"A-Za-zÅÄÖåäö\-"
     return {
         "chars": F.length(t),
         "junk": F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,;:!?\"'()\-–—…/\\\[\]{}<>]")),
-        "tokens": F.size(tokens),
-        "words": F.size(words),
-        "short": F.size(F.filter(words, lambda w: F.length(w) <= 2)),
-        "long": F.size(F.filter(words, lambda w: F.length(w) >= 18)),
-        "mixed": F.size(F.filter(tokens, lambda w: w.rlike(r"\d") & w.rlike(r"[A-Za-zÅÄÖåäö]"))),
-        "letters": F.regexp_count(t, F.lit(r"\p{L}")),
-        "vowels": F.regexp_count(t, F.lit(r"[aeiouyåäöAEIOUYÅÄÖ]")),
+        "tokens": F.regexp_count(t, F.lit(r"\S+")),
+        "words": F.regexp_count(t, F.lit(rf"[{w}]+")),
+        "short": F.regexp_count(t, F.lit(rf"(?<![{w}])[{w}]{{1,2}}(?![{w}])")),
+        "long": F.regexp_count(t, F.lit(rf"[{w}]{{18,}}")),
+        "mixed": F.regexp_count(t, F.lit(r"(?<!\S)(?:(?=\S*?\d)(?=\S*?[A-Za-zÅÄÖåäö])\S+)")),
+        "letters": F.length(F.regexp_replace(t, r"\P{L}+", "")),
+        "vowels": F.length(t) - F.length(F.translate(t, "aeiouyåäöAEIOUYÅÄÖ", "")),
     }
 
 
@@ -83,24 +85,36 @@ def clean_characters(t: Column) -> Column:
     return F.regexp_replace(t, r"[\x00-\x08\x0b\x0e-\x1f\x7f]", "")
 
 
-def clean_line(line: Column) -> Column:
-    """A line without tags and outer blanks; null if only decoration is left of it."""
-    s = strip(F.regexp_replace(strip(line), r"<[^>]{1,100}>", ""))
-    bare = ~s.rlike(ALNUM) & (s != "")
-    drop = bare & ((F.length(s) <= 2) | s.rlike(r"^[\s|]+$") | s.rlike(r"^[-~=_·•.]{3,}$") | s.rlike(r"^[\s·•.]+$"))
-    return F.when(~drop, s)
+def untagged(line: Column) -> Column:
+    """A line without tags and outer blanks."""
+    return strip(F.regexp_replace(strip(line), r"<[^>]{1,100}>", ""))
+
+
+def is_content(s: Column) -> Column:
+    """Whether an untagged line is empty or more than decoration."""
+    return (s == "") | s.rlike(ALNUM) | ~((F.length(s) <= 2) | s.rlike(r"^(?:[\s|]+|[-~=_·•.]{3,}|[\s·•.]+)$"))
 
 
 def normalize_text(t: Column) -> Column:
     """Characters and lines of every page cleaned, at most one empty line in a row; idempotent on its own output."""
 
     def page(p: Column) -> Column:
-        lines = F.filter(F.transform(F.split(p, "\n"), clean_line), lambda s: s.isNotNull())
+        lines = F.filter(F.transform(F.split(p, "\n"), untagged), is_content)  # two steps, so that each line is cleaned once
         return F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
 
     return F.array_join(F.transform(F.split(clean_characters(t), "\f"), page), "\f")
 
 
+def nfc(t: Column) -> Column:
+    """Accents composed with their letters; Spark has no function for it, so this is an Arrow batch. For input that may come decomposed, before ``normalize_text``."""
+
+    @F.pandas_udf("string")
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x and unicodedata.normalize("NFC", x))
+
+    return compose(t)
+
+
 def marker_count(t: Column, marker: str = MASK) -> Column:
     """How often a marker stands in the text."""
     return F.size(F.split(t, F.concat(F.lit(r"\Q"), F.lit(marker), F.lit(r"\E")), -1)) - 1

@@ -21,9 +21,9 @@ def db(folder):
 
 def rows(df):
     def text(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return None
-        return f"{v:.6g}" if isinstance(v, float) else str(v)
+        return f"{v:.6g}" if isinstance(v, float) and not v.is_integer() else str(int(v)) if isinstance(v, float) else str(v)
 
     return sorted((tuple(text(v) for v in r) for r in df[sorted(df.columns)].astype(object).values), key=str)
 
