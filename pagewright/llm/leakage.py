@@ -215,7 +215,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc: str = "doc_id",
             held = 0
 
             def done() -> pa.RecordBatch:
-                rows = [(d, i, h / int(tests.starts[b + 1] - tests.starts[b]), n, p) for d, b, h, n, p in _shard(docs, texts, tests) for i in tests.items[b]]
+                rows = [(d, i, min(1.0, h / int(tests.starts[b + 1] - tests.starts[b])), n, p) for d, b, h, n, p in _shard(docs, texts, tests) for i in tests.items[b]]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 types = (dtype, pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.int32() if kind == "int" else pa.string(), pa.float64(), pa.int32(), pa.int32())
                 return pa.RecordBatch.from_arrays([pa.array(list(c), type=ty) for c, ty in zip(cols, types)], names=["d", "i", "held", "longest", "position"])
