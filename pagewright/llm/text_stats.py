@@ -12,8 +12,6 @@ from pagewright.session import materialize
 
 #: Statistics that enter the outlier score, with the tail that is suspicious.
 TAILS = {"running_share": "low", "common_share": "low", "ending_share": "low", "symbol_ratio": "high", "mean_word_length": "both", "vowel_ratio": "both"}
-#: Sum of negative log tail probabilities from which a text is an outlier candidate.
-CANDIDATE_SCORE = 1.0
 
 _SCHEMA = "lang string, chars int, words int, mean_word_length double, symbol_ratio double, vowel_ratio double, ending_share double, common_share double, running_share double, runs boolean"
 
@@ -89,9 +87,9 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
 def quality_statistics(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Statistics, ``outlier_score`` and ``is_prose`` of every text (see page_statistics).
 
-    ``is_prose`` is false for an outlier candidate (score of at least CANDIDATE_SCORE)
-    in which running text doesn't make up most; that is an exact check of the
-    candidates, not a way around them.
+    ``is_prose`` is false for every text in which running text doesn't make up most. The
+    exact check decides alone: the score depends on what else the table holds (copies of
+    one list that fill their language aren't outliers), so it is given beside it only.
     """
     stats = materialize(page_statistics(df, key, text), "pagestats")
-    return outlier_scores(stats).withColumn("is_prose", ~((F.col("outlier_score") >= CANDIDATE_SCORE) & ~F.col("runs")))
+    return outlier_scores(stats).withColumn("is_prose", F.col("runs"))

@@ -50,6 +50,14 @@ def test_statistics_and_scores_equal_brute_force(spark):
         assert r["outlier_score"] == pytest.approx(total, abs=1e-3)
 
 
+def test_lists_that_fill_their_language_are_found(spark):
+    english, german = ("\n".join(f"- {i} {line}" for i in range(12)) for line in ("of the bikes at the quay", "Rad vor der Tür und neben dem Tor"))
+    rows = [(i, english) for i in range(40)] + [(100 + i, "The man was at the quay with a dog, and he had not seen it before.") for i in range(4)] + [(200, german), (300, PROSE)]
+    got = {r["id"]: r for r in text_stats.quality_statistics(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert {i for i, r in got.items() if not r["is_prose"]} == {*range(40), 200}
+    assert got[0]["lang"] == "en" and got[200]["lang"] == "de" and max(got[0]["outlier_score"], got[200]["outlier_score"]) < 1
+
+
 def test_statistics_of_nothing(spark):
     assert text_stats.quality_statistics(spark.createDataFrame([], "id long, text string")).count() == 0
 
