@@ -17,19 +17,19 @@ from pagewright.session import materialize, with_package
 
 #: Three-word sequences and one half, as the project states its problem (TESTDATA).
 WORDS, SIMILARITY, LEAST_WORDS = 3, 0.5, 20
-#: Sorted signature orders, and the hashes each order has. A pair must share the first LEAST_DEPTH.
-TREES, DEPTH, LEAST_DEPTH = 16, 4, 2
-#: Rows with a common prefix up to which a region is compared as it stands; a larger one is read one level deeper.
-REGION = 32
-#: Two bits of each of the 64 hashes travel with a text. At a similarity of one half 40 of them agree on average (deviation 3.9), at 0.1 21; pairs with fewer agreeing than this aren't looked at closer.
-AGREEING = 28
+#: Signature orders, and the hashes each order has. A pair must share the first two of an order; all of them enter the sketch.
+TREES, DEPTH = 16, 4
+#: Rows with a common prefix up to which a region is compared in one place; a larger one is parted into blocks of about so many, and each pair of blocks is compared by itself.
+BLOCK = 1024
+#: Four bits of each of the 64 hashes travel with a text. At a similarity of one half 34 of them agree on average (deviation 4), at 0.2 16; pairs with fewer agreeing than this (one in 1,000 at one half) aren't looked at closer.
+AGREEING = 22
 
 _WORD = re.compile(r"[^\W_]+")
 _SEED = np.random.default_rng(20240117)
 _MUL = _SEED.integers(1, 2**63, (TREES * DEPTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_ODD = np.uint64(0x5555555555555555)
+_LOWEST = np.uint64(0x1111111111111111)
 
 
 class _Words(dict):
@@ -76,40 +76,46 @@ def text_signatures(df: DataFrame, key: str, text: str, group: str) -> DataFrame
     return map_batches(src, batch, "id long, stem int, same binary, sig binary", _Words)
 
 
+#: The columns of a sketch.
+_SKETCH = ("b0", "b1", "b2", "b3")
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows sorted by (prefix, rest, id), one region after another."""
+    """Candidate pairs from rows sorted by (cell, side), one cell after another: all pairs of a cell with one side only, else those across the sides 1 and 2."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[tuple[np.ndarray, ...]] = []
 
-    def pairs(ids: np.ndarray, stems: np.ndarray, rest: np.ndarray, bits: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
-        n = len(ids)
-        if n < 2 or (stems == stems[0]).all() and stems[0] != 0:
-            return
-        if n > REGION and depth < DEPTH:
-            level = rest >> 32 if depth + 1 < DEPTH else rest
-            cuts = np.flatnonzero(level[1:] != level[:-1]) + 1
-            for part in zip(*(np.split(c, cuts) for c in (ids, stems, rest, bits))):
-                yield from pairs(*part, depth + 1)
-            return
-        for k in range(1, n):  # a pair at distance k of the order, a vector at a time
-            keep = (stems[:-k] != stems[k:]) | (stems[k:] == 0)
-            if keep.any():
-                other = bits[:-k][keep] ^ bits[k:][keep]
-                agree = 2 * 32 - np.bitwise_count((other | other >> np.uint64(1)) & _ODD).sum(axis=1, dtype=np.int64)
-                keep[keep] = agree >= AGREEING
-            if keep.any():
-                x, y = ids[:-k][keep], ids[k:][keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
-
-    def regions(prefix: np.ndarray, ids: np.ndarray, stems: np.ndarray, rest: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bits = np.stack((b0, b1), axis=1).view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
-        sizes = np.diff(np.r_[starts, len(prefix)])
+    def found(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        """Candidates among the rows of ``x`` (or its only one) and the rows of ``y`` beside them."""
+        keep = (x[1] != y[1]) | (y[1] == 0)
+        if keep.any():
+            other = (x[2] if len(x[2]) == 1 else x[2][keep]) ^ y[2][keep]
+            other |= other >> np.uint64(2)
+            agree = TREES * DEPTH - np.bitwise_count((other | other >> np.uint64(1)) & _LOWEST).sum(axis=1, dtype=np.int64)
+            keep[keep] = agree >= AGREEING
+        if keep.any():
+            i, j = np.broadcast_to(x[0], len(keep))[keep], y[0][keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], schema=schema)
+
+    def pairs(sides: np.ndarray, *rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(sides)
+        if not sides[-1]:
+            for k in range(1, n):  # a pair at distance k of the order, a vector at a time
+                yield from found(tuple(c[:-k] for c in rows), tuple(c[k:] for c in rows))
+        elif sides[0] != sides[-1]:
+            cut = int(np.searchsorted(sides, 2))
+            for k in range(cut):
+                yield from found(tuple(c[k : k + 1] for c in rows), tuple(c[cut:] for c in rows))
+
+    def cells(cell: np.ndarray, ids: np.ndarray, stems: np.ndarray, sides: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bits = np.stack(words, axis=1).view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        sizes = np.diff(np.r_[starts, len(cell)])
         many = np.maximum.reduceat(stems, starts) != np.minimum.reduceat(stems, starts)
         zero = np.minimum.reduceat(np.abs(stems), starts) == 0
         for s, n in zip(starts[(sizes > 1) & (many | zero)], sizes[(sizes > 1) & (many | zero)]):
             part = slice(s, s + n)
-            yield from pairs(ids[part], stems[part], rest[part], bits[part], LEAST_DEPTH)
+            yield from pairs(sides[part], ids[part], stems[part], bits[part])
 
     def joined() -> tuple[np.ndarray, ...]:
         return tuple(np.concatenate(c) for c in zip(*held))
@@ -117,27 +123,27 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(tuple(b.column(c).to_numpy() for c in ("prefix", "id", "stem", "rest", "b0", "b1")))
-        prefix = held[-1][0]
-        if prefix[0] == prefix[-1]:  # the region may go on
+        held.append(tuple(b.column(c).to_numpy() for c in ("cell", "id", "stem", "side", *_SKETCH)))
+        cell = held[-1][0]
+        if cell[0] == cell[-1]:  # the cell may go on
             continue
         whole = joined()
         cut = int(np.searchsorted(whole[0], whole[0][-1]))
         held = [tuple(c[cut:] for c in whole)]
-        yield from regions(*[c[:cut] for c in whole])
+        yield from cells(*[c[:cut] for c in whole])
     if held:
-        yield from regions(*joined())
+        yield from cells(*joined())
 
 
 def forest_candidates(reps: DataFrame) -> DataFrame:
     """Distinct pairs ``a < b`` of representatives that are neighbours in some order of the forest.
 
-    Each of the TREES orders sorts the texts by its own minimum hashes. Texts with a
-    longest common prefix of at least LEAST_DEPTH hashes are candidates; where more than
-    REGION texts share a prefix, that region alone is read one hash deeper, down to
-    DEPTH. Texts that share all DEPTH hashes of an order are compared whatever their
-    number: they nearly always are similar, so the work is that of the result.
-    Texts of one and the same stem aren't paired; stem 0 means several. Two bits of
+    Each of the TREES orders groups the texts by its own first two minimum hashes, and
+    all texts of such a region are compared whatever their number, so what is found
+    doesn't depend on the size of the table or of a region. A region of more than BLOCK
+    texts is parted by a salt; every pair of its blocks is a cell of its own, so the
+    quadratic work of a hot region is spread over all tasks.
+    Texts of one and the same stem aren't paired; stem 0 means several. Four bits of
     every hash travel along, so pairs that merely share frequent phrases end here.
     """
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +154,23 @@ def forest_candidates(reps: DataFrame) -> DataFrame:
             m = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, TREES, DEPTH).astype(np.uint64)
             prefix = (m[:, :, 0] << np.uint64(32) | m[:, :, 1]) * np.uint64(0xD6E8FEB86659FD93) + salt
             prefix = (prefix ^ prefix >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-            rest = m[:, :, 2] << np.uint64(32) | m[:, :, 3]
-            two = (m.reshape(-1, TREES * DEPTH) & np.uint64(3)).reshape(-1, 2, 32)
-            bits = (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
+            four = (m.reshape(-1, TREES * DEPTH) & np.uint64(15)).reshape(-1, len(_SKETCH), 16)
+            bits = (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
             ids, stems = (np.repeat(b.column(c).to_numpy(), TREES) for c in ("id", "stem"))
-            yield pa.RecordBatch.from_arrays([pa.array(prefix.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64)), pa.array(ids), pa.array(stems), *[pa.array(np.repeat(bits[:, i], TREES)) for i in (0, 1)]], names=["prefix", "rest", "id", "stem", "b0", "b1"])
+            yield pa.RecordBatch.from_arrays([pa.array(prefix.ravel().view(np.int64)), pa.array(ids), pa.array(stems), *[pa.array(np.repeat(bits[:, i], TREES)) for i in range(len(_SKETCH))]], names=["prefix", "id", "stem", *_SKETCH])
 
-    rows = reps.select("id", "stem", "sig").mapInArrow(orders, "prefix long, rest long, id long, stem int, b0 long, b1 long")
     with_package(reps.sparkSession)
-    return rows.repartition("prefix").sortWithinPartitions("prefix", "rest", "id").mapInArrow(_neighbours, "a long, b long").distinct()
+    rows = reps.select("id", "stem", "sig").mapInArrow(orders, "prefix long, id long, stem int, " + ", ".join(f"{b} long" for b in _SKETCH))
+    # At most TREES / BLOCK of the texts' number of regions are large, 12 bytes each.
+    large = materialize(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("prefix", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "regions")
+    sized = rows.join(F.broadcast(large), "prefix", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0)))
+    spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+    x, y = F.least("own", "other"), F.greatest("own", "other")
+    placed = spread.select(
+        F.when(F.col("blocks").isNull(), F.col("prefix")).otherwise(F.xxhash64("prefix", x, y)).alias("cell"),
+        F.when(x == y, 0).when(F.col("own") == x, 1).otherwise(2).alias("side"), "id", "stem", *_SKETCH,
+    )
+    return placed.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_neighbours, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:

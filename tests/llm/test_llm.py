@@ -219,6 +219,24 @@ def test_large_regions_are_complete(spark):
     assert got.distinct().count() == 70 * 69 // 2
 
 
+def test_a_template_in_a_third_of_the_rows_costs_no_pairs(spark, monkeypatch):
+    rng = random.Random(10)
+    vocabulary = ["ord" + str(i) for i in range(3000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    template, rows = draw(55), []
+    for g in range(300):
+        own = draw(65)
+        rows += [template + own, template + own[:30] + draw(35)] if g % 3 == 0 else [draw(120), draw(120)]
+    df = spark.createDataFrame([(i, f"s{i}", " ".join(w)) for i, w in enumerate(rows)], "id long, pdf_stem string, text string")
+    sh = [set(zip(w, w[1:], w[2:])) for w in rows]
+    want = {(i, j) for i in range(len(sh)) for j in range(i + 1, len(sh)) if len(sh[i] & sh[j]) >= 0.5 * len(sh[i] | sh[j])}
+    found = lambda: {(r["id_a"], r["id_b"]) for r in near_dup.Forest(df).between_groups().collect()}
+    whole = found()
+    assert whole <= want and len(whole) >= 0.98 * len(want) >= 90
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    assert found() == whole
+
+
 def test_no_texts(spark):
     f = near_dup.Forest(spark.createDataFrame([], "id long, pdf_stem string, text string"))
     assert f.between_groups().count() == 0 and f.groups().count() == 0
