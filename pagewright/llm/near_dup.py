@@ -58,19 +58,30 @@ def signature(s: np.ndarray) -> np.ndarray:
     return ((s * _MUL) >> np.uint64(32)).min(axis=1).astype(np.uint32)
 
 
-def text_signatures(df: DataFrame, key: str, text: str, group: str) -> DataFrame:
-    """key, ``stem`` (the group as a hash, never 0), ``same`` (equal for equal word-sequence sets) and ``sig`` of each text of at least LEAST_WORDS words."""
-    src = df.where(F.length(text) >= 2 * LEAST_WORDS - 1).select(F.col(key).alias("id"), F.coalesce(F.nullif(F.hash(F.coalesce(group, F.lit(""))), F.lit(0)), F.lit(1)).alias("stem"), F.col(text).alias("t"))
+def text_signatures(df: DataFrame, key: str, text: str, group: str, every: bool = False) -> DataFrame:
+    """key, ``stem`` (the group as a hash, never 0), ``same`` (equal for equal word-sequence sets) and ``sig`` of each text of at least LEAST_WORDS words.
+
+    With ``every`` the other texts have a row too, without ``sig``; ``same`` is equal for
+    equal words in their order, and for a text without words it is its own.
+    """
+    src = df if every else df.where(F.length(text) >= 2 * LEAST_WORDS - 1)
+    src = src.select(F.col(key).alias("id"), F.coalesce(F.nullif(F.hash(F.coalesce(group, F.lit(""))), F.lit(0)), F.lit(1)).alias("stem"), F.col(text).alias("t"))
 
     def batch(words: _Words, ids: list, stems: list, texts: list) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "stem": [], "same": [], "sig": []}
         for i, g, t in zip(ids, stems, texts):
-            s = shingles(t, words)
+            s = shingles(t or "", words)
             if len(s):
                 out["id"].append(i)
                 out["stem"].append(g)
                 out["same"].append(xxhash.xxh3_128_digest(s.tobytes()))
                 out["sig"].append(signature(s).tobytes())
+            elif every:
+                w = _WORD.findall((t or "").lower())
+                out["id"].append(i)
+                out["stem"].append(g)
+                out["same"].append(xxhash.xxh3_128_digest(" ".join(w) if w else f"\n{i}"))
+                out["sig"].append(None)
         return out
 
     return map_batches(src, batch, "id long, stem int, same binary, sig binary", _Words)
@@ -135,7 +146,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from cells(*joined())
 
 
-def forest_candidates(reps: DataFrame) -> DataFrame:
+def forest_candidates(reps: DataFrame, within: bool = False) -> DataFrame:
     """Distinct pairs ``a < b`` of representatives that are neighbours in some order of the forest.
 
     Each of the TREES orders groups the texts by its own first two minimum hashes, and
@@ -143,7 +154,7 @@ def forest_candidates(reps: DataFrame) -> DataFrame:
     doesn't depend on the size of the table or of a region. A region of more than BLOCK
     texts is parted by a salt; every pair of its blocks is a cell of its own, so the
     quadratic work of a hot region is spread over all tasks.
-    Texts of one and the same stem aren't paired; stem 0 means several. Four bits of
+    Texts of one and the same stem aren't paired unless ``within``; stem 0 means several. Four bits of
     every hash travel along, so pairs that merely share frequent phrases end here.
     """
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +179,7 @@ def forest_candidates(reps: DataFrame) -> DataFrame:
     x, y = F.least("own", "other"), F.greatest("own", "other")
     placed = spread.select(
         F.when(F.col("blocks").isNull(), F.col("prefix")).otherwise(F.xxhash64("prefix", x, y)).alias("cell"),
-        F.when(x == y, 0).when(F.col("own") == x, 1).otherwise(2).alias("side"), "id", "stem", *_SKETCH,
+        F.when(x == y, 0).when(F.col("own") == x, 1).otherwise(2).alias("side"), "id", (F.lit(0) if within else F.col("stem")).alias("stem"), *_SKETCH,
     )
     return placed.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_neighbours, "a long, b long").distinct()
 
@@ -201,26 +212,29 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, similarity: f
 class Forest:
     """The near-duplicates of a table: ``members`` and the similar pairs of different texts.
 
+    Pairs are between groups only, and texts under LEAST_WORDS words take no part. With
+    ``within`` texts of one group are paired as well and every row is a member: short
+    texts with their exact copies, null texts and those without words alone.
+
     ``members``: id, stem, ``rep`` (smallest id among the texts with the same word
     sequences). ``pairs``: ``a < b`` (both representatives), ``similarity``.
-    Null texts and texts under LEAST_WORDS words take no part; ids must be unique; a
-    null group counts as an empty one; other columns are ignored.
+    Ids must be unique; a null group counts as an empty one; other columns are ignored.
     """
 
-    def __init__(self, df: DataFrame, key: str = "id", text: str = "text", group: str = "pdf_stem", similarity: float = SIMILARITY):
-        signed = materialize(text_signatures(df, key, text, group), "signatures")
+    def __init__(self, df: DataFrame, key: str = "id", text: str = "text", group: str = "pdf_stem", similarity: float = SIMILARITY, within: bool = False):
+        signed = materialize(text_signatures(df, key, text, group, within), "signatures")
         # Copies are gathered by a partial aggregate over the digest; however many there are, one row goes on.
         classes = materialize(signed.groupBy("same").agg(F.min(F.struct("id", "sig")).alias("first"), F.min("stem").alias("lo"), F.max("stem").alias("hi")).select("same", F.col("first.id").alias("rep"), "lo", "hi", F.col("first.sig").alias("sig")), "classes")
-        self.members = signed.select("id", "stem", "same").join(classes.select("same", "rep", "lo", "hi"), "same").select("id", "stem", "rep", "lo", "hi")
-        reps = classes.select(F.col("rep").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(0).alias("stem"), "sig")
-        self.pairs = materialize(verified(materialize(forest_candidates(reps), "candidates"), df, key, text, similarity), "similar")
+        self.members = signed.select("id", "stem", "same", F.col("sig").isNotNull().alias("long")).join(classes.select("same", "rep", "lo", "hi"), "same").select("id", "stem", "rep", "lo", "hi", "long")
+        reps = classes.where(F.col("sig").isNotNull()).select(F.col("rep").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(0).alias("stem"), "sig")
+        self.pairs = materialize(verified(materialize(forest_candidates(reps, within), "candidates"), df, key, text, similarity), "similar")
 
     def between_groups(self) -> DataFrame:
         """All pairs ``id_a < id_b`` of readings of different groups, copies written out."""
         m = self.members
         left, right = m.select(F.col("rep").alias("a"), F.col("id").alias("i"), F.col("stem").alias("si")), m.select(F.col("rep").alias("b"), F.col("id").alias("j"), F.col("stem").alias("sj"))
         different = self.pairs.join(left, "a").join(right, "b").where(F.col("si") != F.col("sj")).select("i", "j")
-        spread = m.where(F.col("lo") != F.col("hi"))
+        spread = m.where((F.col("lo") != F.col("hi")) & F.col("long"))
         copies = spread.select("rep", F.col("id").alias("i"), F.col("stem").alias("si")).join(spread.select("rep", F.col("id").alias("j"), F.col("stem").alias("sj")), "rep").where((F.col("i") < F.col("j")) & (F.col("si") != F.col("sj"))).select("i", "j")
         return different.unionByName(copies).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
 

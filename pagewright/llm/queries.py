@@ -138,7 +138,7 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The class of every reading, copies by class and not as pairs."""
     from pagewright.llm.near_dup import Forest
 
-    return Forest(table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "text")).groups()
+    return Forest(table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "text"), within=True).groups()
 
 
 # ---- 2: personal information -----------------------------------------------------

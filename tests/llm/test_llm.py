@@ -237,6 +237,22 @@ def test_a_template_in_a_third_of_the_rows_costs_no_pairs(spark, monkeypatch):
     assert found() == whole
 
 
+def test_groups_hold_readings_of_one_stem_and_short_texts(spark):
+    w = [f"ord{i}" for i in range(90)]
+    near = lambda k: " ".join([*w[:k], "annat", *w[k:]])
+    rows = [(1, "a", near(0)), (2, "a", near(30)), (3, "a", near(60)), (4, "b", "Sidan är tom."), (5, "b", "sidan är TOM"), (6, "b", "tom är sidan"), (7, "a", None), (8, "a", " "), (9, None, ""), (10, "c", "Sidan är tom!")]
+    df = spark.createDataFrame(rows, "id long, pdf_stem string, text string")
+    forest = near_dup.Forest(df, within=True)
+    got = {r["id"]: (r["class_id"], r["links"]) for r in forest.groups().collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0), 5: (4, 0), 6: (6, 0), 7: (7, 0), 8: (8, 0), 9: (9, 0), 10: (4, 0)}
+    assert forest.between_groups().count() == 0
+
+
+def test_every_reading_has_a_class(spark, folder):
+    readings = spark.read.parquet(f"{folder}/pdf_page_readings.parquet")
+    assert QUERIES["p5_groups"](spark, folder).select("id").distinct().count() == readings.count()
+
+
 def test_no_texts(spark):
     f = near_dup.Forest(spark.createDataFrame([], "id long, pdf_stem string, text string"))
     assert f.between_groups().count() == 0 and f.groups().count() == 0
