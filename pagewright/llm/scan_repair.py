@@ -20,8 +20,10 @@ from pagewright.session import materialize
 WORD_SHARE, LEAST_COUNT = 2e-6, 4
 #: A word this many times as frequent as one that looks the same to a scanner is the right one.
 DOMINANCE = 8
-#: Share of all documents on whose page edges a line must recur to be page furniture (at most 25,000 such lines), the least number of documents, and the share of its places that are a page's first or last line.
-EDGE_SHARE, LEAST_DOCUMENTS, OUTER_SHARE = 2e-4, 3, 0.8
+#: A line on the page edges of so many documents, or on so many pages of one document, is page furniture if this share of its places is a page's first or last line or beside other furniture.
+LEAST_DOCUMENTS, LEAST_PAGES, OUTER_SHARE = 3, 3, 0.8
+#: Share of all documents from which a line of furniture is known to all of them (at most 25,000 such lines); others are known to the documents they stand in.
+EDGE_SHARE = 2e-4
 TOP, BOTTOM = 3, 2
 
 _HYPHENS = "-‐‑¬=\xad"
@@ -81,8 +83,8 @@ def page_number(line: str) -> str | None:
     return n.translate(str.maketrans("lI|OoSB", "1110058")) if any(c.isdigit() for c in line) or m.lastindex != 6 else None
 
 
-def _edge_lines(text: str) -> Iterator[tuple[str, bool]]:
-    """Lines at the edges of a page that don't end as sentences do, and whether they are the very first or last (page numbers aside)."""
+def _edge_lines(text: str) -> Iterator[tuple[str, str]]:
+    """Lines at the edges of a page that don't end as sentences do, each with the line between it and the edge (page numbers aside): '' if there is none, ' ' if there is none but the line belongs to a sentence, '\\n' if it does and there is one."""
     lines = [s for s in (x.strip(_BLANK) for x in text.splitlines()) if s and not _SPECK.match(s) and page_number(s) is None]
     last = len(lines) - 1
     for i in {*range(min(TOP, last + 1)), *range(max(0, last + 1 - BOTTOM), last + 1)}:
@@ -90,15 +92,20 @@ def _edge_lines(text: str) -> Iterator[tuple[str, bool]]:
         if _MARK.match(s) or ";" in s or len(_GAP.findall(s)) > 1 or s.count(",") > 1 and _INDEX.search(s):
             continue
         if 4 <= len(s) <= 80 and (s[-1] not in ".,;?:-=‐¬\xad" or _SUFFIX.search(s)):
-            yield s, i in (0, last)
+            runs_on = s[0].islower() or i < last and lines[i + 1][0].islower() or s.count("(") > s.count(")")
+            if i in (0, last):
+                yield s, " " if runs_on else ""
+            else:
+                yield s, "\n" if runs_on else lines[i - 1] if i < TOP and i <= last - i else lines[i + 1]
 
 
 class Knowledge(NamedTuple):
-    """What the corpus tells: ``right`` (look -> the right word), ``words`` (valid words and their counts), ``furniture`` (keys of running headers and footers)."""
+    """What the corpus tells: ``right`` (look -> the right word), ``words`` (valid words and their counts), ``furniture`` (keys of running headers and footers of many documents), ``own`` (``doc``, ``own``: those of the single documents, as a table)."""
 
     right: dict[str, str]
     words: dict[str, int]
     furniture: frozenset[str]
+    own: DataFrame | None = None
 
 
 def corpus_words(df: DataFrame, text: str) -> DataFrame:
@@ -113,23 +120,53 @@ def corpus_words(df: DataFrame, text: str) -> DataFrame:
     return map_batches(df.select(text).where(F.col(text).isNotNull()), batch, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def edge_lines(df: DataFrame, text: str, document: str) -> DataFrame:
-    """``key``, ``documents``, ``outer``: on the page edges of how many documents a line recurs, and with what share as first or last line."""
+def edge_lines(df: DataFrame, text: str, document: str, page: str) -> DataFrame:
+    """``key``, ``doc``, ``page``, ``near``, ``n``: how often a line stands on the edges of a page's readings beside a line ``near`` ('' and ' ': the edge itself, see _edge_lines)."""
+
+    def batch(docs: list, pages: list, texts: list) -> dict[str, list]:
+        keys = {x: x for x in ("", " ", "\n")}
+        for t in texts:
+            for pair in _edge_lines(t):
+                for s in pair:
+                    if s not in keys:
+                        keys[s] = furniture_key(s)
+        seen = Counter((keys[s], d, p, keys[near] or near and "\n") for d, p, t in zip(docs, pages, texts) for s, near in _edge_lines(t) if len(keys[s]) > 3)
+        return {"key": [x[0] for x in seen], "doc": [x[1] for x in seen], "page": [x[2] for x in seen], "near": [x[3] for x in seen], "n": list(seen.values())}
 
-    def batch(docs: list, texts: list) -> dict[str, list]:
-        seen = Counter((furniture_key(s), d, outer) for d, t in zip(docs, texts) for s, outer in _edge_lines(t))
-        return {"key": [k for k, _, _ in seen], "doc": [d for _, d, _ in seen], "outer": [n * o for (_, _, o), n in seen.items()], "n": list(seen.values())}
+    src = df.select(F.xxhash64(document).alias("d"), F.col(page).cast("long").alias("p"), F.col(text).alias("t")).where(F.col(text).isNotNull())
+    return map_batches(src, batch, "key string, doc long, page long, near string, n long").groupBy("key", "doc", "page", "near").agg(F.sum("n").alias("n"))
 
-    pairs = map_batches(df.select(F.xxhash64(document).alias("d"), F.col(text).alias("t")).where(F.col(text).isNotNull()), batch, "key string, doc long, outer long, n long")
-    per_document = pairs.groupBy("key", "doc").agg(F.sum("outer").alias("outer"), F.sum("n").alias("n"))
-    return per_document.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), (F.sum("outer") / F.sum("n")).alias("outer"))
 
+def page_furniture(edges: DataFrame) -> DataFrame:
+    """``doc``, ``key``, ``documents`` of the running headers and footers of every document.
 
-def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem") -> Knowledge:
+    A line is one if it recurs over enough documents or over enough pages of this
+    document, and mostly stands at the very edge; over the pages of one document only if
+    it doesn't belong to a sentence, as sentences recur too. Lines beside furniture are at the edge
+    as well, so headers of up to TOP lines are found one line after another.
+    """
+    known = None
+    for _ in range(TOP):
+        if known is None:
+            rows = edges.withColumn("beside", F.lit(None).cast("boolean"))
+        else:
+            rows = edges.join(known.select("doc", F.col("key").alias("near"), F.lit(True).alias("beside")), ["doc", "near"], "left")
+        outer = F.col("near").isin("", " ") | F.col("beside").isNotNull()
+        per_document = rows.groupBy("key", "doc").agg(F.count_distinct("page").alias("pages"), F.sum(F.when(outer, F.col("n")).otherwise(0)).alias("outer"), F.sum(F.when(outer & (F.col("near") != " "), F.col("n")).otherwise(0)).alias("apart"), F.sum("n").alias("n"))
+        per_document = materialize(per_document, "edges")
+        per_key = per_document.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), (F.sum("outer") / F.sum("n")).alias("share")).where(F.col("documents") >= LEAST_DOCUMENTS)
+        wide = (F.col("documents") >= LEAST_DOCUMENTS) & (F.col("share") >= OUTER_SHARE)
+        single = (F.col("pages") >= LEAST_PAGES) & (F.col("apart") >= OUTER_SHARE * F.col("n"))
+        known = materialize(per_document.join(per_key, "key", "left").where(F.coalesce(wide, F.lit(False)) | single).select("doc", "key", F.when(wide, F.col("documents")).otherwise(0).alias("documents")), "furniture")
+    return known
+
+
+def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: str = "page_num") -> Knowledge:
     """Vocabulary and page furniture of a corpus.
 
-    Both come to the driver, and their sizes are bounded whatever the corpus: a word
-    must make up WORD_SHARE of all words, a line recur in EDGE_SHARE of all documents.
+    What comes to the driver is bounded whatever the corpus: a word must make up
+    WORD_SHARE of all words, a line recur in EDGE_SHARE of all documents. Furniture that
+    is rarer stays a table by document.
     """
     words = materialize(corpus_words(df, text), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -147,8 +184,11 @@ def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem") -> Know
         wrong.update(other for k, other in members if other != w and (k * DOMINANCE <= n or not other.isalpha()))
     valid = {w: n for w, n in kept.items() if w not in wrong}
     documents = df.agg(F.approx_count_distinct(document)).first()[0] or 0
-    lines = edge_lines(df, text, document).where((F.col("documents") >= max(LEAST_DOCUMENTS, EDGE_SHARE * documents)) & (F.col("outer") >= OUTER_SHARE) & (F.length("key") > 3)).collect()
-    return Knowledge(right, valid, frozenset(r["key"] for r in lines))
+    lines = page_furniture(materialize(edge_lines(df, text, document, page), "lines"))
+    common = F.col("documents") >= max(LEAST_DOCUMENTS, EDGE_SHARE * documents)
+    shared = lines.where(common).select("key").distinct().collect()
+    own = materialize(lines.where(~common).groupBy("doc").agg(F.collect_set("key").alias("own")), "own")
+    return Knowledge(right, valid, frozenset(r["key"] for r in shared), own)
 
 
 class Repair(NamedTuple):
@@ -191,6 +231,11 @@ class Reader:
             self.lines[line] = known
         return known
 
+    def is_own(self, line: str, own: list[str]) -> bool:
+        """Whether a line at an edge is furniture of its document, up to two slips of the scanner."""
+        key = furniture_key(line)
+        return key in own or len(key) >= 8 and kind(line) != "prose" and any((k[:5] == key[:5] or k[-5:] == key[-5:]) and abs(len(k) - len(key)) <= 1 and _slips(k, key) <= 2 for k in own)
+
     def misread(self, token: str) -> tuple[str, str] | None:
         """The core of a token and the word it should be, if the token is a misread word."""
         known = self.tokens.get(token, 0)
@@ -219,7 +264,7 @@ def _slips(a: str, b: str) -> int:
     return min(3, 1 + sum(map(str.__ne__, a[i:], b[i + 1 :])))
 
 
-def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Reader) -> Repair:
+def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Reader, own: list[str] | None = None) -> Repair:
     """One page of prose as continuous paragraphs, and what was wrong with it."""
     found: list[tuple[str, str]] = []
     kept: list[tuple[str, str] | None] = []
@@ -235,7 +280,7 @@ def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Re
                 continue
         if _SPECK.match(s):
             continue
-        if len(s) <= 80 and reader.is_furniture(s, edge):
+        if len(s) <= 80 and (reader.is_furniture(s, edge) or own and edge and reader.is_own(s, own)):
             found.append(("header", s))
             continue
         kept.append((s, k))
@@ -309,7 +354,7 @@ def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def scan_repair(df: DataFrame, know: Knowledge, key: str = "id", text: str = "text", page: str = "page_num") -> DataFrame:
+def scan_repair(df: DataFrame, know: Knowledge, key: str = "id", text: str = "text", page: str = "page_num", document: str = "pdf_stem") -> DataFrame:
     """key, ``repaired`` and ``found`` (array of ``kind``, ``item``) of every text that is mainly running prose.
 
     Kinds: 'hyphen', 'chars', 'header', 'page_number' as TESTDATA.md states them. Null,
@@ -318,16 +363,20 @@ def scan_repair(df: DataFrame, know: Knowledge, key: str = "id", text: str = "te
     are not read. Rows don't depend on each other beyond ``know``.
     """
     spark: SparkSession = df.sparkSession
-    shared: Broadcast[Knowledge] = spark.sparkContext.broadcast(know)
+    shared: Broadcast[Knowledge] = spark.sparkContext.broadcast(know._replace(own=None))
     of = dict(df.dtypes)[key]
 
-    def batch(reader: Reader, keys: list, texts: list, pages: list) -> dict[str, list]:
+    def batch(reader: Reader, keys: list, texts: list, pages: list, owns: list) -> dict[str, list]:
         done = []
-        for i, t, p in zip(keys, texts, pages):
+        for i, t, p, own in zip(keys, texts, pages, owns):
             lines = read_lines(t)
             if weigh(lines).running:
-                done.append((i, repair(lines, t, p, reader)))
+                done.append((i, repair(lines, t, p, reader, own)))
         return {"_key": [i for i, _ in done], "repaired": [r.text for _, r in done], "found": [[{"kind": a, "item": b} for a, b in r.found] for _, r in done]}
 
-    src = df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.col(page).alias("_p")).where(F.col(text).isNotNull())
+    src = df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.col(page).alias("_p"), F.xxhash64(document).alias("doc")).where(F.col(text).isNotNull())
+    if know.own is None:
+        src = src.withColumn("own", F.lit(None).cast("array<string>")).drop("doc")
+    else:  # by document; Spark broadcasts the table only where it is small
+        src = src.join(know.own, "doc", "left").select("_key", "_t", "_p", "own")
     return map_batches(src, batch, f"_key {of}, repaired string, found array<struct<kind:string,item:string>>", lambda: Reader(shared.value)).withColumnRenamed("_key", key)

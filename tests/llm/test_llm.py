@@ -131,6 +131,18 @@ def test_scan_repair(spark):
     assert scan_repair.scan_repair(empty, scan_repair.learn(empty)).count() == 0
 
 
+def test_headers_of_one_document_and_of_two_lines(spark):
+    body = "Vittnet {} gick nedanför torget klockan nio och såg sedan bilen vid hamnen.\nHan lämnade en handskriven lapp på disken och gick nedanför kajen."
+    rows = [(i, "ensam", i, f"Akten om kajbranden\nAvskrift för rotel fem\n{body.format(chr(97 + i) * 5)}") for i in range(8)]
+    rows += [(20 + i, f"d{i}", 1, f"POLISEN PROTOKOLL\nAvdelningen i hamnen\n{body.format(chr(110 + i) * 5)}") for i in range(6)]
+    rows += [(40 + i, "om", 1, f"Samma sida läst igen\n{body.format('zzzz')}") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, pdf_stem string, page_num int, text string")
+    got = {r["id"]: {f["item"] for f in r["found"] if f["kind"] == "header"} for r in scan_repair.scan_repair(df, scan_repair.learn(df)).collect()}
+    assert all(got[i] == {"Akten om kajbranden", "Avskrift för rotel fem"} for i in range(8))
+    assert all(got[20 + i] == {"POLISEN PROTOKOLL", "Avdelningen i hamnen"} for i in range(6))
+    assert not any(got[40 + i] for i in range(5))
+
+
 # ---- 4 ---------------------------------------------------------------------------
 
 texts = st.lists(st.text("ab .!?\n\t", min_size=0, max_size=60), max_size=60).map("".join)
