@@ -111,18 +111,42 @@ def token_cost(a: str, b: str) -> float:
     return 0.5 if within(a, b) and not (a in _GIVEN and b in _GIVEN) else 9
 
 
-def align(a: list[str], b: list[str], kind: str = "person") -> tuple[float, bool] | None:
-    """Cost of the best assignment of tokens and whether it rests on an initial, or None if the names can't be one.
+def _assign(cost: list[list[float]]) -> list[int]:
+    """The column of each row at least total cost (Hungarian method, square matrix)."""
+    n = len(cost)
+    u, v, row_of, way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, used = [float("inf")] * (n + 1), [False] * (n + 1)
+        while row_of[j]:
+            used[j] = True
+            for k in range(1, n + 1):
+                if not used[k] and (c := cost[row_of[j] - 1][k - 1] - u[row_of[j]] - v[k]) < least[k]:
+                    least[k], way[k] = c, j
+            nxt = min((k for k in range(1, n + 1) if not used[k]), key=least.__getitem__)
+            d = least[nxt]
+            for k in range(n + 1):
+                if used[k]:
+                    u[row_of[k]] += d
+                    v[k] -= d
+                else:
+                    least[k] -= d
+            j = nxt
+        while j:
+            row_of[j], j = row_of[way[j]], way[j]
+    out = [0] * n
+    for k in range(1, n + 1):
+        out[row_of[k] - 1] = k - 1
+    return out
 
-    The shorter list is assigned to distinct tokens of the longer one at least cost
-    (dynamic programming over sets of taken tokens, so the optimum). Left over may be
-    single initials only; at least one token must agree as a whole word.
-    """
-    if len(a) > len(b):
-        a, b = b, a
-    if not a or len(b) > 12 or len(b) - len(a) > 2:
-        return None
-    cost = [[token_cost(x, y) for y in b] for x in a]
+
+def _assignments(a: list[str], b: list[str], cost: list[list[float]]) -> list[tuple[float, tuple[int, ...]]]:
+    """Assignments of ``a`` to tokens of ``b``, the cheapest first: for each set of taken tokens, or the optimum alone for a long name."""
+    if len(b) > 12:
+        spare = [0.0 if y.endswith(".") and len(y) == 2 else 99.0 for y in b]
+        way = _assign([[x if x < 9 else 99.0 for x in row] for row in cost] + [spare] * (len(b) - len(a)))[: len(a)]
+        c = sum(row[j] for row, j in zip(cost, way))
+        return [(c, tuple(way))] if all(row[j] < 9 for row, j in zip(cost, way)) else []
     best = {0: (0.0, ())}
     for row in cost:
         nxt: dict[int, tuple] = {}
@@ -131,13 +155,28 @@ def align(a: list[str], b: list[str], kind: str = "person") -> tuple[float, bool
                 if not taken >> j & 1 and x < 9 and (t := taken | 1 << j) not in nxt or not taken >> j & 1 and x < 9 and nxt[t][0] > c + x:
                     nxt[t] = (c + x, (*way, j))
         best = nxt
-    for taken, (c, way) in sorted(best.items(), key=lambda kv: kv[1][0]):
-        rest = [y for j, y in enumerate(b) if not taken >> j & 1]
+    return sorted(best.values(), key=lambda x: x[0])
+
+
+def align(a: list[str], b: list[str], kind: str = "person") -> tuple[float, bool] | None:
+    """Cost of the best assignment of tokens and whether it rests on an initial, or None if the names can't be one.
+
+    The shorter list is assigned to distinct tokens of the longer one at least cost
+    (see _assignments). Left over may be single initials only; at least one token must
+    agree as a whole word, and be longer than three letters unless all tokens are equal.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    if not a or len(b) - len(a) > 2:
+        return None
+    cost = [[token_cost(x, y) for y in b] for x in a]
+    for c, way in _assignments(a, b, cost):
+        rest = [y for j, y in enumerate(b) if j not in way]
         if any(not (y.endswith(".") and len(y) == 2) for y in rest):
             continue
         pairs = list(zip(a, (b[j] for j in way)))
         whole = [p for p in pairs if not _is_short(p[0]) and not _is_short(p[1])]
-        if not any(len(x) > 3 for x, _ in whole) or sum(x != y and token_cost(x, y) == 0.5 for x, y in pairs) > 1:
+        if not any(len(x) > 3 for x, _ in whole) and not (whole and not rest and all(x == y for x, y in pairs)) or sum(x != y and token_cost(x, y) == 0.5 for x, y in pairs) > 1:
             continue
         if kind != "person" and all(len(x.rstrip(".")) > 2 for p in pairs for x in p) and whole:
             return c, False  # an abbreviated trade beside a place is no other's

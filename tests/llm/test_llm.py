@@ -334,6 +334,28 @@ def test_organisation_alignment(a, b, same):
     assert (names.align(names.tokens_of(a, "organisation"), names.tokens_of(b, "organisation"), "organisation") is not None) is same
 
 
+def test_short_and_long_names_are_linked(spark):
+    long_name = " ".join(f"{x}berga" for x in "Alme Bjur Dals Eker Frid Gran Holm Inge Jung Kall Lund Malm Nord Olme".split())
+    ns = ["Eva Ek", "Ek, Eva", "Bo Alm", "BO ALM", "Eva Alm", "Bo Ek", long_name, long_name.upper(), long_name.replace("Holm", "Hjelm").replace("Olme", "Sten")]
+    payload = '{"entiteter": [' + ", ".join(f'{{"typ": "person", "namn": "{n}"}}' for n in ns) + "]}"
+    got = defaultdict(set)
+    for r in names.link_names(spark.createDataFrame([(payload,)], "payload string"), spark.createDataFrame([], "target_json string")).collect():
+        got[r["entity"]].add(r["name"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, [ns[:2], ns[2:4], [ns[4]], [ns[5]], ns[6:8], [ns[8]]]))
+
+
+def test_long_assignment_is_the_optimum():
+    from itertools import permutations
+
+    rng = random.Random(5)
+    for _ in range(100):
+        n = rng.randint(1, 5)
+        cost = [[rng.choice([0.0, 0.3, 0.5, 99.0]) for _ in range(n)] for _ in range(n)]
+        total = lambda way: sum(cost[i][j] for i, j in enumerate(way))
+        way = names._assign(cost)
+        assert sorted(way) == list(range(n)) and total(way) == pytest.approx(min(map(total, permutations(range(n)))))
+
+
 def test_within_is_one_edit():
     def distance(a, b):
         d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
