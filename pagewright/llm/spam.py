@@ -20,8 +20,13 @@ EXTREME = 2.0
 SPAM_SHARE = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
+# What stands behind a dot without a blank and isn't the end of a host.
+_NO_SUFFIX = "nr|kl|st|kr|ex|tel|fören|pdf|txt|docx?|xlsx?|csv|jpe?g|png|gif|tiff?|bmp|html?|xml|json|zip|mp3|mp4|wav|avi"
 _LINK = re.compile(
-    r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|(?<![\w:])//|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:test|example|invalid|localhost|com|net|org|info|biz|shop|store|online|site|io|se|nu|no|dk|fi|de|at|ch|eu|co\.uk)\b(?:/\S*)?", re.I
+    r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|(?<![\w:])//|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:test|example|invalid|localhost|com|net|org|info|biz|shop|store|online|site|io|se|nu|no|dk|fi|de|at|ch|eu|co\.uk)\b(?:/\S*)?"
+    # a host by its shape: any last label of letters, in small letters or all in capitals, that is no file kind and no abbreviation
+    r"|(?<![\w.@-])(?-i:[\w-]{3,}(?:\.[\w-]+)*\.(?!(?:" + _NO_SUFFIX + r")\b)[a-z]{2,24}|[A-Z\d-]{3,}(?:\.[A-Z\d-]+)*\.(?!(?i:" + _NO_SUFFIX + r")\b)[A-Z]{2,24})(?![\w-]|\.\w)(?:/\S*)?",
+    re.I,
 )
 _HINT = re.compile(r"[\w-]\.[a-z]{2}|//|\]\(|<a\s|www\.", re.I)
 _TAG = re.compile(r"(?<!\w)#\w+")

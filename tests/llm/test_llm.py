@@ -484,6 +484,13 @@ def test_spam_share(text, high):
     assert (spam.spam_share(text) > 0.5) is high
 
 
+@pytest.mark.parametrize("suffix,high", [("xyz", True), ("ru", True), ("fr", True), ("com", True), ("XYZ", True), ("nr", False)])
+def test_hosts_by_their_shape(suffix, high):
+    text = "\n".join(f"{x}.{suffix}" for x in ("shop", "billigt", "klockor", "spela-nu", "salong", "butiken", "varuhus"))
+    assert (spam.spam_share(text.upper() if suffix.isupper() else text) > 0.5) is high
+    assert spam.spam_share("Han kom t.ex. inte hem enl.uppg. den kvällen, inv.nr 12.") == spam.spam_share("Hon gick.Polisen kom sedan.") == 0
+
+
 def test_spam_pages(spark):
     rng = random.Random(13)
     pick = lambda stem, n: f"{stem}{rng.randrange(n)}".translate(str.maketrans("0123456789", "abcdefghik"))
