@@ -6,11 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _LOCAL_DIRS: list[tempfile.TemporaryDirectory] = []
+#: Folders of the written tables, by the identity of their DataFrame.
+_TABLES: dict[int, str] = {}
 
 
 def get_spark(app: str = "pagewright", cpus: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -72,10 +75,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     Cuts lineage so that later stages never recompute it, survives the loss of
     executors, and keeps the columnar, compressed form (smaller than a row
-    checkpoint). The table is removed when the process ends.
+    checkpoint). The table is removed by ``release`` or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = path
+    weakref.finalize(out, _TABLES.pop, id(out), None)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once what was made of them is written; nothing may read them afterwards."""
+    for t in tables:
+        path = _TABLES.pop(id(t), None)
+        if path:
+            _delete(t.sparkSession, path)
