@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.arrow import map_batches
 from pagewright.llm.given_names import GIVEN, NICKNAMES
 from pagewright.llm.pii import TITLES
-from pagewright.operators.components import connected_components
+from pagewright.llm.components import connected_components
 from pagewright.session import materialize
 
 # Legal forms, which say nothing about which organisation it is.

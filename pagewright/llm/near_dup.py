@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import map_batches
-from pagewright.operators.components import connected_components
+from pagewright.llm.components import connected_components
 from pagewright.session import materialize, with_package
 
 #: Three-word sequences and one half, as the project states its problem (TESTDATA).

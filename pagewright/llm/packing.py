@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import map_batches
-from pagewright.operators.ranks import exact_ranks
+from pagewright.llm.ranks import exact_ranks
 from pagewright.session import materialize
 
 CAPACITY = 2048

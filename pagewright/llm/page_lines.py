@@ -25,9 +25,23 @@ _SENTENCE = re.compile(r"[^\W_][)\]]?[.?!](?=\s|$)")
 _OTHER = bytes(b for b in range(256) if not chr(b).isalpha() or chr(b) in "ªº")
 _VOWELS = "aeiouyåäöéüàáâêëïAEIOUYÅÄÖÉÜ".encode("latin-1")
 
+_WIDE = re.compile(r"[^\x00-\xff]")
+
 PROSE, ROW, GARBAGE, NEUTRAL = "prose", "row", "garbage", "neutral"
 
 
+def letters_of(text: str) -> tuple[int, int, int]:
+    """Letters of any script, Latin-1 letters, Latin-1 vowels."""
+    try:
+        raw = text.encode("latin-1")
+        latin = letters = len(raw.translate(None, _OTHER))
+    except UnicodeEncodeError:
+        raw = text.encode("latin-1", "replace")
+        latin = len(raw.translate(None, _OTHER))
+        letters = latin + sum(map(str.isalpha, _WIDE.findall(text)))
+    return letters, latin, len(raw) - len(raw.translate(None, _VOWELS))
+
+
 def kind(line: str) -> str:
     """What one stripped, non-empty line looks like by itself."""
     words = line.split()
@@ -40,22 +54,22 @@ def kind(line: str) -> str:
         gaps = len(_GAP.findall(line))
         if gaps >= max(2 if n > 4 else 1, n // 6) and not (turn and run * 2 >= n):
             return ROW
-    raw = line.encode("latin-1", "replace")
-    letters = len(raw.translate(None, _OTHER))
+    letters, latin, vowels = letters_of(line)
     solid = len(line) - n + 1
+    if latin * 2 < letters:  # another script: letters without case count as small ones, the look of Latin words says nothing
+        run = sum([w == w.lower() and w != w.strip("0123456789.,-") or w.isalpha() and w == w.lower() for w in words])
     if solid >= 12 and letters * 10 < solid * 6:
         signs = solid - letters - sum(map(str.isdigit, line))
         if signs * 20 > solid * 7:
             return GARBAGE
     if solid >= 12 and letters * 10 < solid * 6 and run * 3 < n:
         return GARBAGE if letters * 10 < solid * 4 or not _INDEX.search(line) else ROW
-    if letters >= 12:
-        vowels = len(raw) - len(raw.translate(None, _VOWELS))
-        if vowels * 100 < letters * 22 or vowels * 100 > letters * 62 or letters * 10 < n * 19:
+    if letters >= 12 and latin * 2 >= letters:
+        if vowels * 100 < latin * 22 or vowels * 100 > latin * 62 or letters * 10 < n * 19:
             return GARBAGE
         if letters > n * 24 and run * 2 < n:
             return GARBAGE
-    if turn or n >= 3 and run * 2 >= n:
+    if turn or n >= 3 and run * 2 >= n or latin * 2 < letters and letters >= 12 and line[-1] in "。！？、":
         return PROSE
     if 1 < n <= 8 and run * 3 < n * 2 and not line[0].isdigit() and _INDEX.search(line):
         return ROW

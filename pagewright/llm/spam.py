@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import map_batches
 from pagewright.llm.page_lines import _BLANK, _MARK, _TURN, FUNCTION_WORDS, GARBAGE, kind, read_page
-from pagewright.session import materialize
+from pagewright.session import materialize, release
 
 #: A word belongs to a language's prose model from this share on (at most 100,000 words a language); any other word counts as this rare.
 MODEL_SHARE = 1e-5
 #: Deviations from prose of the language and length beyond which a curve is extreme.
 EXTREME = 2.0
+#: Prose texts of a language and length from which their deviation is taken, else that of the whole language.
+LEAST_PROSE = 20
 #: Share of a candidate's characters in keywords, links, tags and offers from which it is spam.
 SPAM_SHARE = 0.5
 
@@ -92,68 +94,83 @@ def _is_keywords(part: str, words: Counter, total: int) -> bool:
     return sum(map(str.isdigit, part)) * 8 <= len(part)
 
 
-def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, ``tongue``, ``prose`` (mainly running text), ``terms`` (array of word and count), ``n`` (words) and ``spam`` of every text with a word."""
+def word_counts(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """Of every text with a word: ``_row`` (unique), ``_key``, ``_digest``, ``tongue``, ``prose`` (mainly running text), ``n`` (words), ``terms`` (array of word and count) and ``curve`` (array of ``c``, ``m``: m words occur c times)."""
     of = dict(df.dtypes)[key]
 
-    def batch(keys: list, texts: list) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("_key", "tongue", "prose", "terms", "n", "spam")}
-        for k, t in zip(keys, texts):
+    def batch(rows: list, keys: list, digests: list, claims: list, texts: list) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("_row", "_key", "_digest", "tongue", "prose", "n", "terms", "curve")}
+        for r, k, d, claim, t in zip(rows, keys, digests, claims, texts):
             w = _WORD.findall(t.lower())
             if not w:
                 continue
-            common = {c: sum(map(v.__contains__, w)) for c, v in FUNCTION_WORDS.items()}
+            counts = Counter(w)
+            common = {c: sum(map(counts.__getitem__, v & counts.keys())) for c, v in FUNCTION_WORDS.items()}
+            tongue = max(common, key=common.get)
+            out["_row"].append(r)
             out["_key"].append(k)
-            out["tongue"].append(max(common, key=common.get) if any(common.values()) else None)
-            out["prose"].append(read_page(t).running and sum(common.values()) * 8 >= len(w))
-            out["terms"].append([{"word": x, "c": c} for x, c in Counter(w).items()])
+            out["_digest"].append(d)
+            out["tongue"].append(tongue if common[tongue] else claim)
+            out["prose"].append(sum(common.values()) * 8 >= len(w) and read_page(t).running)
             out["n"].append(len(w))
-            out["spam"].append(round(spam_share(t), 4))
+            out["terms"].append([{"word": x, "c": c} for x, c in counts.items()])
+            out["curve"].append([{"c": c, "m": m} for c, m in Counter(counts.values()).items()])
         return out
 
-    src = df.select(F.col(key).alias("_key"), F.col(text).alias("_t")).where(F.length(text) > 0)
-    return map_batches(src, batch, f"_key {of}, tongue string, prose boolean, terms array<struct<word:string,c:int>>, n int, spam double")
+    claimed = F.lower(F.trim(F.col(lang)))
+    claimed = F.when(claimed.isin(*FUNCTION_WORDS), claimed).otherwise("sv")
+    src = df.where(F.length(text) > 0).select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_digest"), claimed.alias("_claim"), F.col(text).alias("_t"))
+    return map_batches(src, batch, f"_row long, _key {of}, _digest long, tongue string, prose boolean, n int, terms array<struct<word:string,c:int>>, curve array<struct<c:int,m:int>>")
 
 
 def curves(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rank-frequency figures of every text: ``_key``, ``tongue``, ``bucket`` (binary logarithm of its words), ``prose``, ``spam``,
+    """Rank-frequency figures of every text: ``_key``, ``_digest``, ``tongue``, ``bucket`` (binary logarithm of its words), ``n``, ``prose``,
     ``slope`` and ``residual`` of log frequency over log rank, ``top`` (share of the most frequent word), ``divergence``
     from the prose of its language.
 
-    Ranks come from a window over the words of one text (ties by word), the line from
-    regression aggregates; texts without function words take the language they claim,
-    Swedish if none. Null and empty texts and those without a word have no row.
+    Words that are equally frequent share their mean rank, so a curve is some ten points
+    with weights, whatever the length of the text. Ranks are running sums in a window over
+    the points of one text, the line is fitted by aggregates over them. Texts without
+    function words take the language they claim, Swedish if none. Null and empty texts
+    and those without a word have no row; repeated rows have a row each.
     """
-    claimed = F.lower(F.trim(F.col(lang)))
-    base = df.select(F.col(key), F.col(text), F.when(claimed.isin("sv", "en", "de"), claimed).otherwise("sv").alias("_claim"))
-    counted = materialize(word_counts(base, key, text).join(base.select(F.col(key).alias("_key"), "_claim").dropDuplicates(["_key"]), "_key").withColumn("tongue", F.coalesce("tongue", "_claim")).drop("_claim"), "wordcounts")
-    terms = counted.select("_key", "tongue", "n", F.explode("terms").alias("t")).select("_key", "tongue", "n", "t.word", "t.c")
+    counted = materialize(word_counts(df, key, text, lang), "wordcounts")
     # The prose model: counts of whole words by language, aggregated before the shuffle; its size is bounded by MODEL_SHARE.
     prose = counted.where("prose").select("tongue", F.explode("terms").alias("t")).groupBy("tongue", F.col("t.word").alias("word")).agg(F.sum("t.c").alias("m"))
+    prose = materialize(prose, "prosewords")
     total = prose.groupBy("tongue").agg(F.sum("m").alias("all"))
     model = materialize(prose.join(F.broadcast(total), "tongue").where(F.col("m") >= MODEL_SHARE * F.col("all")).select("tongue", "word", (F.col("m") / F.col("all")).alias("q")), "prosemodel")
-    seen = terms.join(F.broadcast(model), ["tongue", "word"], "left").withColumn("p", F.col("c") / F.col("n"))
-    by_rank = Window.partitionBy("_key").orderBy(F.desc("c"), "word")
-    ranked = seen.withColumn("x", F.log(F.row_number().over(by_rank))).withColumn("y", F.log("c"))
-    figures = ranked.groupBy("_key").agg(
-        F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.sqrt(F.greatest(F.regr_syy("y", "x") - F.pow(F.regr_sxy("y", "x"), 2) / F.nullif(F.regr_sxx("y", "x"), F.lit(0.0)), F.lit(0.0)) / F.count(F.lit(1))), F.lit(0.0)).alias("residual"),
-        F.max("p").alias("top"),
-        F.sum(F.col("p") * F.log(F.col("p") / F.coalesce("q", F.lit(MODEL_SHARE)))).alias("divergence"),
-    )
-    return counted.select("_key", "tongue", F.floor(F.log2("n")).alias("bucket"), "n", "prose", "spam").join(figures, "_key")
+    # The words of a text stand together, so nearly all of this is added up before the shuffle.
+    terms = counted.select("_row", "tongue", "n", F.explode("terms").alias("t")).select("_row", "tongue", "t.word", (F.col("t.c") / F.col("n")).alias("p"))
+    far = terms.join(F.broadcast(model), ["tongue", "word"], "left").groupBy("_row").agg(F.sum(F.col("p") * F.log(F.col("p") / F.coalesce("q", F.lit(MODEL_SHARE)))).alias("divergence"))
+    by_rank = Window.partitionBy("_row").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = counted.select("_row", F.explode("curve").alias("p")).select("_row", "p.c", "p.m")
+    points = points.select("_row", "c", "m", F.log(F.sum("m").over(by_rank) - (F.col("m") - 1) / 2).alias("x"), F.log("c").alias("y"))
+    sums = {"k": F.sum("m"), "sx": F.sum(F.expr("m * x")), "sy": F.sum(F.expr("m * y")), "sxx": F.sum(F.expr("m * x * x")), "sxy": F.sum(F.expr("m * x * y")), "syy": F.sum(F.expr("m * y * y")), "most": F.max("c")}
+    fit = points.groupBy("_row").agg(*[v.alias(k) for k, v in sums.items()])
+    dxx, dxy, dyy = (F.expr(f"s{a}{b} - s{a} * s{b} / k") for a, b in ("xx", "xy", "yy"))
+    flat = dxx < 1e-9
+    figures = fit.select(
+        "_row", F.when(flat, 0.0).otherwise(dxy / dxx).alias("slope"),
+        F.when(flat, 0.0).otherwise(F.sqrt(F.greatest(dyy - dxy * dxy / dxx, F.lit(0.0)) / F.col("k"))).alias("residual"), "most",
+    )
+    base = counted.select("_row", "_key", "_digest", "tongue", F.floor(F.log2("n")).alias("bucket"), "n", "prose")
+    out = materialize(base.join(figures, "_row").join(far, "_row").withColumn("top", F.col("most") / F.col("n")).drop("_row", "most"), "curves")
+    release(counted, prose, model)
+    return out
 
 
 def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per text with a word: key, the figures of ``curves``, ``extreme`` (largest deviation from prose) and ``is_spam``.
-
-    A text is a candidate when its slope, residual, top word or divergence lies EXTREME
-    standard deviations from those of prose of the same language and length; a candidate
-    is spam when keywords, links, tags and offers make up SPAM_SHARE of it. Where a
-    language and length has no prose, the language's prose stands in, then all prose;
-    without any prose every text is a candidate.
+    """One row per text with a word: key, the figures of ``curves``, ``extreme`` (largest deviation from prose), ``spam`` and ``is_spam``.
+
+    A text is flagged when its slope, residual, top word or divergence lies EXTREME
+    standard deviations from those of prose of the same language and length. Only flagged
+    texts are looked at: one is spam when keywords, links, tags and offers make up more
+    than SPAM_SHARE of it (``spam``; null for the others). Where a language has no prose
+    of a length (its deviation isn't known from fewer than LEAST_PROSE texts), all prose
+    of the language stands in, then all prose; without any prose every text is flagged.
     """
-    got = materialize(curves(df, key, text, lang), "curves")
+    got = curves(df, key, text, lang)
     names = ("slope", "residual", "top", "divergence")
 
     def norms(*by: str) -> DataFrame:
@@ -163,7 +180,7 @@ def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     out = got
     for i, by in enumerate((("tongue", "bucket"), ("tongue",), ())):
         ref = norms(*by)
-        ref = ref.where(F.col("k") >= (20 if i == 0 else 1)).select(*by, *[F.col(f"{p}_{c}").alias(f"{p}{i}_{c}") for c in names for p in "ms"])
+        ref = ref.where(F.col("k") >= (LEAST_PROSE if i == 0 else 1)).select(*by, *[F.col(f"{p}_{c}").alias(f"{p}{i}_{c}") for c in names for p in "ms"])
         out = out.join(F.broadcast(ref), list(by), "left") if by else out.join(F.broadcast(ref), F.lit(True), "left")
 
     def z(c: str) -> Column:
@@ -171,4 +188,14 @@ def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return F.abs(F.col(c) - m) / F.greatest(s, F.lit(1e-3))
 
     extreme = F.greatest(*[F.coalesce(z(c), F.lit(99.0)) for c in names])
-    return out.select(F.col("_key").alias(key), "tongue", "n", "slope", "residual", "top", "divergence", "spam", extreme.alias("extreme"), ((extreme >= EXTREME) & (F.col("spam") > SPAM_SHARE)).alias("is_spam"))
+    scored = materialize(out.select("_key", "_digest", "tongue", "n", "slope", "residual", "top", "divergence", extreme.alias("extreme")), "extremes")
+    flagged = scored.where(F.col("extreme") >= EXTREME).select("_key", "_digest").distinct()
+
+    def check(keys: list, digests: list, texts: list) -> dict[str, list]:
+        return {"_key": keys, "_digest": digests, "spam": [round(spam_share(t), 4) for t in texts]}
+
+    texts = df.where(F.length(text) > 0).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_digest"), F.col(text).alias("_t")).join(flagged, ["_key", "_digest"], "left_semi")
+    shares = map_batches(texts, check, f"_key {dict(df.dtypes)[key]}, _digest long, spam double").dropDuplicates(["_key", "_digest"])
+    return scored.join(shares, ["_key", "_digest"], "left").select(
+        F.col("_key").alias(key), "tongue", "n", "slope", "residual", "top", "divergence", "spam", "extreme", F.coalesce((F.col("extreme") >= EXTREME) & (F.col("spam") > SPAM_SHARE), F.lit(False)).alias("is_spam")
+    )
