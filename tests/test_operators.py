@@ -1,5 +1,4 @@
 import difflib
-import random
 
 import pytest
 from hypothesis import given, settings
@@ -9,8 +8,6 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.operators import chunk as C
 from pagewright.operators import geo, graph, pages, quality, retrieval, state
-from pagewright.operators.components import connected_components
-from pagewright.operators.ranks import exact_ranks
 
 
 def one(spark, column, **values):
@@ -18,44 +15,6 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()[0]
 
 
-def test_exact_ranks_equal_brute_force(spark):
-    rng = random.Random(3)
-    data = [(rng.choice("ab"), float(rng.randint(0, 40))) for _ in range(900)] + [("a", 7.0)] * 700 + [(None, 1.0), ("a", None)]
-    got = exact_ranks(spark.createDataFrame(data, "g string, v double").repartition(7), ["g"], "v").collect()
-    clean = [(g, v) for g, v in data if g is not None and v is not None]
-    assert len(got) == len(set(clean))
-    for r in got:
-        assert r["n"] == clean.count((r["g"], r["v"]))
-        assert r["below"] == sum(g == r["g"] and v < r["v"] for g, v in clean)
-        assert r["total"] == sum(g == r["g"] for g, _ in clean)
-
-
-def test_exact_ranks_of_nothing(spark):
-    assert exact_ranks(spark.createDataFrame([], "g string, v double"), ["g"], "v").count() == 0
-
-
-def test_components_equal_brute_force(spark):
-    rng = random.Random(5)
-    links = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(0, i) for i in range(200, 260)] + [(i, i + 1) for i in range(300, 340)]
-    parent = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        if a != b:
-            parent[max(find(a), find(b))] = min(find(a), find(b))
-    want = {x: find(x) for x in list(parent)}
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: c for x, c in want.items()}
-
-
-def test_components_of_self_links(spark):
-    assert connected_components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
-
-
 @pytest.mark.parametrize(
     "text,score",
     [("", 0.0), ("   ", 0.0), ("Vittnet såg bilen vid torget och gick sedan hem.", None)],
