@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 
@@ -22,6 +21,8 @@ _FOLD = str.maketrans("åäàáâöøóòéèêëüúùíìîñç", "aaaaaooooee
 _TITLE = re.compile(rf"^(?:(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\s+)+", re.I)
 #: Edit distance (with transpositions) that two spellings of one token may have.
 SLIPS = 1
+#: Names with one key that are compared in one place; more are parted.
+BLOCK = 1000
 
 
 def fold(token: str) -> str:
@@ -34,6 +35,19 @@ _GIVEN = frozenset(map(fold, GIVEN))
 _NICK = {fold(k): tuple(map(fold, v)) for k, v in NICKNAMES.items()}
 
 
+def _classes() -> dict[str, str]:
+    """Names and their short forms, each with one of those it hangs together with."""
+    of: dict[str, str] = {}
+    for nick, names in _NICK.items():
+        same = {nick, *names}
+        same |= {k for k, v in of.items() if v in {of.get(x) for x in same}}
+        of.update(dict.fromkeys(same, min(same)))
+    return of
+
+
+_CLASS = _classes()
+
+
 def tokens_of(name: str, kind: str) -> list[str]:
     """The folded tokens that tell a name: without titles, legal forms, 'och', 'i' and genitive endings; initials and abbreviations keep their full stop."""
     if kind == "person":
@@ -167,7 +181,7 @@ def align(a: list[str], b: list[str], kind: str = "person") -> tuple[float, bool
     """
     if len(a) > len(b):
         a, b = b, a
-    if not a or len(b) - len(a) > 2:
+    if not a:
         return None
     cost = [[token_cost(x, y) for y in b] for x in a]
     for c, way in _assignments(a, b, cost):
@@ -184,28 +198,31 @@ def align(a: list[str], b: list[str], kind: str = "person") -> tuple[float, bool
     return None
 
 
-def index_keys(tokens: list[str]) -> set[str]:
-    """Blocks a name is looked for in: two tokens, one of them as it stands and one with a
-    character taken out, or one with a character taken out and the initial of another.
+def whole_keys(tokens: list[str]) -> set[str]:
+    """Blocks of whole names: all whole tokens in order of the alphabet, one of them with a character taken out or none.
 
-    Blocks hold about one person or organisation each, as both tokens must agree; a
-    frequent given name or word alone makes no block.
+    Two names that differ by one slip or by short forms share such a key, so a block holds
+    the spellings of about one person or organisation, however frequent their words are.
     """
     full = [t for t in tokens if not _is_short(t)]
-    out: set[str] = set()
+    forms = [_CLASS.get(t, t) for t in full]
+    out = {" ".join(sorted(forms))} if full else set()
     for i, t in enumerate(full):
-        forms = [(x,) for x in _NICK.get(t, ())] + [(t,)]
-        for j, u in enumerate(full):
-            if i != j:
-                for (f,) in forms:
-                    out.update(f"2{f}|{d}" for d in deletes(u))
-                    out.update(f"2{f2}|{d}" for f2 in (u,) for d in deletes(f))
+        rest = " ".join(sorted([*forms[:i], *forms[i + 1 :]]))
+        out.update(f"{d}|{rest}" for d in deletes(t))
+    return out
+
+
+def initial_keys(tokens: list[str]) -> set[str]:
+    """Blocks in which a name with initials or abbreviations is looked for: a family name (or word) with a character taken out and the initial of another token."""
+    full = [t for t in tokens if not _is_short(t)]
+    out: set[str] = set()
     family = [t for t in full if t not in _GIVEN and t not in _NICK] or full
     for t in family:
-        rest = [u for u in tokens if u is not t]
-        for u in rest:
-            for first in {u[0], *(x[0] for x in _NICK.get(u, ()))}:
-                out.update(f"1{d}|{first}" for d in deletes(t))
+        for u in tokens:
+            if u is not t:
+                for first in {u[0], *(x[0] for x in _NICK.get(u, ()))}:
+                    out.update(f"{d}/{first}" for d in deletes(t))
     return out
 
 
@@ -234,16 +251,37 @@ def entity_names(entities: DataFrame, decisions: DataFrame) -> DataFrame:
     return map_batches(payloads, batch, "kind string, name string").distinct()
 
 
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct pairs ``a``, ``b`` of a name of ``left`` and another of ``right`` that share a key.
+
+    The names of a key that has more than BLOCK of them on the right are parted into
+    blocks, and the left ones meet each block by itself, so no task gets a whole hot key.
+    """
+    hot = materialize(right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hotkeys")  # at most 1 in BLOCK keys
+    one = F.coalesce(F.col("blocks"), F.lit(1))
+    x = left.join(F.broadcast(hot), "key", "left").select("key", F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), one - 1)).alias("block"))
+    y = right.join(F.broadcast(hot), "key", "left").select("key", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), one).cast("int").alias("block"))
+    return x.join(y, ["key", "block"]).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def name_links(names: DataFrame) -> DataFrame:
     """Links ``a < b`` (names marked with their kind), ``weak`` where the link rests on an initial or abbreviation."""
 
     def keys(kinds: list, ns: list) -> dict[str, list]:
-        rows = [(xxhash.xxh64_intdigest(f"{k[0]}{x}") - 2**63, f"{k[0]}{n}") for k, n in zip(kinds, ns) for x in index_keys(tokens_of(n, k))]
-        return {"key": [k for k, _ in rows], "node": [n for _, n in rows]}
+        out: dict[str, list] = {"key": [], "node": [], "how": []}
+        for k, n in zip(kinds, ns):
+            t = tokens_of(n, k)
+            # 0: whole names among each other; 1: names with an initial or abbreviation; 2: what these may stand for
+            for how, found in ((0, whole_keys(t)), (1 if any(map(_is_short, t)) else 2, initial_keys(t))):
+                out["key"] += [xxhash.xxh64_intdigest(f"{k[0]}{x}") - 2**63 for x in found]
+                out["node"] += [f"{k[0]}{n}"] * len(found)
+                out["how"] += [how] * len(found)
+        return out
 
-    index = materialize(map_batches(names.select("kind", "name"), keys, "key long, node string"), "nameindex")
-    shared = index.join(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "key", "left_semi")
-    pairs = shared.select("key", F.col("node").alias("a")).join(shared.select("key", F.col("node").alias("b")), "key").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    index = map_batches(names.select("kind", "name"), keys, "key long, node string, how int")
+    index = materialize(index.join(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "key", "left_semi"), "nameindex")
+    whole, short, any_ = index.where("how = 0"), index.where("how = 1"), index.where("how > 0")
+    pairs = _pairs(whole, whole).unionByName(_pairs(short, any_)).distinct()
 
     def verify(a: list, b: list) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": [], "weak": []}
@@ -259,6 +297,12 @@ def name_links(names: DataFrame) -> DataFrame:
     return map_batches(pairs, verify, "a string, b string, weak boolean")
 
 
+def _only_short(name: str, kind: str) -> bool:
+    """Whether a name has a shortened token and fewer than two whole ones."""
+    t = tokens_of(name, kind)
+    return any(_is_short(x) and len(x) > 1 for x in t) and sum(not _is_short(x) for x in t) < 2
+
+
 def link_names(entities: DataFrame, decisions: DataFrame) -> DataFrame:
     """``kind``, ``name``, ``entity`` (smallest whole spelling of its person or organisation), ``links``.
 
@@ -269,19 +313,22 @@ def link_names(entities: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     names = materialize(entity_names(entities, decisions), "names")
     links = materialize(name_links(names), "namelinks")
-    nodes = names.select(F.concat(F.substring("kind", 1, 1), F.col("name")).alias("node"), "kind", "name")
+    marked = map_batches(
+        names.select("kind", "name"), lambda kinds, ns: {"node": [f"{k[0]}{n}" for k, n in zip(kinds, ns)], "kind": kinds, "name": ns, "only_short": [_only_short(n, k) for k, n in zip(kinds, ns)]},
+        "node string, kind string, name string, only_short boolean",
+    )
     strong = connected_components(links.where(~F.col("weak")).select("a", "b"))
-    base = materialize(nodes.join(strong, "node", "left").select("node", "kind", "name", F.coalesce("component", "node").alias("c"), F.col("component").isNotNull().alias("whole")), "namebase")
+    base = materialize(marked.join(strong, "node", "left").select("node", "kind", "name", "only_short", F.coalesce("component", "node").alias("c")), "namebase")
     weak = links.where("weak").select("a", "b").unionByName(links.where("weak").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    member = base.select(F.col("node").alias("b"), F.col("c").alias("cb"))
-    # Components of one side, and all components of the other side they could join.
-    side = weak.join(base.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(member, "b").where(F.col("ca") != F.col("cb")).select("ca", "cb").distinct()
-    short = F.udf(lambda n: any(_is_short(t) and len(t) > 1 for t in tokens_of(n[1:], "person" if n[0] == "p" else "organisation")) and sum(not _is_short(t) for t in tokens_of(n[1:], "person" if n[0] == "p" else "organisation")) < 2, "boolean")
-    full = base.groupBy("c").agg(F.min(short("node")).alias("only_short"))
-    to_full = side.join(full.where(~F.col("only_short")).select(F.col("c").alias("cb")), "cb").join(full.where("only_short").select(F.col("c").alias("ca")), "ca")
-    one = to_full.groupBy("ca").agg(F.min("cb").alias("cb"), F.count(F.lit(1)).alias("n")).where(F.col("n") == 1).select("ca", "cb")
-    lonely = side.join(full.where("only_short").select(F.col("c").alias("ca")), "ca").join(full.where("only_short").select(F.col("c").alias("cb")), "cb").join(to_full.select("ca").distinct(), "ca", "left_anti").join(to_full.select(F.col("ca").alias("cb")).distinct(), "cb", "left_anti")
-    merged = connected_components(one.unionByName(lonely.select("ca", "cb")), "ca", "cb")
+    full = base.groupBy("c").agg(F.min("only_short").alias("only_short"))
+    # Components that rest on short spellings alone, and all components of the other side they could join.
+    side = weak.join(base.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(base.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where(F.col("ca") != F.col("cb")).select("ca", "cb").distinct()
+    side = side.join(full.select(F.col("c").alias("ca"), F.col("only_short").alias("sa")), "ca").where("sa").join(full.select(F.col("c").alias("cb"), F.col("only_short").alias("sb")), "cb")
+    side = materialize(side.select("ca", "cb", "sb"), "nameside")
+    to_full = side.where("not sb").groupBy("ca").agg(F.min("cb").alias("cb"), F.count(F.lit(1)).alias("n"))
+    reached = to_full.select("ca")
+    lonely = side.where("sb").join(reached, "ca", "left_anti").join(reached.select(F.col("ca").alias("cb")), "cb", "left_anti").select("ca", "cb")
+    merged = connected_components(to_full.where("n = 1").select("ca", "cb").unionByName(lonely), "ca", "cb")
     out = base.join(merged.withColumnRenamed("node", "c"), "c", "left").select("kind", "name", F.coalesce("component", "c").alias("entity"))
     counts = out.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("links"))
     return out.join(counts, "entity").select("kind", "name", F.expr("substring(entity, 2)").alias("entity"), "links")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import map_batches
 from pagewright.llm.components import connected_components
-from pagewright.session import materialize, with_package
+from pagewright.session import materialize, release, with_package
 
 #: Three-word sequences and one half, as the project states its problem (TESTDATA).
 WORDS, SIMILARITY, LEAST_WORDS = 3, 0.5, 20
@@ -65,7 +65,7 @@ def text_signatures(df: DataFrame, key: str, text: str, group: str, every: bool
     equal words in their order, and for a text without words it is its own.
     """
     src = df if every else df.where(F.length(text) >= 2 * LEAST_WORDS - 1)
-    src = src.select(F.col(key).alias("id"), F.coalesce(F.nullif(F.hash(F.coalesce(group, F.lit(""))), F.lit(0)), F.lit(1)).alias("stem"), F.col(text).alias("t"))
+    src = src.select(F.col(key).alias("id"), F.coalesce(F.nullif(F.xxhash64(F.coalesce(F.col(group).cast("string"), F.lit(""))), F.lit(0)), F.lit(1)).alias("stem"), F.col(text).alias("t"))
 
     def batch(words: _Words, ids: list, stems: list, texts: list) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "stem": [], "same": [], "sig": []}
@@ -84,7 +84,7 @@ def text_signatures(df: DataFrame, key: str, text: str, group: str, every: bool
                 out["sig"].append(None)
         return out
 
-    return map_batches(src, batch, "id long, stem int, same binary, sig binary", _Words)
+    return map_batches(src, batch, "id long, stem long, same binary, sig binary", _Words)
 
 
 #: The columns of a sketch.
@@ -123,7 +123,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sizes = np.diff(np.r_[starts, len(cell)])
         many = np.maximum.reduceat(stems, starts) != np.minimum.reduceat(stems, starts)
-        zero = np.minimum.reduceat(np.abs(stems), starts) == 0
+        zero = np.minimum.reduceat(stems != 0, starts) == 0
         for s, n in zip(starts[(sizes > 1) & (many | zero)], sizes[(sizes > 1) & (many | zero)]):
             part = slice(s, s + n)
             yield from pairs(sides[part], ids[part], stems[part], bits[part])
@@ -171,7 +171,7 @@ def forest_candidates(reps: DataFrame, within: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(prefix.ravel().view(np.int64)), pa.array(ids), pa.array(stems), *[pa.array(np.repeat(bits[:, i], TREES)) for i in range(len(_SKETCH))]], names=["prefix", "id", "stem", *_SKETCH])
 
     with_package(reps.sparkSession)
-    rows = reps.select("id", "stem", "sig").mapInArrow(orders, "prefix long, id long, stem int, " + ", ".join(f"{b} long" for b in _SKETCH))
+    rows = reps.select("id", "stem", "sig").mapInArrow(orders, "prefix long, id long, stem long, " + ", ".join(f"{b} long" for b in _SKETCH))
     # At most TREES / BLOCK of the texts' number of regions are large, 12 bytes each.
     large = materialize(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("prefix", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "regions")
     sized = rows.join(F.broadcast(large), "prefix", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0)))
@@ -179,7 +179,7 @@ def forest_candidates(reps: DataFrame, within: bool = False) -> DataFrame:
     x, y = F.least("own", "other"), F.greatest("own", "other")
     placed = spread.select(
         F.when(F.col("blocks").isNull(), F.col("prefix")).otherwise(F.xxhash64("prefix", x, y)).alias("cell"),
-        F.when(x == y, 0).when(F.col("own") == x, 1).otherwise(2).alias("side"), "id", (F.lit(0) if within else F.col("stem")).alias("stem"), *_SKETCH,
+        F.when(x == y, 0).when(F.col("own") == x, 1).otherwise(2).alias("side"), "id", (F.lit(0).cast("long") if within else F.col("stem")).alias("stem"), *_SKETCH,
     )
     return placed.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_neighbours, "a long, b long").distinct()
 
@@ -226,8 +226,10 @@ class Forest:
         # Copies are gathered by a partial aggregate over the digest; however many there are, one row goes on.
         classes = materialize(signed.groupBy("same").agg(F.min(F.struct("id", "sig")).alias("first"), F.min("stem").alias("lo"), F.max("stem").alias("hi")).select("same", F.col("first.id").alias("rep"), "lo", "hi", F.col("first.sig").alias("sig")), "classes")
         self.members = signed.select("id", "stem", "same", F.col("sig").isNotNull().alias("long")).join(classes.select("same", "rep", "lo", "hi"), "same").select("id", "stem", "rep", "lo", "hi", "long")
-        reps = classes.where(F.col("sig").isNotNull()).select(F.col("rep").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(0).alias("stem"), "sig")
-        self.pairs = materialize(verified(materialize(forest_candidates(reps, within), "candidates"), df, key, text, similarity), "similar")
+        reps = classes.where(F.col("sig").isNotNull()).select(F.col("rep").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(0).cast("long")).alias("stem"), "sig")
+        candidates = materialize(forest_candidates(reps, within), "candidates")
+        self.pairs = materialize(verified(candidates, df, key, text, similarity), "similar")
+        release(candidates)
 
     def between_groups(self) -> DataFrame:
         """All pairs ``id_a < id_b`` of readings of different groups, copies written out."""

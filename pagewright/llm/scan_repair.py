@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import map_batches
-from pagewright.llm.page_lines import _BLANK, _GAP, _INDEX, _MARK, ROW, kind, read_lines, weigh
+from pagewright.llm.page_lines import _BLANK, _GAP, _INDEX, _MARK, PROSE, ROW, kind, read_lines, weigh
 from pagewright.llm.pii import automaton, find_spans
-from pagewright.session import materialize
+from pagewright.session import materialize, release
 
-#: Share of all words from which a word belongs to the vocabulary, so the vocabulary has at most 500,000 words; and the least count.
-WORD_SHARE, LEAST_COUNT = 2e-6, 4
+#: A word seen this often in different texts is attested. Attested words from this share of all words on (at most 500,000) are known to all tasks; the others are looked up in a table.
+LEAST_COUNT, WORD_SHARE = 4, 2e-6
 #: A word this many times as frequent as one that looks the same to a scanner is the right one.
 DOMINANCE = 8
 #: A line on the page edges of so many documents, or on so many pages of one document, is page furniture if this share of its places is a page's first or last line or beside other furniture.
@@ -31,6 +31,7 @@ _JOIN = re.compile(rf"(?<=[^\W\d_])[{_HYPHENS}][ \t]*\r?\n[ \t]*(?=[a-zà-öø-
 _TOKEN = re.compile(r"[^\W_]+(?:[-=|!][^\W_]+)*")
 _TAIL = re.compile(rf"([^\W_]+(?:[-–][^\W_]+)*)[{_HYPHENS}][ \t]*$")
 _HEAD = re.compile(r"[a-zà-öø-ÿ0-9][^\W_]*")
+_BREAKS = re.compile(rf"[{_HYPHENS}][ \t]*\r?\n")
 _NUM = r"[0-9lIOoSB|]{1,4}"
 _NUMBER_LINE = re.compile(
     rf"(?:[-–—~]\s*({_NUM})\s*[-–—~]|[\[({{]\s*({_NUM})\s*[\])}}]|(?:[sS5][iIl1|]d(?:an|a)?|[sS5]\.|[pP]\.|[bB8][lI1|]ad|[pP]age)\s*({_NUM})(?:\s*(?:av|/|\()\s*{_NUM}\)?)?|({_NUM})\s*\(\s*{_NUM}\s*\)|({_NUM})\s*(?:/|av)\s*{_NUM}|({_NUM}))\.?"
@@ -91,7 +92,7 @@ def _edge_lines(text: str) -> Iterator[tuple[str, str]]:
         s = lines[i]
         if _MARK.match(s) or ";" in s or len(_GAP.findall(s)) > 1 or s.count(",") > 1 and _INDEX.search(s):
             continue
-        if 4 <= len(s) <= 80 and (s[-1] not in ".,;?:-=‐¬\xad" or _SUFFIX.search(s)):
+        if len(s) >= 4 and (s[-1] not in ".,;?:-=‐¬\xad" or _SUFFIX.search(s)):
             runs_on = s[0].islower() or i < last and lines[i + 1][0].islower() or s.count("(") > s.count(")")
             if i in (0, last):
                 yield s, " " if runs_on else ""
@@ -100,16 +101,16 @@ def _edge_lines(text: str) -> Iterator[tuple[str, str]]:
 
 
 class Knowledge(NamedTuple):
-    """What the corpus tells: ``right`` (look -> the right word), ``words`` (valid words and their counts), ``furniture`` (keys of running headers and footers of many documents), ``own`` (``doc``, ``own``: those of the single documents, as a table)."""
+    """What the corpus tells: ``words`` (frequent valid words and their counts), ``furniture`` (keys of running headers and footers of many documents), ``own`` (``doc``, ``own``: those of the single documents, and what is between printed and counted page numbers) and ``local`` (``digest``, ``local``: what is known of a text's other words)."""
 
-    right: dict[str, str]
     words: dict[str, int]
     furniture: frozenset[str]
     own: DataFrame | None = None
+    local: DataFrame | None = None
 
 
-def corpus_words(df: DataFrame, text: str) -> DataFrame:
-    """``word``, ``n`` over all texts, broken words put together; counted per batch before the shuffle."""
+def corpus_words(df: DataFrame, text: str, key: str) -> DataFrame:
+    """``word``, ``n`` over all different texts, broken words put together; counted per batch before the shuffle. Copies of a text count once, so a page copied many times can't make its misreadings words."""
 
     def batch(texts: list) -> dict[str, list]:
         c: Counter[str] = Counter()
@@ -117,24 +118,93 @@ def corpus_words(df: DataFrame, text: str) -> DataFrame:
             c.update(_TOKEN.findall(_JOIN.sub("", t).lower()))
         return {"word": list(c), "n": list(c.values())}
 
-    return map_batches(df.select(text).where(F.col(text).isNotNull()), batch, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    firsts = df.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("h")).agg(F.min(key).alias("k")).select("k")
+    src = df.where(F.col(text).isNotNull()).join(firsts, F.col(key) == F.col("k"), "left_semi").select(text)
+    return map_batches(src, batch, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def edge_lines(df: DataFrame, text: str, document: str, page: str) -> DataFrame:
-    """``key``, ``doc``, ``page``, ``near``, ``n``: how often a line stands on the edges of a page's readings beside a line ``near`` ('' and ' ': the edge itself, see _edge_lines)."""
+def vocabulary(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``word``, ``n`` of the valid words, and ``key``, ``right``: the valid word that looks so.
 
-    def batch(docs: list, pages: list, texts: list) -> dict[str, list]:
-        keys = {x: x for x in ("", " ", "\n")}
-        for t in texts:
-            for pair in _edge_lines(t):
-                for s in pair:
-                    if s not in keys:
-                        keys[s] = furniture_key(s)
-        seen = Counter((keys[s], d, p, keys[near] or near and "\n") for d, p, t in zip(docs, pages, texts) for s, near in _edge_lines(t) if len(keys[s]) > 3)
-        return {"key": [x[0] for x in seen], "doc": [x[1] for x in seen], "page": [x[2] for x in seen], "near": [x[3] for x in seen], "n": list(seen.values())}
+    Of the words that look the same to a scanner the most frequent is right, if it is
+    attested; the others are misread where they are DOMINANCE times as rare, not attested
+    or no plain words.
+    """
+
+    def keys(ws: list, ns: list) -> dict[str, list]:
+        rows = [(k, w, n, w.isalpha()) for w, n in zip(ws, ns) for k in looks(w)]
+        return dict(zip(("key", "word", "n", "alpha"), map(list, zip(*rows)))) if rows else {c: [] for c in ("key", "word", "n", "alpha")}
+
+    like = materialize(map_batches(words.select("word", "n"), keys, "key string, word string, n long, alpha boolean"), "looks")
+    best = like.groupBy("key").agg(F.max(F.struct("n", "alpha", "word")).alias("b")).select("key", F.col("b.n").alias("bn"), F.col("b.word").alias("right")).where((F.col("bn") >= LEAST_COUNT) & ~F.col("right").rlike(r"\d"))
+    best = materialize(best, "best")
+    rare = (F.col("n") * DOMINANCE <= F.col("bn")) | ~F.col("alpha") | (F.col("n") < LEAST_COUNT)
+    wrong = like.join(best, "key").where((F.col("word") != F.col("right")) & rare).select("word").distinct()
+    valid = materialize(words.where(F.col("n") >= LEAST_COUNT).join(wrong, "word", "left_anti"), "valid")
+    rights = materialize(best.join(valid.select(F.col("word").alias("right")), "right", "left_semi").select("key", "right"), "rights")
+    release(like, best)
+    return valid, rights
+
+
+def _suspect(token: str) -> str | None:
+    """The word in a token of a text, small, if it may be a misread one."""
+    low = token.strip(_STRIP).lower().translate(_LIGATURES)
+    return None if len(low) < 3 or "@" in low or "/" in low or sum(map(str.isdigit, low)) * 2 > len(low) else low
 
-    src = df.select(F.xxhash64(document).alias("d"), F.col(page).cast("long").alias("p"), F.col(text).alias("t")).where(F.col(text).isNotNull())
-    return map_batches(src, batch, "key string, doc long, page long, near string, n long").groupBy("key", "doc", "page", "near").agg(F.sum("n").alias("n"))
+
+def _broken(text: str) -> Iterator[tuple[str, str]]:
+    """For each word broken over lines the whole word and the compound it may be, whichever of the next lines goes on (page furniture may stand between)."""
+    lines = text.splitlines()
+    for i, s in enumerate(lines):
+        tail = _TAIL.search(s[s.rstrip().rfind(" ") + 1 :]) if s.rstrip()[-1:] in _HYPHENS and s.strip() else None
+        for x in lines[i + 1 : i + 5] if tail else ():
+            head = _HEAD.match(x.strip(_BLANK))
+            if head:
+                yield (tail[1] + head[0]).lower(), f"{tail[1]}-{head[0]}".lower()
+
+
+def lines_and_words(df: DataFrame, text: str, document: str, page: str, common: Broadcast[dict[str, int]]) -> DataFrame:
+    """In one pass over the texts two tables. With ``what`` 'e': ``key``, ``doc``, ``page``, ``near``, ``n``, how often a line stands on the edges of a page's readings beside a line ``near`` ('' and ' ': the edge itself, see _edge_lines); a page number there has the key '#' and what it is ahead of the page. With 'w': ``key``, the words of a text (``doc`` is its digest) that aren't among the common ones, and what its broken words may be."""
+
+    def batch(docs: list, pages: list, digests: list, texts: list) -> dict[str, list]:
+        words = common.value
+        keys = {x: x for x in ("", " ", "\n")}
+        seen: Counter[tuple] = Counter()
+        known: dict[str, str | None] = {}
+        postings: set[tuple[str, int]] = set()
+        for d, p, h, t in zip(docs, pages, digests, texts):
+            for s, near in _edge_lines(t):
+                for x in (s, near):
+                    if x not in keys:
+                        keys[x] = furniture_key(x)
+                if len(keys[s]) > 3:
+                    seen[keys[s], d, p, keys[near] or near and "\n"] += 1
+            if p is not None:
+                seen.update((f"#{n - p}", d, p, "") for n in _edge_numbers(t))
+            broken = _BREAKS.search(t) is not None
+            for token in {*(_JOIN.sub("", t) if broken else t).split()}:
+                low = known.get(token, "")
+                if low == "":
+                    low = _suspect(token)
+                    low = known[token] = None if low in words else low
+                if low is not None:
+                    postings.add((low, h))
+            if broken:
+                postings.update((w, h) for pair in _broken(t) for w in pair if w not in words)
+        e, w = list(seen), list(postings)
+        return {
+            "what": ["e"] * len(e) + ["w"] * len(w), "key": [x[0] for x in e] + [x[0] for x in w], "doc": [x[1] for x in e] + [x[1] for x in w],
+            "page": [x[2] for x in e] + [None] * len(w), "near": [x[3] for x in e] + [None] * len(w), "n": [*seen.values()] + [None] * len(w),
+        }
+
+    src = df.select(F.xxhash64(document).alias("d"), F.col(page).cast("long").alias("p"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).where(F.col(text).isNotNull())
+    return map_batches(src, batch, "what string, key string, doc long, page long, near string, n long")
+
+
+def _edge_numbers(text: str) -> set[int]:
+    """Numbers that stand alone on a line at the edges of a page."""
+    lines = [s for s in (x.strip(_BLANK) for x in text.splitlines()) if s]
+    return {int(n) for s in {*lines[:TOP], *lines[-BOTTOM:]} if (n := page_number(s)) is not None and n.isdigit()}
 
 
 def page_furniture(edges: DataFrame) -> DataFrame:
@@ -143,9 +213,12 @@ def page_furniture(edges: DataFrame) -> DataFrame:
     A line is one if it recurs over enough documents or over enough pages of this
     document, and mostly stands at the very edge; over the pages of one document only if
     it doesn't belong to a sentence, as sentences recur too. Lines beside furniture are at the edge
-    as well, so headers of up to TOP lines are found one line after another.
+    as well, so headers of up to TOP lines are found one line after another. Page numbers
+    that run on over the pages of a document have one key (see lines_and_words), which must
+    be that of most of its numbered pages.
     """
     known = None
+    numbered = edges.where(F.col("key").startswith("#")).groupBy("doc").agg(F.count_distinct("page").alias("numbered"))
     for _ in range(TOP):
         if known is None:
             rows = edges.withColumn("beside", F.lit(None).cast("boolean"))
@@ -155,40 +228,47 @@ def page_furniture(edges: DataFrame) -> DataFrame:
         per_document = rows.groupBy("key", "doc").agg(F.count_distinct("page").alias("pages"), F.sum(F.when(outer, F.col("n")).otherwise(0)).alias("outer"), F.sum(F.when(outer & (F.col("near") != " "), F.col("n")).otherwise(0)).alias("apart"), F.sum("n").alias("n"))
         per_document = materialize(per_document, "edges")
         per_key = per_document.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), (F.sum("outer") / F.sum("n")).alias("share")).where(F.col("documents") >= LEAST_DOCUMENTS)
-        wide = (F.col("documents") >= LEAST_DOCUMENTS) & (F.col("share") >= OUTER_SHARE)
+        wide = ~F.col("key").startswith("#") & (F.col("documents") >= LEAST_DOCUMENTS) & (F.col("share") >= OUTER_SHARE)
         single = (F.col("pages") >= LEAST_PAGES) & (F.col("apart") >= OUTER_SHARE * F.col("n"))
-        known = materialize(per_document.join(per_key, "key", "left").where(F.coalesce(wide, F.lit(False)) | single).select("doc", "key", F.when(wide, F.col("documents")).otherwise(0).alias("documents")), "furniture")
+        single = single & (~F.col("key").startswith("#") | (F.col("pages") * 2 > F.col("numbered")))
+        known = materialize(per_document.join(per_key, "key", "left").join(numbered, "doc", "left").where(F.coalesce(wide, F.lit(False)) | F.coalesce(single, F.lit(False))).select("doc", "key", F.when(wide, F.col("documents")).otherwise(0).alias("documents")), "furniture")
     return known
 
 
-def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: str = "page_num") -> Knowledge:
+def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: str = "page_num", key: str = "id") -> Knowledge:
     """Vocabulary and page furniture of a corpus.
 
-    What comes to the driver is bounded whatever the corpus: a word must make up
-    WORD_SHARE of all words, a line recur in EDGE_SHARE of all documents. Furniture that
-    is rarer stays a table by document.
+    What comes to the driver and goes to all tasks is bounded whatever the corpus: a word
+    must make up WORD_SHARE of all words, a line recur in EDGE_SHARE of all documents. All
+    else stays in tables: rarer furniture by document, and by text what is known of its
+    rarer words, so the bounds decide where a thing is looked up, not whether it is known.
     """
-    words = materialize(corpus_words(df, text), "words")
+    words = materialize(corpus_words(df, text, key), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = {r["word"]: r["n"] for r in words.where(F.col("n") >= max(LEAST_COUNT, WORD_SHARE * total)).collect()}
-    groups = defaultdict(list)
-    for w, n in kept.items():
-        for key in looks(w):
-            groups[key].append((n, w))
-    right, wrong = {}, set()
-    for key, members in groups.items():
-        n, w = max(members, key=lambda x: (x[0], x[1].isalpha(), x[1]))
-        if any(c.isdigit() for c in w):
-            continue
-        right[key] = w
-        wrong.update(other for k, other in members if other != w and (k * DOMINANCE <= n or not other.isalpha()))
-    valid = {w: n for w, n in kept.items() if w not in wrong}
+    valid, rights = vocabulary(words)
+    common = {r["word"]: r["n"] for r in valid.where(F.col("n") >= WORD_SHARE * total).collect()}
+    shared = df.sparkSession.sparkContext.broadcast(common)
+    raw = materialize(lines_and_words(df, text, document, page, shared), "lines")
+
+    edges = materialize(raw.where("what = 'e'").groupBy("key", "doc", "page", "near").agg(F.sum("n").alias("n")), "edgelines")
     documents = df.agg(F.approx_count_distinct(document)).first()[0] or 0
-    lines = page_furniture(materialize(edge_lines(df, text, document, page), "lines"))
-    common = F.col("documents") >= max(LEAST_DOCUMENTS, EDGE_SHARE * documents)
-    shared = lines.where(common).select("key").distinct().collect()
-    own = materialize(lines.where(~common).groupBy("doc").agg(F.collect_set("key").alias("own")), "own")
-    return Knowledge(right, valid, frozenset(r["key"] for r in shared), own)
+    lines = page_furniture(edges)
+    wide = F.col("documents") >= max(LEAST_DOCUMENTS, EDGE_SHARE * documents)
+    furniture = lines.where(wide).select("key").distinct().collect()
+    own = materialize(lines.where(~wide).groupBy("doc").agg(F.collect_set("key").alias("own")), "own")
+
+    postings = raw.where("what = 'w'").select(F.col("key").alias("word"), F.col("doc").alias("digest")).distinct()
+    asked = materialize(postings.select("word").distinct().join(valid, "word", "left"), "asked")
+
+    def keys(ws: list) -> dict[str, list]:
+        rows = [(w, i, k) for w in ws for i, k in enumerate(looks(w))]
+        return dict(zip(("word", "i", "key"), map(list, zip(*rows)))) if rows else {c: [] for c in ("word", "i", "key")}
+
+    fixes = map_batches(asked.where("n is null").select("word"), keys, "word string, i int, key string").join(rights, "key").groupBy("word").agg(F.min_by("right", "i").alias("right"))
+    told = asked.where("n is not null").select("word", "n", F.lit(None).cast("string").alias("right")).unionByName(fixes.where("word <> right").select("word", F.lit(0).cast("long").alias("n"), "right"))
+    local = materialize(postings.join(told, "word").groupBy("digest").agg(F.collect_list(F.struct("word", "n", "right")).alias("local")), "local")
+    release(raw, edges, words, valid, rights, asked)
+    return Knowledge(common, frozenset(r["key"] for r in furniture), own, local)
 
 
 class Repair(NamedTuple):
@@ -197,61 +277,58 @@ class Repair(NamedTuple):
 
 
 class Reader:
-    """The knowledge of a corpus with what a task remembers of lines and words it has seen."""
+    """The knowledge of a corpus with what a task remembers of lines it has seen, and what is known of the words of the text at hand."""
 
     def __init__(self, know: Knowledge):
         self.know, self.anchors = know, automaton()
-        self.heads = {k[:3] for k in know.furniture}
-        self.openings: dict[str, bool] = {}
-        self.by_length = defaultdict(list)
+        self.parts: dict[tuple, list[str]] = defaultdict(list)
         for k in know.furniture:
-            self.by_length[len(k)].append(k)
+            for i, part in enumerate(_thirds(k)):
+                self.parts[i, len(k), part].append(k)
         self.lines: dict[str, bool] = {}
-        self.tokens: dict[str, tuple[str, str] | None] = {}
-
-    def is_furniture(self, line: str, edge: bool) -> bool:
-        """Whether a line recurs at page edges; at an edge up to two slips of the scanner more are forgiven."""
-        if not edge:
-            opening = line[:4]
-            may = self.openings.get(opening)
-            if may is None:
-                if len(self.openings) > 500_000:
-                    self.openings.clear()
-                may = self.openings[opening] = furniture_key(line)[:3] in self.heads
-            if not may:
-                return False
+        self.local: dict[str, tuple[int, str | None]] = {}
+
+    def is_furniture(self, line: str) -> bool:
+        """Whether a line recurs at page edges, up to two slips of the scanner."""
         known = self.lines.get(line)
         if known is None:
             if len(self.lines) > 500_000:
                 self.lines.clear()
             key = furniture_key(line)
-            known = key in self.know.furniture
-            if not known and len(key) >= 8 and kind(line) != "prose":
-                known = any(k[:5] == key[:5] or k[-5:] == key[-5:] for n in (-1, 0, 1) for k in self.by_length[len(key) + n] if _slips(k, key) <= 2)
+            known = key in self.know.furniture or len(key) >= 8 and kind(line) != "prose" and self._like(key)
             self.lines[line] = known
         return known
 
+    def _like(self, key: str) -> bool:
+        """Whether a key is two slips at most from one of the furniture: one of three parts of that is then untouched, moved by a character at most."""
+        size = len(key)
+        for n in (size - 1, size, size + 1):
+            a, b = n // 3, 2 * n // 3
+            for i, (s, e) in enumerate(((0, a), (a, b), (b, n))):
+                for move in (0,) if n == size else (0, size - n):
+                    if any(_slips(k, key) <= 2 for k in self.parts.get((i, n, key[s + move : e + move]), ())):
+                        return True
+        return False
+
     def is_own(self, line: str, own: list[str]) -> bool:
         """Whether a line at an edge is furniture of its document, up to two slips of the scanner."""
         key = furniture_key(line)
-        return key in own or len(key) >= 8 and kind(line) != "prose" and any((k[:5] == key[:5] or k[-5:] == key[-5:]) and abs(len(k) - len(key)) <= 1 and _slips(k, key) <= 2 for k in own)
+        return key in own or len(key) >= 8 and kind(line) != "prose" and any(abs(len(k) - len(key)) <= 1 and k[0] != "#" and _slips(k, key) <= 2 for k in own)
+
+    def count(self, word: str) -> int:
+        """How often a valid word occurs, 0 for any other."""
+        return self.know.words.get(word) or self.local.get(word, (0, None))[0]
 
     def misread(self, token: str) -> tuple[str, str] | None:
         """The core of a token and the word it should be, if the token is a misread word."""
-        known = self.tokens.get(token, 0)
-        if known == 0:
-            if len(self.tokens) > 2_000_000:
-                self.tokens.clear()
-            known = self.tokens[token] = self._misread(token)
-        return known
-
-    def _misread(self, token: str) -> tuple[str, str] | None:
         core = token.strip(_STRIP)
-        low = core.lower().translate(_LIGATURES)
-        if len(low) < 3 or low in self.know.words or "@" in low or "/" in low or sum(map(str.isdigit, low)) * 2 > len(low):
-            return None
-        good = next((g for k in looks(low) if (g := self.know.right.get(k)) and g in self.know.words), None)
-        return None if good is None or good == low else (core, good)
+        got = self.local.get(core.lower().translate(_LIGATURES))
+        return (core, got[1]) if got and got[1] else None
+
+
+def _thirds(key: str) -> tuple[str, str, str]:
+    a, b = len(key) // 3, 2 * len(key) // 3
+    return key[:a], key[a:b], key[b:]
 
 
 def _slips(a: str, b: str) -> int:
@@ -266,6 +343,7 @@ def _slips(a: str, b: str) -> int:
 
 def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Reader, own: list[str] | None = None) -> Repair:
     """One page of prose as continuous paragraphs, and what was wrong with it."""
+    runs_on = {str(page + int(k[1:])) for k in own or () if k[0] == "#"} if page is not None else ()
     found: list[tuple[str, str]] = []
     kept: list[tuple[str, str] | None] = []
     last, at = len(lines) - 1, 0
@@ -275,18 +353,22 @@ def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Re
             kept.append(None)
         edge = i < TOP or i > last - BOTTOM
         if len(s) <= 18 and (n := page_number(s)) is not None:
-            if page is not None and n == str(page) or edge and not s.isalnum():
+            if page is not None and n == str(page) or edge and (n in runs_on or not s.isalnum()):
                 found.append(("page_number", s))
                 continue
         if _SPECK.match(s):
             continue
-        if len(s) <= 80 and (reader.is_furniture(s, edge) or own and edge and reader.is_own(s, own)):
+        if (edge or k != PROSE) and reader.is_furniture(s) or own and edge and reader.is_own(s, own):
             found.append(("header", s))
             continue
         kept.append((s, k))
-    body = "\n".join(_join(kept, reader.know, found))
-    known = reader.tokens.get
-    suspects = [(m.start(), m[0], x) for m in _WORDS.finditer(body) if known(m[0], m) is not None and (x := reader.misread(m[0]))]
+    paragraphs = _join(kept, reader, found)
+    body = "\n".join(s for s, _ in paragraphs)
+    suspects, at = [], 0
+    for s, is_row in paragraphs if any(x[1] for x in reader.local.values()) else ():
+        if not is_row:
+            suspects += [(at + m.start(), m[0], x) for m in _WORDS.finditer(s) if (x := reader.misread(m[0]))]
+        at += len(s) + 1
     out, at = [], 0
     if suspects:
         spans = find_spans(body.replace("\x02", " "), reader.anchors)
@@ -317,21 +399,22 @@ def _blank_before(text: str) -> list[bool]:
     return out
 
 
-def _join(lines: list[tuple[str, str] | None], know: Knowledge, found: list[tuple[str, str]]) -> list[str]:
-    """Paragraphs from lines (None for an empty one); words broken over two lines are put together, with \\x02 at their ends."""
+def _join(lines: list[tuple[str, str] | None], reader: Reader, found: list[tuple[str, str]]) -> list[tuple[str, bool]]:
+    """Paragraphs and rows (marked) from lines (None for an empty one); words broken over two lines are put together, with \x02 at their ends."""
     out: list[str] = []
+    rows: list[bool] = []
     open_ = False
     for x in lines:
         if x is None:
             open_ = False
             continue
         s, k = x
-        tail = out and out[-1][-1:] in _HYPHENS and _TAIL.search(out[-1]) or None
+        tail = out and out[-1][-1:] in _HYPHENS and _TAIL.search(out[-1], max(out[-1].rfind(" "), out[-1].rfind("\x02")) + 1) or None
         head = _HEAD.match(s) if tail else None
         if tail and head and not tail[1].isdigit() and not head[0].isdigit():
             left, right = tail[1], head[0]
             whole, own = (left + right).lower(), f"{left}-{right}".lower()
-            if know.words.get(own, 0) > know.words.get(whole, 0) or left.split("-")[-1].isupper() and len(left) < 5 and whole not in know.words:
+            if reader.count(own) > reader.count(whole) or left.split("-")[-1].isupper() and len(left) < 5 and not reader.count(whole):
                 out[-1] = out[-1][: tail.end(1)] + "-" + s
             else:
                 found.append(("hyphen", whole))
@@ -342,8 +425,9 @@ def _join(lines: list[tuple[str, str] | None], know: Knowledge, found: list[tupl
             out[-1] += " " + s
         else:
             out.append(s)
+            rows.append(k == ROW)
         open_ = k != ROW
-    return out
+    return list(zip(out, rows))
 
 
 _WORDS = re.compile(r"[^\s\x02]+")
@@ -363,20 +447,20 @@ def scan_repair(df: DataFrame, know: Knowledge, key: str = "id", text: str = "te
     are not read. Rows don't depend on each other beyond ``know``.
     """
     spark: SparkSession = df.sparkSession
-    shared: Broadcast[Knowledge] = spark.sparkContext.broadcast(know._replace(own=None))
+    shared: Broadcast[Knowledge] = spark.sparkContext.broadcast(know._replace(own=None, local=None))
     of = dict(df.dtypes)[key]
 
-    def batch(reader: Reader, keys: list, texts: list, pages: list, owns: list) -> dict[str, list]:
+    def batch(reader: Reader, keys: list, texts: list, pages: list, owns: list, locals_: list) -> dict[str, list]:
         done = []
-        for i, t, p, own in zip(keys, texts, pages, owns):
+        for i, t, p, own, local in zip(keys, texts, pages, owns, locals_):
             lines = read_lines(t)
             if weigh(lines).running:
+                reader.local = {x["word"]: (x["n"], x["right"]) for x in local or ()}
                 done.append((i, repair(lines, t, p, reader, own)))
         return {"_key": [i for i, _ in done], "repaired": [r.text for _, r in done], "found": [[{"kind": a, "item": b} for a, b in r.found] for _, r in done]}
 
-    src = df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.col(page).alias("_p"), F.xxhash64(document).alias("doc")).where(F.col(text).isNotNull())
-    if know.own is None:
-        src = src.withColumn("own", F.lit(None).cast("array<string>")).drop("doc")
-    else:  # by document; Spark broadcasts the table only where it is small
-        src = src.join(know.own, "doc", "left").select("_key", "_t", "_p", "own")
-    return map_batches(src, batch, f"_key {of}, repaired string, found array<struct<kind:string,item:string>>", lambda: Reader(shared.value)).withColumnRenamed("_key", key)
+    src = df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.col(page).alias("_p"), F.xxhash64(document).alias("doc"), F.xxhash64(text).alias("digest")).where(F.col(text).isNotNull())
+    # By document and by text; Spark broadcasts the tables only where they are small.
+    src = src.join(know.own, "doc", "left") if know.own is not None else src.withColumn("own", F.lit(None).cast("array<string>"))
+    src = src.join(know.local, "digest", "left") if know.local is not None else src.withColumn("local", F.lit(None).cast("array<struct<word:string,n:long,right:string>>"))
+    return map_batches(src.select("_key", "_t", "_p", "own", "local"), batch, f"_key {of}, repaired string, found array<struct<kind:string,item:string>>", lambda: Reader(shared.value)).withColumnRenamed("_key", key)
