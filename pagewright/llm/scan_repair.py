@@ -84,20 +84,30 @@ def page_number(line: str) -> str | None:
     return n.translate(str.maketrans("lI|OoSB", "1110058")) if any(c.isdigit() for c in line) or m.lastindex != 6 else None
 
 
-def _edge_lines(text: str) -> Iterator[tuple[str, str]]:
-    """Lines at the edges of a page that don't end as sentences do, each with the line between it and the edge (page numbers aside): '' if there is none, ' ' if there is none but the line belongs to a sentence, '\\n' if it does and there is one."""
-    lines = [s for s in (x.strip(_BLANK) for x in text.splitlines()) if s and not _SPECK.match(s) and page_number(s) is None]
-    last = len(lines) - 1
+def _edge_lines(text: str) -> tuple[list[tuple[str, str]], set[int]]:
+    """Lines at the edges of a page that don't end as sentences do, each with the line between it and the edge (page numbers aside): '' if there is none, ' ' if there is none but the line belongs to a sentence, '\\n' if it does and there is one; and the numbers that stand alone on a line at the edges."""
+    every = [s for s in [x.strip(_BLANK) for x in text.splitlines()] if s]
+    n = len(every)
+    numbers: set[int] = set()
+    lines = []
+    for i, s in enumerate(every):
+        number = page_number(s) if len(s) <= 18 else None
+        if number is not None:
+            if (i < TOP or i >= n - BOTTOM) and number.isdigit():
+                numbers.add(int(number))
+        elif not _SPECK.match(s):
+            lines.append(s)
+    last, out = len(lines) - 1, []
     for i in {*range(min(TOP, last + 1)), *range(max(0, last + 1 - BOTTOM), last + 1)}:
         s = lines[i]
-        if _MARK.match(s) or ";" in s or len(_GAP.findall(s)) > 1 or s.count(",") > 1 and _INDEX.search(s):
+        if len(s) < 4 or s[-1] in ".,;?:-=‐¬\xad" and not _SUFFIX.search(s) or _MARK.match(s) or ";" in s or len(_GAP.findall(s)) > 1 or s.count(",") > 1 and _INDEX.search(s):
             continue
-        if len(s) >= 4 and (s[-1] not in ".,;?:-=‐¬\xad" or _SUFFIX.search(s)):
-            runs_on = s[0].islower() or i < last and lines[i + 1][0].islower() or s.count("(") > s.count(")")
-            if i in (0, last):
-                yield s, " " if runs_on else ""
-            else:
-                yield s, "\n" if runs_on else lines[i - 1] if i < TOP and i <= last - i else lines[i + 1]
+        runs_on = s[0].islower() or i < last and lines[i + 1][0].islower() or s.count("(") > s.count(")")
+        if i in (0, last):
+            out.append((s, " " if runs_on else ""))
+        else:
+            out.append((s, "\n" if runs_on else lines[i - 1] if i < TOP and i <= last - i else lines[i + 1]))
+    return out, numbers
 
 
 class Knowledge(NamedTuple):
@@ -118,8 +128,11 @@ def corpus_words(df: DataFrame, text: str, key: str) -> DataFrame:
             c.update(_TOKEN.findall(_JOIN.sub("", t).lower()))
         return {"word": list(c), "n": list(c.values())}
 
-    firsts = df.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("h")).agg(F.min(key).alias("k")).select("k")
-    src = df.where(F.col(text).isNotNull()).join(firsts, F.col(key) == F.col("k"), "left_semi").select(text)
+    of = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(key).alias("k"))
+    first = of.groupBy("h").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.col("k").alias("first"))
+    # Written, so that its size is known: a short list of copies spares the texts a shuffle.
+    copies = materialize(of.join(first, "h").where("k > first").select("k"), "copies")
+    src = df.where(F.col(text).isNotNull()).join(copies, F.col(key) == F.col("k"), "left_anti").select(text)
     return map_batches(src, batch, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -164,7 +177,7 @@ def _broken(text: str) -> Iterator[tuple[str, str]]:
 
 
 def lines_and_words(df: DataFrame, text: str, document: str, page: str, common: Broadcast[dict[str, int]]) -> DataFrame:
-    """In one pass over the texts two tables. With ``what`` 'e': ``key``, ``doc``, ``page``, ``near``, ``n``, how often a line stands on the edges of a page's readings beside a line ``near`` ('' and ' ': the edge itself, see _edge_lines); a page number there has the key '#' and what it is ahead of the page. With 'w': ``key``, the words of a text (``doc`` is its digest) that aren't among the common ones, and what its broken words may be."""
+    """In one pass over the texts two tables. With ``what`` 'e': ``key``, ``doc``, ``page``, ``near``, ``n``, how often a line stands on the edges of a page's readings beside a line ``near`` ('' and ' ': the edge itself, see _edge_lines); a page number there has the key '#' and what it is ahead of the page. With 'w': ``key``, the words of a text (``doc`` is its digest) that aren't among the common ones; with 'h' those that its broken words may be."""
 
     def batch(docs: list, pages: list, digests: list, texts: list) -> dict[str, list]:
         words = common.value
@@ -172,15 +185,18 @@ def lines_and_words(df: DataFrame, text: str, document: str, page: str, common:
         seen: Counter[tuple] = Counter()
         known: dict[str, str | None] = {}
         postings: set[tuple[str, int]] = set()
+        wholes: set[tuple[str, int]] = set()
         for d, p, h, t in zip(docs, pages, digests, texts):
-            for s, near in _edge_lines(t):
+            edges, numbers = _edge_lines(t)
+            for s, near in edges:
                 for x in (s, near):
                     if x not in keys:
                         keys[x] = furniture_key(x)
                 if len(keys[s]) > 3:
                     seen[keys[s], d, p, keys[near] or near and "\n"] += 1
             if p is not None:
-                seen.update((f"#{n - p}", d, p, "") for n in _edge_numbers(t))
+                for n in numbers:
+                    seen[f"#{n - p}", d, p, ""] += 1
             broken = _BREAKS.search(t) is not None
             for token in {*(_JOIN.sub("", t) if broken else t).split()}:
                 low = known.get(token, "")
@@ -190,23 +206,19 @@ def lines_and_words(df: DataFrame, text: str, document: str, page: str, common:
                 if low is not None:
                     postings.add((low, h))
             if broken:
-                postings.update((w, h) for pair in _broken(t) for w in pair if w not in words)
-        e, w = list(seen), list(postings)
+                wholes.update((w, h) for pair in _broken(t) for w in pair if w not in words)
+        e, w = list(zip(*seen)), list(zip(*wholes, *(postings - wholes)))
+        e, w = e or [()] * 4, w or [()] * 2
+        k, m = len(e[0]), len(w[0])
         return {
-            "what": ["e"] * len(e) + ["w"] * len(w), "key": [x[0] for x in e] + [x[0] for x in w], "doc": [x[1] for x in e] + [x[1] for x in w],
-            "page": [x[2] for x in e] + [None] * len(w), "near": [x[3] for x in e] + [None] * len(w), "n": [*seen.values()] + [None] * len(w),
+            "what": ["e"] * k + ["h"] * len(wholes) + ["w"] * (m - len(wholes)), "key": e[0] + w[0], "doc": e[1] + w[1],
+            "page": [*e[2], *[None] * m], "near": [*e[3], *[None] * m], "n": [*seen.values(), *[None] * m],
         }
 
     src = df.select(F.xxhash64(document).alias("d"), F.col(page).cast("long").alias("p"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).where(F.col(text).isNotNull())
     return map_batches(src, batch, "what string, key string, doc long, page long, near string, n long")
 
 
-def _edge_numbers(text: str) -> set[int]:
-    """Numbers that stand alone on a line at the edges of a page."""
-    lines = [s for s in (x.strip(_BLANK) for x in text.splitlines()) if s]
-    return {int(n) for s in {*lines[:TOP], *lines[-BOTTOM:]} if (n := page_number(s)) is not None and n.isdigit()}
-
-
 def page_furniture(edges: DataFrame) -> DataFrame:
     """``doc``, ``key``, ``documents`` of the running headers and footers of every document.
 
@@ -218,6 +230,10 @@ def page_furniture(edges: DataFrame) -> DataFrame:
     be that of most of its numbered pages.
     """
     known = None
+    # Most lines stand on one page only and can't be furniture whatever is beside them.
+    pages_of = edges.groupBy("key", "doc").agg(F.count_distinct("page").alias("pages"))
+    often = pages_of.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.max("pages").alias("most")).where((F.col("documents") >= LEAST_DOCUMENTS) | (F.col("most") >= LEAST_PAGES)).select("key")
+    edges = materialize(edges.join(often, "key", "left_semi"), "recurring")
     numbered = edges.where(F.col("key").startswith("#")).groupBy("doc").agg(F.count_distinct("page").alias("numbered"))
     for _ in range(TOP):
         if known is None:
@@ -257,8 +273,8 @@ def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: s
     furniture = lines.where(wide).select("key").distinct().collect()
     own = materialize(lines.where(~wide).groupBy("doc").agg(F.collect_set("key").alias("own")), "own")
 
-    postings = raw.where("what = 'w'").select(F.col("key").alias("word"), F.col("doc").alias("digest")).distinct()
-    asked = materialize(postings.select("word").distinct().join(valid, "word", "left"), "asked")
+    postings = raw.where("what <> 'e'").groupBy(F.col("key").alias("word"), F.col("doc").alias("digest")).agg(F.min("what").alias("what"))
+    asked = materialize(raw.where("what <> 'e'").select(F.col("key").alias("word")).distinct().join(valid, "word", "left"), "asked")
 
     def keys(ws: list) -> dict[str, list]:
         rows = [(w, i, k) for w in ws for i, k in enumerate(looks(w))]
@@ -266,7 +282,9 @@ def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: s
 
     fixes = map_batches(asked.where("n is null").select("word"), keys, "word string, i int, key string").join(rights, "key").groupBy("word").agg(F.min_by("right", "i").alias("right"))
     told = asked.where("n is not null").select("word", "n", F.lit(None).cast("string").alias("right")).unionByName(fixes.where("word <> right").select("word", F.lit(0).cast("long").alias("n"), "right"))
-    local = materialize(postings.join(told, "word").groupBy("digest").agg(F.collect_list(F.struct("word", "n", "right")).alias("local")), "local")
+    # How frequent a valid word is only matters for words broken over lines.
+    told = postings.join(told, "word").where("right is not null or what = 'h'").select("digest", F.concat_ws("\t", "word", F.col("n").cast("string"), F.coalesce("right", F.lit(""))).alias("x"))
+    local = materialize(told.groupBy("digest").agg(F.array_join(F.collect_list("x"), "\n").alias("local")), "local")
     release(raw, edges, words, valid, rights, asked)
     return Knowledge(common, frozenset(r["key"] for r in furniture), own, local)
 
@@ -286,7 +304,7 @@ class Reader:
             for i, part in enumerate(_thirds(k)):
                 self.parts[i, len(k), part].append(k)
         self.lines: dict[str, bool] = {}
-        self.local: dict[str, tuple[int, str | None]] = {}
+        self.local: dict[str, tuple[int, str]] = {}
 
     def is_furniture(self, line: str) -> bool:
         """Whether a line recurs at page edges, up to two slips of the scanner."""
@@ -317,7 +335,7 @@ class Reader:
 
     def count(self, word: str) -> int:
         """How often a valid word occurs, 0 for any other."""
-        return self.know.words.get(word) or self.local.get(word, (0, None))[0]
+        return self.know.words.get(word) or self.local.get(word, (0, ""))[0]
 
     def misread(self, token: str) -> tuple[str, str] | None:
         """The core of a token and the word it should be, if the token is a misread word."""
@@ -421,6 +439,8 @@ def _join(lines: list[tuple[str, str] | None], reader: Reader, found: list[tuple
                 out[-1] = out[-1][: tail.start(1)] + "\x02" + left + right + "\x02" + s[head.end() :]
             open_ = True
             continue
+        if out and rows[-1] and k != ROW and s[0].islower():  # what looked like a row goes on as a sentence
+            rows[-1], open_ = False, True
         if open_ and k != ROW and not _TURN_HEAD.match(s):
             out[-1] += " " + s
         else:
@@ -455,12 +475,12 @@ def scan_repair(df: DataFrame, know: Knowledge, key: str = "id", text: str = "te
         for i, t, p, own, local in zip(keys, texts, pages, owns, locals_):
             lines = read_lines(t)
             if weigh(lines).running:
-                reader.local = {x["word"]: (x["n"], x["right"]) for x in local or ()}
+                reader.local = {w: (int(n), r) for w, n, r in [x.split("\t") for x in local.split("\n")]} if local else {}
                 done.append((i, repair(lines, t, p, reader, own)))
         return {"_key": [i for i, _ in done], "repaired": [r.text for _, r in done], "found": [[{"kind": a, "item": b} for a, b in r.found] for _, r in done]}
 
     src = df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.col(page).alias("_p"), F.xxhash64(document).alias("doc"), F.xxhash64(text).alias("digest")).where(F.col(text).isNotNull())
     # By document and by text; Spark broadcasts the tables only where they are small.
     src = src.join(know.own, "doc", "left") if know.own is not None else src.withColumn("own", F.lit(None).cast("array<string>"))
-    src = src.join(know.local, "digest", "left") if know.local is not None else src.withColumn("local", F.lit(None).cast("array<struct<word:string,n:long,right:string>>"))
+    src = src.join(know.local, "digest", "left") if know.local is not None else src.withColumn("local", F.lit(None).cast("string"))
     return map_batches(src.select("_key", "_t", "_p", "own", "local"), batch, f"_key {of}, repaired string, found array<struct<kind:string,item:string>>", lambda: Reader(shared.value)).withColumnRenamed("_key", key)
