@@ -921,3 +921,4 @@ def ext_sessions(spark, d):
 
 
 from pagewright.plans import catalog_review  # noqa: E402,F401  (adds its queries)
+from pagewright.plans import catalog_state  # noqa: E402,F401

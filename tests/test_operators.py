@@ -1,4 +1,6 @@
 import difflib
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -152,6 +154,55 @@ def test_markdown_chunks_keep_every_word(blocks):
     assert sorted(set("".join(got)) - set(" \n|-")) == sorted(set(md) - set(" \n|-"))
 
 
+def conserved(md, size):
+    """Every word of a page's Markdown stands in a chunk that is kept, and every chunk is within its size."""
+    got = C.chunk_markdown(md, size)
+    assert all(len(c) <= size for c in got)
+    kept = " ".join(c for c in got if len(c.partition("\n")[2] if c.startswith(C.HEADER_MARK) else c) >= C.LEAST)
+    body = md.partition("\n")[2] if md.startswith(C.HEADER_MARK) else md
+    words = re.findall(r"\w+", body)
+    assert sum(map(len, words)) < 2 * C.LEAST or not set(words) - set(re.findall(r"\w+", kept))
+
+
+def test_short_units_between_long_ones_are_kept():
+    one, two = "Första stycket " + "ord " * 190, "Andra stycket " + "ord " * 190
+    conserved("\n\n".join([one.strip(), "**M:** Ja, det stämmer.", two.strip()]), 800)
+    conserved("Lång " + "x" * 787 + "\n\n**M:** Ja.", 800)
+    conserved("**M:** Ja.\n\n" + ("Stycke " + "ord " * 190).strip(), 800)
+
+
+def test_dialogues_lose_no_unit():
+    rng = random.Random(21)
+    words = "vittnet uppger att hon gick längs kajen mot hamnen den kvällen".split()
+    for n in range(300):
+        size = rng.choice([200, 400, 800])
+        parts = [f"{C.HEADER_MARK} Förhör med X"] if rng.random() < 0.5 else []
+        for k in range(rng.randint(1, 12)):
+            r = rng.random()
+            said = rng.choice(["Ja.", "Nej, det sa jag.", " ".join(rng.choices(words, k=rng.randint(1, 130)))])
+            parts.append(f"**F:** {said}" if r < 0.3 else f"**M:** {said}" if r < 0.6 else f"{said} s{n}k{k}" if r < 0.9 else "| Plats | Tid |\n| --- | --- |\n" + "\n".join(f"| {rng.choice(words)} {i} | {i}.10 |" for i in range(rng.randint(1, 40))))
+        conserved("\n\n".join(parts), size)
+
+
+def test_long_rows_are_parted_at_cells():
+    row = "| " + " | ".join(f"cell {i} " + "ord " * 8 for i in range(12)) + " |"
+    got = C.chunk_markdown("| a | b |\n| --- | --- |\n" + row, 200)
+    assert all(len(c) <= 200 for c in got) and all(any(f"cell {i} " in c for c in got) for i in range(12))
+    assert all(x.startswith("|") and x.endswith("|") for c in got for x in c.split("\n") if x)
+
+
+def test_question_stays_with_its_answer():
+    pad = "Text " * 90
+    got = C.chunk_markdown(f"{pad}\n\n**F:** {'Vad såg du? ' * 20}\n\nPaus.\n\n**S:** {'En bil. ' * 20}", 800)
+    assert any("Vad såg du?" in c and "Paus." in c and "En bil." in c for c in got)
+
+
+def test_a_header_makes_no_short_chunk_useful(spark):
+    head = "> Sidhuvud: Förhör med vittnet om iakttagelser vid hamnen den kvällen och natten, sida 3 av 5"
+    assert one(spark, C.is_useful(F.col("c"), markdown=True), c=head + "\n**M:** Ja.") is False
+    assert one(spark, C.is_useful(F.col("c"), markdown=True), c=head + "\n" + "Vittnet uppger att hon gick hem. " * 3) is True
+
+
 def test_markdown_chunk_repeats_table_head():
     md = "> Sidhuvud: x\n| a | b |\n|---|---|\n" + "\n".join(f"| rad {i} | värde {i} |" for i in range(40))
     got = C.chunk_markdown(md, 300)
