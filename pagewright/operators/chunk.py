@@ -240,3 +240,9 @@ def markdown_chunks(df: DataFrame, key: list[str], markdown: str, size: int = SI
     with_package(df.sparkSession)
     cut = F.udf(lambda t: chunk_markdown(t, size, overlap), "array<string>", useArrow=True)
     return df.select(*key, F.posexplode(cut(F.col(markdown))).alias("chunk_idx", "chunk"))
+
+
+def vector_ok(v: Column) -> Column:
+    """Whether a vector may be indexed: not empty, no value missing, none not a number or infinite, not all zero."""
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))

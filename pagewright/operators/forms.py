@@ -100,14 +100,6 @@ def overlaps(box: Column, other: Column) -> Column:
     return (F.least(box[2], other[2]) > F.greatest(box[0], other[0])) & (F.least(box[3], other[3]) > F.greatest(box[1], other[1]))
 
 
-def layout_blocks(raw: Column) -> Column:
-    """Blocks of a stored layout: an object with resolution and blocks, or (older) the bare list at 300 dpi."""
-    block = "array<struct<text:string,kind:string,order:int,bbox:array<int>>>"
-    new = F.from_json(raw, f"struct<dpi:int,blocks:{block}>")
-    old = F.struct(F.lit(300).alias("dpi"), F.from_json(raw, block).alias("blocks"))
-    return F.when(F.ltrim(raw).startswith("["), old).otherwise(new)
-
-
 def usage_fields(raw: Column) -> Column:
     """Token counts of a provider's usage report, whichever of the two usual shapes it has."""
     r = F.from_json(raw, "struct<prompt_tokens:long,completion_tokens:long,input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long,prompt_cache_hit_tokens:long>")

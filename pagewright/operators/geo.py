@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.operators.display import escaped, or_blank
 from pagewright.operators.retrieval import levenshtein_ratio, similarity
 
 CONTAINED, ACCEPT = 0.86, 0.72
@@ -63,3 +64,72 @@ def geojson(obs: DataFrame, person: str, lat: str, lon: str, minutes: str) -> Da
 def color_index(name: Column, colors: int = 10) -> Column:
     """A steady colour number of a name."""
     return F.conv(F.substring(F.sha1(F.lower(name)), 1, 8), 16, 10).cast("long") % colors
+
+
+#: The first day of the timeline; hours before noon belong to the day after.
+BASE_DATE = "1986-02-28"
+
+
+def iso_time(hhmm: Column, base: str = BASE_DATE) -> Column:
+    """A clock time as an instant of the timeline, null where it is none."""
+    start = F.unix_timestamp(F.lit(f"{base} 00:00:00"))
+    return F.date_format(F.timestamp_seconds(start + T.clock_minutes(F.trim(hhmm)) * 60), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def popup(person: Column, place: Column, time: Column, uncertainty: Column, nr: Column, page: Column, note: Column) -> Column:
+    """An observation as HTML: who, where, when, by which source."""
+    known = lambda c, instead: escaped(F.coalesce(F.nullif(or_blank(c), F.lit("")), F.lit(instead)))
+    sure = F.when(or_blank(uncertainty) != "", F.concat(F.lit(" ("), escaped(or_blank(uncertainty)), F.lit(")"))).otherwise("")
+    source = F.when((or_blank(nr) != "") & (or_blank(page) != ""), F.concat(F.lit("[Nr "), escaped(or_blank(nr)), F.lit(", sida "), escaped(or_blank(page)), F.lit("]"))).otherwise("[källa saknas]")
+    more = F.when(or_blank(note) != "", F.concat(F.lit("<br><em>"), escaped(or_blank(note)), F.lit("</em>"))).otherwise("")
+    return F.concat(F.lit("<strong>"), known(person, "Okänd"), F.lit("</strong><br>"), known(place, "Okänd plats"), F.lit("<br>kl "), known(time, "okänd tid"), sure, F.lit("<br>"), source, more)
+
+
+def point(lat: Column, lon: Column, time: Column, shown: Column, color: Column) -> Column:
+    """An observation as a GeoJSON point with its time."""
+    at = iso_time(time)
+    style = F.struct(color.alias("fillColor"), F.lit(0.9).alias("fillOpacity"), F.lit(True).alias("stroke"), color.alias("color"), F.lit(8).alias("radius"))
+    about = F.struct(at.alias("time"), F.array(at).alias("times"), shown.alias("popup"), F.lit("circle").alias("icon"), style.alias("iconstyle"), F.struct(color.alias("color")).alias("style"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(lon.cast("double"), lat.cast("double")).alias("coordinates")).alias("geometry"), about.alias("properties")))
+
+
+def source_card(nr: Column, page: Column, stem: Column, *titles: Column) -> Column:
+    """The card of an observation's source, null where number, page or document isn't known."""
+    s = or_blank(stem)
+    name = F.when(s.endswith(".txt"), s).otherwise(F.concat(s, F.lit(".txt")))
+    title = F.coalesce(*[F.nullif(or_blank(t), F.lit("")) for t in titles], or_blank(nr))
+    return F.when((or_blank(nr) != "") & (or_blank(page) != "") & (s != ""), F.struct(name.alias("source"), page.alias("page"), or_blank(nr).alias("nr"), title.alias("title")))
+
+
+def source_cards(obs: DataFrame, keys: list[str], card: str) -> DataFrame:
+    """One card per observation and text, however often the same text is named."""
+    return obs.where(F.col(card).isNotNull()).select(*keys, F.col(card).alias("c")).select(*keys, "c.*").dropDuplicates([*keys, "source"])
+
+
+def candidates(obs: DataFrame, places: DataFrame, place: str = "name", exact_ratio: bool = True) -> DataFrame:
+    """Observations as candidates: ``time`` and ``uncertainty`` from what was written, ``place_name``, ``lat``, ``lon`` and ``place_match`` from the catalogue; those without person, place or quote are gone."""
+    full = obs.where((or_blank(F.col("person")) != "") & (or_blank(F.col("plats")) != "") & (or_blank(F.col("citat")) != ""))
+    matched = match_places(full, "plats", places, place, exact_ratio).select("plats", F.col("place").alias("place_name"), F.col("how").alias("place_match"))
+    j = full.join(matched, "plats", "left").join(places.select(F.col(place).alias("place_name"), "lat", "lon").dropDuplicates(["place_name"]), "place_name", "left")
+    time = T.time_of(F.col("tid"))
+    rest = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("tid", r"(?<!\d)([01]?\d|2[0-3])[ .:]([0-5]\d)(?!\d)", " "), r"(?i)\bkl\b\.?", " "), r"[\s,.;:-]+", " "))
+    sure = F.when(time.isNull(), F.nullif(F.trim("tid"), F.lit(""))).otherwise(F.nullif(rest, F.lit("")))
+    confidence = F.when(F.col("confidence").isin("low", "medium", "high"), F.col("confidence")).otherwise("medium")
+    return j.select(*[c for c in obs.columns if c != "confidence"], time.alias("time"), sure.alias("uncertainty"), "place_name", "lat", "lon", F.coalesce("place_match", F.lit("none")).alias("place_match"), confidence.alias("confidence"))
+
+
+def without_default(lat: Column, lon: Column, known_lat: Column, known_lon: Column, match: Column, default: tuple[float, float]) -> Column:
+    """A candidate's place as it may be kept: a form's default coordinates are no finding where no place was matched."""
+    same = (F.abs(lat - default[0]) <= 1e-9) & (F.abs(lon - default[1]) <= 1e-9)
+    drop = F.coalesce(known_lat.isNull() & known_lon.isNull() & (match == "none") & same, F.lit(False))
+    return F.struct(F.when(~drop, lat).alias("lat"), F.when(~drop, lon).alias("lon"))
+
+
+def time_or_null(time: Column) -> Column:
+    """A time, null if blank."""
+    return F.nullif(F.trim(time), F.lit(""))
+
+
+def form_defaults(selected: Column, picked: Column, click: Column, use_click: Column) -> Column:
+    """Coordinates a form begins with: the last click if it is to be used, else the place picked, else the observation at hand (each a struct of lat and lon or null)."""
+    return F.coalesce(F.when(use_click, click), picked, selected)

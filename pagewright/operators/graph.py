@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -58,15 +58,48 @@ def relation_edges(ents: DataFrame, rels: DataFrame) -> DataFrame:
     return r.join(a, ["pdf_stem", "page_num", "f"]).join(b, ["pdf_stem", "page_num", "t"]).select("pdf_stem", "page_num", "rel", "src_label", "src", "dst_label", "dst").distinct()
 
 
-def audited(ents: DataFrame, raw: DataFrame) -> DataFrame:
-    """Entities as written with the flags a reviewer would raise; ``raw`` are all entities of the pages, blank names too."""
-    first = raw.groupBy("pdf_stem", "page_num", "typ", "namn").agg(F.min("idx").alias("first"))
-    d = raw.join(first, ["pdf_stem", "page_num", "typ", "namn"])
-    name = F.trim("namn")
-    return d.select(
-        "pdf_stem", "page_num", "idx", (F.col("idx") > F.col("first")).alias("duplicate"), (name == "").alias("empty"), (~F.col("typ").isin(*LABELS)).alias("unknown_type"),
-        ((F.col("typ") == "person") & ((F.length(name) <= 4) | ~name.rlike(r"\S\s+\S"))).alias("short_person"), name.rlike(r"(?i)MASK|�|[\[\]{}|_]|\d").alias("junk"),
+# What a reviewer is told about an occurrence.
+ISSUES = {
+    "duplicate": "Dubblett på sidan", "empty": "Tomt namn", "unknown": "Okänd entitetstyp", "short": "Kort eller ensamt personnamn; kontrollera initialer", "junk": "Möjlig maskering eller OCR-skräp",
+    "missing": "Saknad ändpunkt: ", "ambiguous": "Tvetydig ändpunkt: ", "untyped": "Tom relationstyp", "self": "Självkant",
+}
+
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """Every entity and relation of the pages as written: stem, page, ``kind``, ``idx``, ``typ``, ``namn``, ``fran``, ``till`` ('' where not given)."""
+    blank = F.lit("")
+    text = lambda c: F.coalesce(F.col(c), blank)
+    e = pages.select("pdf_stem", "page_num", F.posexplode("p.entiteter").alias("idx", "x")).select("pdf_stem", "page_num", F.lit("entity").alias("kind"), "idx", text("x.typ").alias("typ"), text("x.namn").alias("namn"), blank.alias("fran"), blank.alias("till"))
+    r = pages.select("pdf_stem", "page_num", F.posexplode("p.relationer").alias("idx", "x")).select("pdf_stem", "page_num", F.lit("relation").alias("kind"), "idx", text("x.typ").alias("typ"), blank.alias("namn"), text("x.fran").alias("fran"), text("x.till").alias("till"))
+    return e.unionByName(r)
+
+
+def audited(rows: DataFrame) -> DataFrame:
+    """``occurrences`` with ``issues``, what a reviewer would ask about each, in a fixed order.
+
+    The kinds that a page gives each name are gathered per page once; a relation's ends
+    are looked up there. Repeats are counted in windows over the same text of one page.
+    """
+    key = ["pdf_stem", "page_num"]
+    labels = rows.where("kind = 'entity'").groupBy(*key, T.normalize_name(F.col("namn")).alias("norm")).agg(F.count_distinct("typ").alias("kinds"))
+    again = F.row_number().over(Window.partitionBy(*key, "kind", "typ", "namn", "fran", "till").orderBy("idx")) > 1
+    out = rows.withColumn("again", again)
+    for end in ("fran", "till"):
+        known = labels.select(*key, F.col("norm").alias(f"_{end}"), F.col("kinds").alias(f"_{end}_kinds"))
+        out = out.withColumn(f"_{end}", T.normalize_name(F.col(end))).join(known, [*key, f"_{end}"], "left")
+    is_entity, name = F.col("kind") == "entity", F.trim("namn")
+    mark = lambda cond, text: F.when(cond, F.lit(text))
+
+    def lost(end: str) -> Column:
+        n = F.col(f"_{end}_kinds")
+        return F.when(~is_entity & ((F.col(f"_{end}") == "") | n.isNull()), ISSUES["missing"] + end).when(~is_entity & (n > 1), ISSUES["ambiguous"] + end)
+
+    found = F.array(
+        mark(F.col("again"), ISSUES["duplicate"]), mark(is_entity & (name == ""), ISSUES["empty"]), mark(is_entity & ~F.col("typ").isin(*LABELS), ISSUES["unknown"]),
+        mark(is_entity & (F.col("typ") == "person") & ((F.length(name) <= 4) | ~name.rlike(r"\S\s+\S")), ISSUES["short"]), mark(is_entity & name.rlike(r"(?i)MASK|\x{fffd}|[\[\]{}|_]|\d"), ISSUES["junk"]),
+        lost("fran"), lost("till"), mark(~is_entity & (F.trim("typ") == ""), ISSUES["untyped"]), mark(~is_entity & (F.col("_fran") == F.col("_till")), ISSUES["self"]),
     )
+    return out.select(*key, "kind", "idx", "typ", "namn", "fran", "till", F.array_compact(found).alias("issues"))
 
 
 def facets(ents: DataFrame) -> DataFrame:
@@ -77,11 +110,101 @@ def facets(ents: DataFrame) -> DataFrame:
     return known.groupBy("typ", "key").agg(F.count_distinct("pdf_stem").alias("documents")).join(shown, ["typ", "key"])
 
 
-def ego(edges: DataFrame, norm: str) -> DataFrame:
-    """Neighbours of a node over relations in both directions, with how many edges join them."""
-    out = edges.where(F.col("src") == norm).select("rel", F.col("dst").alias("other"), F.lit("out").alias("way"))
-    back = edges.where(F.col("dst") == norm).select("rel", F.col("src").alias("other"), F.lit("in").alias("way"))
-    return out.unionByName(back).groupBy("rel", "other", "way").agg(F.count(F.lit(1)).alias("n"))
+def ego(edges: DataFrame, centres: DataFrame, norm: str = "norm") -> DataFrame:
+    """Neighbours of the centres over relations in both directions: ``centre``, ``rel``, ``other``, ``way``, ``n`` (edges that join them).
+
+    Every edge is read once and looked at from both ends.
+    """
+    ends = F.array(F.struct(F.col("src").alias("centre"), F.col("dst").alias("other"), F.lit("out").alias("way")), F.struct(F.col("dst").alias("centre"), F.col("src").alias("other"), F.lit("in").alias("way")))
+    seen = edges.select("rel", F.explode(ends).alias("e")).select("e.centre", "rel", "e.other", "e.way")
+    return seen.join(centres.select(F.col(norm).alias("centre")).distinct(), "centre", "left_semi").groupBy("centre", "rel", "other", "way").agg(F.count(F.lit(1)).alias("n"))
+
+
+def once(rows: DataFrame, rid: str) -> DataFrame:
+    """Rows with the same id once; rows without one all stay."""
+    return rows.where(F.col(rid).isNotNull()).dropDuplicates([rid]).unionByName(rows.where(F.col(rid).isNull()))
+
+
+def centres_of(names: DataFrame, ents: DataFrame, name: str = "name") -> DataFrame:
+    """For each name the entity it most likely means: the same name whatever its case, else the shortest that contains it; ``name``, ``label``, ``norm``, ``namn``.
+
+    Names are a stated query list; entities are reduced to their distinct names first.
+    """
+    known = ents.where(F.col("typ").isin(*LABELS)).groupBy(F.col("typ").alias("label"), "norm").agg(F.min("namn").alias("namn"))
+    wanted = names.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct()
+    hits = known.join(F.broadcast(wanted), F.lower("namn").contains(F.lower("name")))  # a stated list
+    order = F.struct((F.lower("namn") != F.lower("name")).alias("part"), F.length("namn").alias("size"), "namn", "label", "norm")
+    return hits.groupBy("name").agg(F.min_by(F.struct("label", "norm", "namn"), order).alias("e")).select("name", "e.*")
+
+
+def elements(centres: DataFrame, rels: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a picture around the centres.
+
+    ``rels``: ``s_norm``, ``s_namn``, ``s_label``, ``e_norm``, ``e_namn``, ``e_label``, ``typ``;
+    ``docs``: ``stem``, ``nr``, ``titel``, ``centre``. Nodes: ``id``, ``label``, ``name`` (a star
+    for centres, cut to 45 characters), ``stem``; a node given several times stays a centre
+    if it is one. Edges: ``source``, ``target``, ``name`` with how many there are; those
+    without both nodes are gone.
+    """
+    doc = F.concat(F.lit("doc:"), F.col("stem"))
+    none = F.lit(None).cast("string").alias("stem")
+    nodes = (
+        centres.select(F.col("norm").alias("id"), F.col("namn").alias("shown"), "label", none, F.lit(0).alias("o"))
+        .unionByName(rels.select(F.col("s_norm").alias("id"), F.col("s_namn").alias("shown"), F.col("s_label").alias("label"), none, F.lit(1).alias("o")))
+        .unionByName(rels.select(F.col("e_norm").alias("id"), F.col("e_namn").alias("shown"), F.col("e_label").alias("label"), none, F.lit(1).alias("o")))
+        .unionByName(docs.select(doc.alias("id"), document_label(F.col("nr"), F.col("titel"), F.col("stem")).alias("shown"), F.lit("Dokument").alias("label"), "stem", F.lit(2).alias("o")))
+    )
+    nodes = nodes.groupBy("id").agg(F.min(F.struct("o", F.coalesce("shown", "id").alias("shown"), "label", "stem")).alias("x"))
+    short = F.when(F.length("x.shown") > 45, F.concat(F.substring("x.shown", 1, 44), F.lit("…"))).otherwise(F.col("x.shown"))
+    nodes = nodes.select("id", "x.label", F.when(F.col("x.o") == 0, F.concat(F.lit("★ "), short)).otherwise(short).alias("name"), "x.stem")
+    links = rels.select(F.col("s_norm").alias("source"), F.col("e_norm").alias("target"), F.coalesce("typ", F.lit("")).alias("rel")).unionByName(docs.select(doc.alias("source"), F.col("centre").alias("target"), F.lit("nämner").alias("rel")))
+    edges = links.groupBy("source", "target", "rel").agg(F.count(F.lit(1)).alias("n"))
+    edges = edges.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
+    return nodes, edges.select("source", "target", F.when(F.col("n") > 1, F.concat("rel", F.lit(" (×"), F.col("n").cast("string"), F.lit(")"))).otherwise(F.col("rel")).alias("name"))
+
+
+def document_label(nr: Column, title: Column, stem: Column) -> Column:
+    """'number — title', or what there is of them, or the stem."""
+    n, t = F.trim(F.coalesce(nr, F.lit(""))), F.trim(F.coalesce(title, F.lit("")))
+    return F.when((n != "") & (t != ""), F.concat(n, F.lit(" — "), t)).when(t != "", t).when(n != "", n).otherwise(stem)
+
+
+def stems_by_entity(ents: DataFrame) -> DataFrame:
+    """``key`` (a name in small letters) and ``pdf_stem`` of every document that holds it."""
+    return ents.select(F.lower("namn").alias("key"), "pdf_stem").distinct()
+
+
+def document_fields(stem: Column) -> Column:
+    """Number and title in a document's name."""
+    f = T.filename_fields(stem)
+    return F.struct(f["nr"].alias("nr"), f["titel"].alias("titel"))
+
+
+def replaced(live: DataFrame, wanted: DataFrame, owner: str) -> DataFrame:
+    """Live edges after those of ``owner`` are replaced by the wanted ones; edges of others stay, and no edge is there twice."""
+    return live.where(F.col("owner") != owner).unionByName(wanted.withColumn("owner", F.lit(owner)).select(*live.columns)).distinct()
+
+
+def orphan_nodes(nodes: DataFrame, edges: DataFrame, node: str = "norm") -> DataFrame:
+    """Nodes that no edge touches any more."""
+    touched = edges.select(F.explode(F.array("src", "dst")).alias(node)).distinct()
+    return nodes.join(touched, node, "left_anti")
+
+
+def comparison(wanted: DataFrame, live: DataFrame, key: list[str], owner: str = "owner") -> DataFrame:
+    """One row: wanted edges that are missing, live ones that are surplus, ``duplicates`` among the live and ``legacy`` ones without an owner."""
+    w, v = wanted.select(*key).distinct(), live.where(F.col(owner).isNotNull()).select(*key)
+    counts = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    one = counts(w.subtract(v), "missing").crossJoin(counts(v.distinct().subtract(w), "surplus"))  # single rows
+    return one.crossJoin(v.groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("duplicates"))).crossJoin(counts(live.where(F.col(owner).isNull()), "legacy"))
+
+
+def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
+    """A digest of a table whatever the order of its rows: from their number and the sums of four parts of their digests, so nothing is gathered."""
+    h = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    part = lambda i: F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}")
+    sums = rows.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), *[part(i) for i in range(4)])
+    return sums.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]), 256).alias("fingerprint"))
 
 
 def difference(wanted: DataFrame, live: DataFrame) -> DataFrame:

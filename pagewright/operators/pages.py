@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.session import with_package
 
 
 def exploded(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -30,86 +27,6 @@ def capped_candidates(df: DataFrame, score: str, keys: list[str], cap: int, grou
     return df.orderBy(score, *keys).limit(cap).groupBy(group).agg(F.array_sort(F.collect_list("page_num")).alias("pages"))
 
 
-class _Text(HTMLParser):
-    """Text of a block: line ends after blocks and breaks, boxes as signs, scripts and styles left out."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.out: list[str] = []
-        self.skip = 0
-        self.rows: list[list[str]] = []
-        self.cell: list[str] | None = None
-        self.depth = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif tag == "br":
-            self.handle_data("\n")
-        elif tag == "input" and dict(attrs).get("type") == "checkbox":
-            self.handle_data("☑" if "checked" in dict(attrs) else "☐")
-        elif tag == "table":
-            self.depth += 1
-        elif tag == "tr" and self.depth == 1:
-            self.rows.append([])
-        elif tag in ("td", "th") and self.depth == 1 and self.rows:
-            self.cell = []
-            self.span = max(1, min(50, int(dict(attrs).get("colspan") or 1) if str(dict(attrs).get("colspan") or 1).isdigit() else 1))
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif tag in ("p", "div", "li", "tr", "h1", "h2", "h3", "h4"):
-            self.handle_data("\n")
-        elif tag in ("td", "th") and self.depth == 1 and self.cell is not None:
-            self.rows[-1] += [" ".join("".join(self.cell).split())] + [""] * (self.span - 1)
-            self.cell = None
-        elif tag == "table":
-            self.depth = max(0, self.depth - 1)
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(data)
-            if self.cell is not None:
-                self.cell.append(data)
-
-
-def html_text(html: str | None) -> str | None:
-    if html is None:
-        return None
-    p = _Text()
-    p.feed(html)
-    p.close()
-    return "\n".join(s for s in (" ".join(x.split()) for x in "".join(p.out).split("\n")) if s)
-
-
-def html_table(html: str | None) -> list[list[str]]:
-    """Rows of the first level of tables, spans filled with empty cells."""
-    p = _Text()
-    p.feed(html or "")
-    p.close()
-    return [r for r in p.rows if r]
-
-
-def table_markdown(rows: list[list[str]]) -> str:
-    """Rows as a Markdown table, short rows filled."""
-    if not rows:
-        return ""
-    n = max(map(len, rows))
-    lines = ["| " + " | ".join([*(c.replace("|", "\\|") for c in r), *[""] * (n - len(r))]) + " |" for r in rows]
-    return "\n".join([lines[0], "|" + " --- |" * n, *lines[1:]])
-
-
-def layout_text(df: DataFrame, key: list[str], blocks: str) -> DataFrame:
-    """Text and Markdown tables of layout blocks (``html``, ``order``) in reading order, missing orders last."""
-    with_package(df.sparkSession)
-    as_text = F.udf(html_text, "string", useArrow=True)
-    as_table = F.udf(lambda h: table_markdown(html_table(h)), "string", useArrow=True)
-    one = df.select(*key, F.posexplode(blocks).alias("_i", "b")).select(*key, F.struct(F.col("b.order").isNull().cast("int").alias("m"), F.coalesce("b.order", F.lit(0)).alias("o"), F.col("_i").alias("i"), as_text(F.col("b.html")).alias("t"), as_table(F.col("b.html")).alias("md")).alias("x"))
-    got = one.groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return got.select(*key, F.array_join(F.filter(F.transform("x", lambda x: x["t"]), lambda t: t != ""), "\n").alias("text"), F.array_join(F.transform("x", lambda x: F.when(x["md"] != "", x["md"]).otherwise(x["t"])), "\n\n").alias("markdown"))
-
-
 def dark_blocks(rows: DataFrame, key: str, y: str, gap: int = 3, height: int = 8) -> DataFrame:
     """Gaps and islands: dark pixel rows within ``gap`` of each other are a block of at least ``height`` rows."""
     w = Window.partitionBy(key).orderBy(y)

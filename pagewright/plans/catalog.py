@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import chunk as C
-from pagewright.operators import geo, graph, pages, quality, retrieval, state
+from pagewright.operators import display, geo, graph, pages, quality, retrieval, state
+from pagewright.session import materialize
 from pagewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,15 +443,22 @@ def gr06_relations(spark, d):
     return _edges(spark, d)
 
 
+_OCC = f"""occ AS (SELECT pdf_stem, page_num, 'entity' AS kind, i AS idx, coalesce(j->>('$.entiteter[' || i || '].typ'), '') AS typ, coalesce(j->>('$.entiteter[' || i || '].namn'), '') AS namn, '' AS fran, '' AS till FROM ok, unnest(generate_series(0, json_array_length(j, '$.entiteter')::INT - 1)) AS u(i)
+UNION ALL SELECT pdf_stem, page_num, 'relation', i, coalesce(j->>('$.relationer[' || i || '].typ'), ''), '', coalesce(j->>('$.relationer[' || i || '].fran'), ''), coalesce(j->>('$.relationer[' || i || '].till'), '') FROM ok, unnest(generate_series(0, coalesce(json_array_length(j, '$.relationer'), 0)::INT - 1)) AS u(i)),
+lab AS (SELECT pdf_stem, page_num, {_NORM.format('namn')} AS norm, count(DISTINCT typ) AS kinds FROM occ WHERE kind = 'entity' GROUP BY ALL), nn AS (SELECT *, {_NORM.format('fran')} AS nf, {_NORM.format('till')} AS nt, row_number() OVER (PARTITION BY pdf_stem, page_num, kind, typ, namn, fran, till ORDER BY idx) > 1 AS again FROM occ)"""
+
+
 @query(
-    f"""WITH {_ENT} SELECT pdf_stem, page_num, idx, idx > min(idx) OVER (PARTITION BY pdf_stem, page_num, typ, namn) AS duplicate, namn = '' AS empty, typ NOT IN ('person', 'plats', 'organisation') AS unknown_type,
-typ = 'person' AND (length(namn) <= 4 OR NOT regexp_matches(namn, '\\S\\s+\\S')) AS short_person, regexp_matches(namn, '(?i)MASK|\\x{{fffd}}|[\\[\\]{{}}|_]|\\d') AS junk FROM raw"""
+    f"""WITH {_ENT}, {_OCC} SELECT n.pdf_stem, n.page_num, kind, idx, concat_ws(';', CASE WHEN again THEN 'Dubblett på sidan' END, CASE WHEN kind = 'entity' AND trim(namn) = '' THEN 'Tomt namn' END, CASE WHEN kind = 'entity' AND typ NOT IN ('person', 'plats', 'organisation') THEN 'Okänd entitetstyp' END,
+CASE WHEN kind = 'entity' AND typ = 'person' AND (length(trim(namn)) <= 4 OR NOT regexp_matches(trim(namn), '\\S\\s+\\S')) THEN 'Kort eller ensamt personnamn; kontrollera initialer' END, CASE WHEN kind = 'entity' AND regexp_matches(trim(namn), '(?i)MASK|\\x{{fffd}}|[\\[\\]{{}}|_]|\\d') THEN 'Möjlig maskering eller OCR-skräp' END,
+CASE WHEN kind = 'relation' THEN CASE WHEN nf = '' OR f.kinds IS NULL THEN 'Saknad ändpunkt: fran' WHEN f.kinds > 1 THEN 'Tvetydig ändpunkt: fran' END END, CASE WHEN kind = 'relation' THEN CASE WHEN nt = '' OR t.kinds IS NULL THEN 'Saknad ändpunkt: till' WHEN t.kinds > 1 THEN 'Tvetydig ändpunkt: till' END END,
+CASE WHEN kind = 'relation' AND trim(typ) = '' THEN 'Tom relationstyp' END, CASE WHEN kind = 'relation' AND nf = nt THEN 'Självkant' END) AS issues
+FROM nn n LEFT JOIN lab f ON f.pdf_stem = n.pdf_stem AND f.page_num = n.page_num AND f.norm = nf LEFT JOIN lab t ON t.pdf_stem = n.pdf_stem AND t.page_num = n.page_num AND t.norm = nt"""
 )
 def gr08_audit(spark, d):
-    """Flags a reviewer would raise on entities."""
-    p = graph.parsed(table(spark, d, "doc_entities"))
-    e = p.select("pdf_stem", "page_num", F.posexplode("p.entiteter").alias("idx", "e")).select("pdf_stem", "page_num", "idx", F.lower(F.trim("e.typ")).alias("typ"), F.trim("e.namn").alias("namn"))
-    return graph.audited(e, e)
+    """What a reviewer would ask about entities and relations."""
+    rows = graph.occurrences(graph.parsed(table(spark, d, "doc_entities")))
+    return graph.audited(rows).select("pdf_stem", "page_num", "kind", "idx", F.array_join("issues", ";").alias("issues"))
 
 
 @query(
@@ -470,16 +478,13 @@ def agg09_stems_with_entity(spark, d):
 
 
 @query(
-    f"""WITH {_ENT}, {_RES}, {_REL}, {_EDGES}, c AS (SELECT min(src) AS n FROM edges), b AS (SELECT rel, dst AS other, 'out' AS way FROM edges, c WHERE src = n UNION ALL SELECT rel, src, 'in' FROM edges, c WHERE dst = n)
-SELECT rel, other, way, count(*) AS n FROM b GROUP BY ALL"""
+    f"""WITH {_ENT}, {_RES}, {_REL}, {_EDGES}, c AS (SELECT DISTINCT src AS n FROM edges), b AS (SELECT n AS centre, rel, dst AS other, 'out' AS way FROM edges JOIN c ON src = n UNION ALL SELECT n, rel, src, 'in' FROM edges JOIN c ON dst = n)
+SELECT centre, rel, other, way, count(*) AS n FROM b GROUP BY ALL"""
 )
 def jn16_ego(spark, d):
-    """One node's neighbours in both directions."""
-    edges = _edges(spark, d)
-    centre = edges.agg(F.min("src").alias("centre"))
-    j = edges.join(F.broadcast(centre), (F.col("src") == F.col("centre")) | (F.col("dst") == F.col("centre")))
-    out = j.where(F.col("src") == F.col("centre")).select("rel", F.col("dst").alias("other"), F.lit("out").alias("way"))
-    return out.unionByName(j.where(F.col("dst") == F.col("centre")).select("rel", F.col("src").alias("other"), F.lit("in").alias("way"))).groupBy("rel", "other", "way").agg(F.count(F.lit(1)).alias("n"))
+    """The neighbours of every node that a relation goes out from, in both directions."""
+    edges = materialize(_edges(spark, d), "edges")
+    return graph.ego(edges, edges.select(F.col("src").alias("norm")))
 
 
 @query(f"WITH {_ENT} SELECT DISTINCT typ, norm, min(namn) OVER (PARTITION BY typ, norm) AS namn FROM ents WHERE contains(norm, 'berg')")
@@ -524,11 +529,13 @@ def set08_stale_decisions(spark, d):
     return table(spark, d, "graph_review_decisions", "item_key", "source_hash").join(table(spark, d, "doc_entities", "payload").select(F.sha2(F.coalesce("payload", F.lit("")), 256).alias("source_hash")), "source_hash", "left_anti").select("item_key")
 
 
-@query("SELECT sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT sha256(coalesce(source_hash, '') || action || coalesce(target_json, '')) AS h FROM graph_review_decisions)")
+@query(
+    """WITH h AS (SELECT sha256(coalesce(source_hash, '') || chr(31) || coalesce(action, '') || chr(31) || coalesce(target_json, '')) AS h FROM graph_review_decisions)
+SELECT sha256(count(*) || '|' || concat_ws('|', sum(('0x' || h[1:15])::HUGEINT), sum(('0x' || h[16:30])::HUGEINT), sum(('0x' || h[31:45])::HUGEINT), sum(('0x' || h[46:60])::HUGEINT))) AS fingerprint FROM h"""
+)
 def set06_fingerprint(spark, d):
-    """A digest of all decisions, whatever their order (the reviewers' table is small by nature)."""
-    h = table(spark, d, "graph_review_decisions").select(F.sha2(F.concat(F.coalesce("source_hash", F.lit("")), F.col("action"), F.coalesce("target_json", F.lit(""))), 256).alias("h"))
-    return h.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("fingerprint"))
+    """A digest of all decisions, whatever their order; nothing is gathered."""
+    return graph.fingerprint(table(spark, d, "graph_review_decisions"), "source_hash", "action", "target_json")
 
 
 # ---- text ------------------------------------------------------------------------
@@ -543,11 +550,11 @@ def txt05_score_text(spark, d):
 @query(
     r"""WITH l AS (SELECT id, string_split(regexp_replace(replace(replace(replace(replace(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), chr(173), ''), chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0b\x0e-\x1f\x7f]', '', 'g'), chr(10)) AS ls FROM pdf_page_readings WHERE text IS NOT NULL),
 c AS (SELECT id, list_transform(ls, lambda s: regexp_replace(regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '<[^>]{1,100}>', '', 'g'), '^\s+|\s+$', '', 'g')) AS ls FROM l)
-SELECT id, length(regexp_replace(array_to_string(list_filter(ls, lambda s: NOT (s <> '' AND NOT regexp_matches(s, '[\p{L}\p{N}]') AND (length(s) <= 2 OR regexp_matches(s, '^[\s|]+$') OR regexp_matches(s, '^[-~=_·•.]{3,}$') OR regexp_matches(s, '^[\s·•.]+$')))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) AS n FROM c"""
+SELECT id, md5(regexp_replace(array_to_string(list_filter(ls, lambda s: NOT (s <> '' AND NOT regexp_matches(s, '[\p{L}\p{N}]') AND (length(s) <= 2 OR regexp_matches(s, '^[\s|]+$') OR regexp_matches(s, '^[-~=_·•.]{3,}$') OR regexp_matches(s, '^[\s·•.]+$')))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) AS h FROM c"""
 )
 def txt01_normalize(spark, d):
-    """Lengths of the cleaned texts."""
-    return table(spark, d, "pdf_page_readings", "id", "text").where("text is not null").select("id", F.length(T.normalize_text(F.col("text"))).alias("n"))
+    """The cleaned texts."""
+    return table(spark, d, "pdf_page_readings", "id", "text").where("text is not null").select("id", F.md5(T.normalize_text(F.col("text"))).alias("h"))
 
 
 @query("SELECT id, len(string_split(text, 'uppslag')) - 1 AS n FROM pdf_page_readings WHERE text IS NOT NULL")
@@ -669,14 +676,6 @@ def lay26_dark_blocks(spark, d):
     return pages.dark_blocks(r, "page", "y", gap=59, height=8)
 
 
-@query()
-def lay05_layout_text(spark, d):
-    """Text and tables of layout blocks built from the readings."""
-    t = current_pages(spark, d, "text").where("text is not null")
-    html = F.concat(F.lit("<div><p>"), F.regexp_replace(F.regexp_replace("text", "[<>&]", " "), "\n", "<br>"), F.lit("</p></div>"))
-    return pages.layout_text(t.select("pdf_stem", "page_num", F.array(F.struct(html.alias("html"), F.lit(1).alias("order"))).alias("blocks")), ["pdf_stem", "page_num"], "blocks")
-
-
 # ---- search ----------------------------------------------------------------------
 
 
@@ -712,12 +711,24 @@ def win01_bm25(spark, d):
     return retrieval.bm25(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", "handskriven cykel bageriet", 20)
 
 
-_TWO = """a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents WHERE source = 'forum-kaj' ORDER BY rank LIMIT 15), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank FROM documents WHERE source = 'forum-kaj' ORDER BY rank LIMIT 15)"""
+_TWO = f"""{_BM25}, a AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) - 1 AS rank FROM (SELECT e.vec_id, {_DIST} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY rank LIMIT 20),
+b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM bm WHERE score > 0 ORDER BY rank LIMIT 20)"""
+QUERY_TEXT = "handskriven cykel bageriet"
+
+
+def _texts(spark, d):
+    return table(spark, d, "documents", "doc_id", "text", "source", "dossier")
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
 
 
 def _two_lists(spark, d):
-    t = table(spark, d, "documents", "doc_id", "source", "n_chars").where("source = 'forum-kaj'")
-    return [retrieval.ranked(t.orderBy(*o).limit(15), *o).select("doc_id", "rank") for o in ((F.desc("n_chars"), "doc_id"), ("n_chars", "doc_id"))]
+    """The vector's and the words' hits, 20 each, over the whole tables."""
+    near = retrieval.knn(_vectors(spark, d), "embedding", _query_vector(spark, d), 20, "doc_id")
+    words = retrieval.bm25(_texts(spark, d), "doc_id", "text", QUERY_TEXT, 20)
+    return [retrieval.ranked(near, "distance", "doc_id").select("doc_id", "rank"), retrieval.ranked(words, F.desc("score"), "doc_id").select("doc_id", "rank")]
 
 
 @query(
@@ -753,11 +764,14 @@ def top05_worst(spark, d):
     return quality.worst(doc_scores(spark, d), "quality", ["doc_id"], 20).select("doc_id", "quality")
 
 
-@query(f"WITH {_TWO} SELECT string_agg('[' || doc_id || ', sida ' || rank || ']', chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM a")
+@query(
+    f"""WITH {_TWO} SELECT md5(string_agg('[Nr ' || doc_id || ', sida 1, "' || substring(coalesce(dossier, ''), 1, 60) || '"]' || chr(10) || 'source: "' || source || '"' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context FROM b JOIN documents USING (doc_id)"""
+)
 def txt22_context(spark, d):
-    """Ranked hits as one block of text."""
-    a, _ = _two_lists(spark, d)
-    return retrieval.context_block(a, "rank", F.lit("["), F.col("doc_id").cast("string"), F.lit(", sida "), F.col("rank").cast("string"), F.lit("]"))
+    """Ranked hits as one block of text with their citations and files."""
+    _, b = _two_lists(spark, d)
+    hits = _texts(spark, d).join(F.broadcast(b), "doc_id")
+    return display.joined_hits(hits, "rank", display.hit_block(F.col("doc_id"), F.lit(1), F.col("dossier"), F.col("text"), F.col("source"))).select(F.md5("context").alias("context"))
 
 
 # ---- history, deltas, jobs -------------------------------------------------------
@@ -922,3 +936,4 @@ def ext_sessions(spark, d):
 
 from pagewright.plans import catalog_review  # noqa: E402,F401  (adds its queries)
 from pagewright.plans import catalog_state  # noqa: E402,F401
+from pagewright.plans import catalog_more  # noqa: E402,F401

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pagewright.operators import citations, forms, replies, review
+from pagewright.operators import citations, forms, layout, replies, review
 from pagewright.sources import files
 
 
@@ -22,21 +22,28 @@ def test_masks(spark):
 
 def test_layout_shapes_and_usage(spark):
     df = spark.createDataFrame([('[{"text": "x"}]',), ('{"dpi": 200, "blocks": [{"text": "y"}]}',), ("{",)], "j string")
-    got = [r[0] for r in df.select(forms.layout_blocks(F.col("j"))).collect()]
-    assert got[0]["dpi"] == 300 and got[1]["dpi"] == 200 and got[1]["blocks"][0]["text"] == "y" and (got[2] is None or got[2]["blocks"] is None)
+    got = [r[0] for r in df.select(layout.from_stored(F.col("j"))).collect()]
+    assert got[0]["dpi"] == 300 and got[1]["dpi"] == 200 and got[1]["blocks"][0]["text"] == "y" and got[2] is None
     u = spark.createDataFrame([('{"prompt_tokens": 5, "completion_tokens": 2}',), ('{"input_tokens": 1, "cache_read_input_tokens": 3, "output_tokens": 4}',)], "j string").select(forms.usage_fields(F.col("j")).alias("u")).select("u.*").collect()
     assert [tuple(r) for r in u] == [(5, 2, 0), (4, 4, 3)]
 
 
 def test_citations(spark):
-    a = spark.createDataFrame([(1, "Se [HK1-2, sida 3] och [samma dokument, s. 5], [XX9-9, s. 1] <b> [HK1-2, s. 9]"), (2, None)], "id int, a string")
-    got = {(r["nr"], r["page"]) for r in citations.cited(a, ["id"], "a").collect()}
-    assert got == {("HK1-2", 3), ("XX9-9", 1)}
-    docs = spark.createDataFrame([("HK1-2",), ("HK1-2 — bilaga",), ("XX9-9_b",), ("XX9-99",)], "stem string")
-    got = {(r["nr"], r["stem"]) for r in citations.resolved(citations.cited(a, ["id"], "a"), docs).collect()}
-    assert got == {("HK1-2", "HK1-2"), ("XX9-9", "XX9-9_b")}
-    out = citations.linkify("Se [HK1-2, sida 3] och [samma dokument, s. 5] <b>", {"HK1-2": "a.pdf"})
-    assert out.count("<a href") == 2 and "#page=5" in out and "&lt;b&gt;" in out
+    a = spark.createDataFrame([(1, "Se [HK1-2, sida 3, 9] och [samma dokument, sida 5], XX9-9, sida 1 <b> [Nr HK1-2] [samma sida] [Nr HK…]"), (2, None)], "id int, a string")
+    got = [(r["nr"], r["cut"], list(r["pages"]), r["back"]) for r in citations.cited(a, ["id"], "a").orderBy("place").collect()]
+    assert got == [("HK1-2", False, [3, 9], ""), ("", False, [5], "dokument"), ("XX9-9", False, [1], ""), ("HK1-2", False, [], ""), ("", False, [], "sida"), ("HK", True, [], "")]
+    assert [(c.nr, c.cut, c.pages, c.back) for c in citations.citations_of(a.first()["a"])] == got
+    docs = spark.createDataFrame([("HK1-2", "x/HK1-2.pdf"), ("HK1-2 — bilaga", "b"), ("XX9-9_b", "c"), ("XX9-9 d", "d"), ("XX9-99", "e"), ("Pol-1_ATitel", "f")], "stem string, path string")
+    hits = citations.resolved(citations.cited(a, ["id"], "a").where("back = '' and not cut").select("id", "nr").distinct(), docs.select("stem"))
+    assert {(r["nr"], r["stem"]) for r in hits.collect()} == {("HK1-2", "HK1-2"), ("XX9-9", "XX9-9_b"), ("XX9-9", "XX9-9 d")}
+    cut = spark.createDataFrame([(1, "HK"), (2, "Pol-1"), (3, "XX9-9_")], "id int, nr string")
+    assert {(r["id"], r["stem"]) for r in citations.resolved_cut(cut, docs).collect()} == {(2, "Pol-1_ATitel"), (3, "XX9-9_b")}
+    known = docs.where("stem = 'HK1-2'")
+    assert {r["id"] for r in citations.resolved_cut(cut, docs, known).collect()} == {1, 2, 3}
+    long = spark.createDataFrame([(1, "Pol-1_A")], "id int, nr string")
+    assert citations.resolved(long, docs).first()["stem"] == "Pol-1_ATitel"
+    out = {r["id"]: r["linked"] for r in citations.linked(a, ["id"], "a", docs).collect()}
+    assert out[2] is None and out[1].count("<a href") == 2 + 2 + 1 + 1 and out[1].count("page=5") == 1 and "[Nr HK…]" in out[1]
 
 
 def test_replies(spark):

@@ -1,4 +1,5 @@
 import difflib
+import json
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import chunk as C
-from pagewright.operators import geo, graph, pages, quality, retrieval, state
+from pagewright.operators import geo, graph, layout, pages, quality, retrieval, state
 
 
 def one(spark, column, **values):
@@ -216,12 +217,41 @@ def test_overlay(spark):
     assert got == {"d": "ett\f2\f\f4", "e": "\f"}
 
 
+def page(spark, *blocks):
+    """A page read from (label, html, order)."""
+    raw = json.dumps([{"label": k, "html": h, "reading_order": o, "bbox": [0, 10 * i, 50, 10 * i + 9]} for i, (k, h, o) in enumerate(blocks)])
+    return layout.parsed(spark.createDataFrame([("p", raw)], "k string, raw string"), ["k"], "raw")
+
+
 def test_layout(spark):
-    html = [("<p>Först</p><script>x</script>", 2), ("<table><tr><th colspan='2'>A</th></tr><tr><td>b</td><td>c|d</td></tr></table>", 1), ("<p>sist <input type='checkbox' checked></p>", None)]
-    df = spark.createDataFrame([("d", html)], "k string, blocks array<struct<html:string,order:int>>")
-    r = pages.layout_text(df, ["k"], "blocks").first()
-    assert r["text"].split("\n")[-2:] == ["Först", "sist ☑"]
-    assert "| A |  |" in r["markdown"] and "c\\|d" in r["markdown"]
+    p = page(spark, ("Text", "<p>Först</p><script>x</script>", 2), ("Table", "<table><tr><th colspan='2'>A</th></tr><tr><td>b</td><td>c|d</td></tr></table>", 1), ("Text", "<h5>sist</h5> <input type='checkbox' checked>", None))
+    r = p.select(layout.page_text(F.col("blocks")).alias("text"), layout.page_markdown(F.col("blocks")).alias("md"), "degraded").first()
+    assert r["text"] == "A\nb\tc|d\nFörst\nsist\n☒" and not r["degraded"]
+    assert r["md"].startswith("| A |  |\n| --- | --- |\n| b | c\\|d |\n\nFörst")
+
+
+def test_blocks_of_their_own(spark):
+    p = page(spark, ("ListGroup", "före<ul><li>a</li><li>b</li></ul>efter", 0), ("Equation", "se <math>x^2</math> här", 1), ("Table", "<p>Rubrik</p><table><caption>Bild</caption><tr><td rowspan=2>x</td><td>y</td></tr><tr><td>z</td></tr></table>noter", 2), ("Table", "<p>tom</p>", 3), ("PageFooter", "sid 3", 4), ("Code", "<pre>a  b</pre>", 5))
+    b = p.first()["blocks"]
+    assert [(x["kind"], x["text"]) for x in b] == [("PARAGRAPH", "före"), ("LIST_ITEM", "a"), ("LIST_ITEM", "b"), ("PARAGRAPH", "efter"), ("FORMULA", "x^2"), ("PARAGRAPH", "se här"), ("PARAGRAPH", "Rubrik"), ("CAPTION", "Bild"), ("TABLE", "x\ty\nz"), ("PARAGRAPH", "noter"), ("PARAGRAPH", "tom"), ("PAGE_FOOTER", "sid 3"), ("CODE", "a  b")]
+    assert p.first()["degraded"] and [x["order"] for x in b] == list(range(len(b)))
+    md = p.select(layout.page_markdown(F.col("blocks"))).first()[0]
+    assert "| x | y |\n| --- | --- |\n|  | z |" in md and "sid 3" not in md and "$$\nx^2\n$$" in md and "```\na  b\n```" in md
+
+
+def test_dialogue_and_headers(spark):
+    p = page(spark, ("PageHeader", "Förhör  med X", 0), ("Text", "F: Var det så?<br>S: Ja.<br># inte en rubrik", 1))
+    assert p.select(layout.page_markdown(F.col("blocks"))).first()[0] == "> Sidhuvud: Förhör med X\n\n**F:** Var det så?\n\n**S:** Ja.\n\\# inte en rubrik"
+    empty = layout.parsed(spark.createDataFrame([("a", None), ("b", "{"), ("c", "[]"), ("d", "[1]")], "k string, raw string"), ["k"], "raw")
+    assert empty.where(F.size("blocks") > 0).count() == 0
+
+
+def test_redactions_beside_marks(spark):
+    p = page(spark, ("Text", "ett", 0), ("Text", "två [Redacted]", 1), ("Text", "tre", 2))
+    got = p.select(layout.with_redactions(F.col("blocks"), F.array(F.array(F.lit(12), F.lit(14)), F.array(F.lit(27), F.lit(28)), F.array(F.lit(0), F.lit(1)))).alias("b")).first()["b"]
+    assert [x["text"] for x in got] == ["[MASKAD]", "ett", "två [Redacted]", "tre", "[MASKAD]"] and [x["order"] for x in got] == [0, 1, 2, 3, 4]
+    fixed = p.select(layout.replace_redacted(F.col("blocks")).alias("b")).first()["b"]
+    assert fixed[1]["text"] == "två [MASKAD]"
 
 
 def test_dark_blocks(spark):
