@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import map_batches
-from pagewright.llm.page_lines import _BLANK, _GAP, _INDEX, _MARK, PROSE, ROW, kind, read_lines, weigh
+from pagewright.llm.page_lines import _BLANK, _GAP, _INDEX, _MARK, PROSE, ROW, read_lines, weigh
 from pagewright.llm.pii import automaton, find_spans
 from pagewright.session import materialize, release
 
@@ -25,6 +25,7 @@ LEAST_DOCUMENTS, LEAST_PAGES, OUTER_SHARE = 3, 3, 0.8
 #: Share of all documents from which a line of furniture is known to all of them (at most 25,000 such lines); others are known to the documents they stand in.
 EDGE_SHARE = 2e-4
 TOP, BOTTOM = 3, 2
+_ENDING = frozenset(".,;?:-=‐¬\xad")
 
 _HYPHENS = "-‐‑¬=\xad"
 _JOIN = re.compile(rf"(?<=[^\W\d_])[{_HYPHENS}][ \t]*\r?\n[ \t]*(?=[a-zà-öø-ÿ])")
@@ -37,6 +38,7 @@ _NUMBER_LINE = re.compile(
     rf"(?:[-–—~]\s*({_NUM})\s*[-–—~]|[\[({{]\s*({_NUM})\s*[\])}}]|(?:[sS5][iIl1|]d(?:an|a)?|[sS5]\.|[pP]\.|[bB8][lI1|]ad|[pP]age)\s*({_NUM})(?:\s*(?:av|/|\()\s*{_NUM}\)?)?|({_NUM})\s*\(\s*{_NUM}\s*\)|({_NUM})\s*(?:/|av)\s*{_NUM}|({_NUM}))\.?"
 )
 _SUFFIX = re.compile(r"\s*[·*.,–-]?\s*[sS5][iIl1|][dcl]{1,2}\.?\s*[0-9lIOoSB|]{1,4}$", re.I)
+_SUFFIX_ENDS = frozenset("0123456789lIOoSB|LisbS")
 _SPECK = re.compile(r"[^\w]{1,3}(?:\s[^\w]{1,2})*$")
 _TURN_HEAD = re.compile(r"(?:\*\*)?(?:FL|F|S|H|[A-ZÅÄÖ][a-zåäö]+(?: [a-zåäö]+)?)(?:\*\*)?(?::| - )")
 
@@ -48,12 +50,28 @@ _FIRST = ((), (("1", "l"), ("|", "l"), ("0", "o")), (("l", "i"), ("1", "i"), ("|
 _LIGATURES = str.maketrans({"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"})
 
 
+def _as_bytes(table: dict[int, str]) -> bytes:
+    """A table of characters as one of Latin-1 bytes."""
+    return bytes(ord(table[i]) if i in table else i for i in range(256))
+
+
+def _changed(s: str, table: dict[int, str], as_bytes: bytes) -> str:
+    """``s.translate(table)``, by bytes where the text allows it, which is many times faster."""
+    try:
+        return s.encode("latin-1").translate(as_bytes).decode("latin-1")
+    except UnicodeEncodeError:
+        return s.translate(table)
+
+
+_SINGLE_BYTES = _as_bytes({k: chr(v) if isinstance(v, int) else v for k, v in _SINGLE.items()})
+
+
 def look(word: str) -> str:
     """What is left of a lower-case word when everything that scanners confuse is made alike."""
     for a, b in _GROUPS:
         if a in word:
             word = word.replace(a, b)
-    return word.translate(_SINGLE)
+    return _changed(word, _SINGLE, _SINGLE_BYTES)
 
 
 def looks(word: str) -> list[str]:
@@ -68,11 +86,20 @@ def looks(word: str) -> list[str]:
     return out
 
 
+_DIGITS = re.compile(r"\d[\d.,/-]*")
+_KEY = _SINGLE | str.maketrans("#·*–—_-", "9      ")
+_KEY_BYTES = _as_bytes({k: chr(v) if isinstance(v, int) else v for k, v in _KEY.items()})
+
+
 def furniture_key(line: str) -> str:
     """A line as it recurs: page suffix off, digits and confusable characters alike, blanks single."""
-    s = _SUFFIX.sub("", line.strip(_BLANK)).lower()
-    s = re.sub(r"\d[\d.,/-]*", "#", s)
-    return re.sub(r"\s+", " ", re.sub(r"[·*–—_-]+", " ", look(s).replace("#", "9"))).strip()
+    s = line.strip(_BLANK)
+    m = _SUFFIX.search(s, max(0, len(s) - 24)) if s[-1:] in _SUFFIX_ENDS else None
+    s = _DIGITS.sub("#", (s[: m.start()] if m else s).lower())
+    for a, b in _GROUPS:
+        if a in s:
+            s = s.replace(a, b)
+    return " ".join(_changed(s, _KEY, _KEY_BYTES).split())
 
 
 def page_number(line: str) -> str | None:
@@ -100,7 +127,7 @@ def _edge_lines(text: str) -> tuple[list[tuple[str, str]], set[int]]:
     last, out = len(lines) - 1, []
     for i in {*range(min(TOP, last + 1)), *range(max(0, last + 1 - BOTTOM), last + 1)}:
         s = lines[i]
-        if len(s) < 4 or s[-1] in ".,;?:-=‐¬\xad" and not _SUFFIX.search(s) or _MARK.match(s) or ";" in s or len(_GAP.findall(s)) > 1 or s.count(",") > 1 and _INDEX.search(s):
+        if len(s) < 4 or s[-1] in _ENDING and not _SUFFIX.search(s) or _MARK.match(s) or ";" in s or len(_GAP.findall(s)) > 1 or s.count(",") > 1 and _INDEX.search(s):
             continue
         runs_on = s[0].islower() or i < last and lines[i + 1][0].islower() or s.count("(") > s.count(")")
         if i in (0, last):
@@ -125,7 +152,7 @@ def corpus_words(df: DataFrame, text: str, key: str) -> DataFrame:
     def batch(texts: list) -> dict[str, list]:
         c: Counter[str] = Counter()
         for t in texts:
-            c.update(_TOKEN.findall(_JOIN.sub("", t).lower()))
+            c.update(_TOKEN.findall((_JOIN.sub("", t) if _BREAKS.search(t) else t).lower()))
         return {"word": list(c), "n": list(c.values())}
 
     of = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(key).alias("k"))
@@ -306,14 +333,16 @@ class Reader:
         self.lines: dict[str, bool] = {}
         self.local: dict[str, tuple[int, str]] = {}
 
-    def is_furniture(self, line: str) -> bool:
-        """Whether a line recurs at page edges, up to two slips of the scanner."""
+    def is_furniture(self, line: str, of: str) -> bool:
+        """Whether a line (of a kind) recurs at page edges, up to two slips of the scanner; no sentence's end is learned as such."""
+        if of == PROSE and line[-1] in _ENDING:
+            return False
         known = self.lines.get(line)
         if known is None:
             if len(self.lines) > 500_000:
                 self.lines.clear()
             key = furniture_key(line)
-            known = key in self.know.furniture or len(key) >= 8 and kind(line) != "prose" and self._like(key)
+            known = key in self.know.furniture or len(key) >= 8 and of != PROSE and self._like(key)
             self.lines[line] = known
         return known
 
@@ -328,10 +357,10 @@ class Reader:
                         return True
         return False
 
-    def is_own(self, line: str, own: list[str]) -> bool:
+    def is_own(self, line: str, of: str, own: list[str]) -> bool:
         """Whether a line at an edge is furniture of its document, up to two slips of the scanner."""
         key = furniture_key(line)
-        return key in own or len(key) >= 8 and kind(line) != "prose" and any(abs(len(k) - len(key)) <= 1 and k[0] != "#" and _slips(k, key) <= 2 for k in own)
+        return key in own or len(key) >= 8 and of != PROSE and any(abs(len(k) - len(key)) <= 1 and k[0] != "#" and _slips(k, key) <= 2 for k in own)
 
     def count(self, word: str) -> int:
         """How often a valid word occurs, 0 for any other."""
@@ -376,7 +405,7 @@ def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Re
                 continue
         if _SPECK.match(s):
             continue
-        if (edge or k != PROSE) and reader.is_furniture(s) or own and edge and reader.is_own(s, own):
+        if (edge or k != PROSE) and reader.is_furniture(s, k) or own and edge and reader.is_own(s, k, own):
             found.append(("header", s))
             continue
         kept.append((s, k))
