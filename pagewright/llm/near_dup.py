@@ -96,37 +96,33 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[tuple[np.ndarray, ...]] = []
 
-    def found(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        """Candidates among the rows of ``x`` (or its only one) and the rows of ``y`` beside them."""
-        keep = (x[1] != y[1]) | (y[1] == 0)
-        if keep.any():
-            other = (x[2] if len(x[2]) == 1 else x[2][keep]) ^ y[2][keep]
+    def found(i: np.ndarray, j: np.ndarray, ids: np.ndarray, stems: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The candidates among the pairs of rows ``i`` and ``j``."""
+        keep = (stems[i] != stems[j]) | (stems[j] == 0)
+        i, j = i[keep], j[keep]
+        if len(i):
+            other = bits[i] ^ bits[j]
             other |= other >> np.uint64(2)
             agree = TREES * DEPTH - np.bitwise_count((other | other >> np.uint64(1)) & _LOWEST).sum(axis=1, dtype=np.int64)
-            keep[keep] = agree >= AGREEING
-        if keep.any():
-            i, j = np.broadcast_to(x[0], len(keep))[keep], y[0][keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], schema=schema)
-
-    def pairs(sides: np.ndarray, *rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(sides)
-        if not sides[-1]:
-            for k in range(1, n):  # a pair at distance k of the order, a vector at a time
-                yield from found(tuple(c[:-k] for c in rows), tuple(c[k:] for c in rows))
-        elif sides[0] != sides[-1]:
-            cut = int(np.searchsorted(sides, 2))
-            for k in range(cut):
-                yield from found(tuple(c[k : k + 1] for c in rows), tuple(c[cut:] for c in rows))
+            a, b = ids[i[agree >= AGREEING]], ids[j[agree >= AGREEING]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     def cells(cell: np.ndarray, ids: np.ndarray, stems: np.ndarray, sides: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
         bits = np.stack(words, axis=1).view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sizes = np.diff(np.r_[starts, len(cell)])
-        many = np.maximum.reduceat(stems, starts) != np.minimum.reduceat(stems, starts)
-        zero = np.minimum.reduceat(stems != 0, starts) == 0
-        for s, n in zip(starts[(sizes > 1) & (many | zero)], sizes[(sizes > 1) & (many | zero)]):
-            part = slice(s, s + n)
-            yield from pairs(sides[part], ids[part], stems[part], bits[part])
+        # Cells with one side: all pairs at distance k of the order, those of all cells at once.
+        i, k = np.flatnonzero(sides == 0), 1
+        while len(i := i[i + k < len(cell)]) and len(i := i[cell[i] == cell[i + k]]):
+            yield from found(i, i + k, ids, stems, bits)
+            k += 1
+        if sides[-1] or sides.any():
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            for s, e in zip(starts, np.r_[starts[1:], len(cell)]):
+                cut = s + int(np.searchsorted(sides[s:e], 2))
+                if sides[s] and s < cut < e:
+                    right = np.arange(cut, e)
+                    for one in range(s, cut):
+                        yield from found(np.full(len(right), one), right, ids, stems, bits)
 
     def joined() -> tuple[np.ndarray, ...]:
         return tuple(np.concatenate(c) for c in zip(*held))
@@ -184,13 +180,24 @@ def forest_candidates(reps: DataFrame, within: bool = False) -> DataFrame:
     return placed.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_neighbours, "a long, b long").distinct()
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """Hashes as 48 bits each; two of the few hundred of a pair are alike by chance in one of 10^9 pairs."""
+    return np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """The candidates whose exact share of common word sequences is at least ``similarity``, with ``similarity``."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
     def compact(words: _Words, ids: list, ts: list) -> dict[str, list]:
-        return {"id": ids, "s": [shingles(t, words).tobytes() for t in ts]}
+        return {"id": ids, "s": [_packed(shingles(t, words)) for t in ts]}
 
     sets = materialize(map_batches(texts, compact, "id long, s binary", _Words), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
@@ -198,7 +205,7 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, similarity: f
     def compare(a: list, b: list, sa: list, sb: list) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": [], "similarity": []}
         for i, j, x, y in zip(a, b, sa, sb):
-            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            p, q = _unpacked(x), _unpacked(y)
             common = len(np.intersect1d(p, q, assume_unique=True))
             if common >= similarity * (len(p) + len(q) - common):
                 out["a"].append(i)
@@ -225,9 +232,11 @@ class Forest:
         signed = materialize(text_signatures(df, key, text, group, within), "signatures")
         # Copies are gathered by a partial aggregate over the digest; however many there are, one row goes on.
         classes = materialize(signed.groupBy("same").agg(F.min(F.struct("id", "sig")).alias("first"), F.min("stem").alias("lo"), F.max("stem").alias("hi")).select("same", F.col("first.id").alias("rep"), "lo", "hi", F.col("first.sig").alias("sig")), "classes")
-        self.members = signed.select("id", "stem", "same", F.col("sig").isNotNull().alias("long")).join(classes.select("same", "rep", "lo", "hi"), "same").select("id", "stem", "rep", "lo", "hi", "long")
+        self.members = materialize(signed.select("id", "stem", "same", F.col("sig").isNotNull().alias("long")).join(classes.select("same", "rep", "lo", "hi"), "same").select("id", "stem", "rep", "lo", "hi", "long"), "members")
+        release(signed)
         reps = classes.where(F.col("sig").isNotNull()).select(F.col("rep").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(0).cast("long")).alias("stem"), "sig")
         candidates = materialize(forest_candidates(reps, within), "candidates")
+        release(classes)
         self.pairs = materialize(verified(candidates, df, key, text, similarity), "similar")
         release(candidates)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.sources.tables import table
@@ -73,9 +73,21 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every over-long reading, with their text."""
     from pagewright.llm.split import split_items
 
-    readings = table(spark, folder, "pdf_page_readings", "id", "text")
-    cut = split_items(readings).select("id", F.posexplode("pieces").alias("piece", "p"))
-    return cut.join(readings, "id").select("id", "piece", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.boundary").alias("boundary"), F.expr("substring(text, p.start + 1, p.end - p.start)").alias("text"))
+    cut = split_items(table(spark, folder, "pdf_page_readings", "id", "text"), with_text=True).select("id", F.posexplode("pieces").alias("piece", "p"))
+    return cut.select("id", "piece", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.boundary").alias("boundary"), F.col("p.text").alias("text"))
+
+
+@query
+def p4_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every over-long reading put together again from its pieces, and whether these keep their limits."""
+    w = Window.partitionBy("id").orderBy("piece")
+    p = p4_pieces(spark, folder).withColumn("shared", F.coalesce(F.lag("end").over(w) - F.col("start"), F.lit(0)))
+    new = F.struct("piece", F.expr("substring(text, shared + 1)").alias("t"))
+    texts = p.groupBy("id").agg((F.max(F.length("text")) <= 800).alias("within"), (F.max("shared") <= 150).alias("shared_little"), (F.min("shared") >= 0).alias("no_gap"), F.array_join(F.transform(F.array_sort(F.collect_list(new)), lambda x: x["t"]), "").alias("t"))
+    return texts.select("id", "within", "shared_little", "no_gap", F.md5("t").alias("text"))
+
+
+ORACLE["p4_rebuilt"] = "SELECT DISTINCT id, true AS within, true AS shared_little, true AS no_gap, md5(text) AS text FROM pdf_page_readings WHERE length(text) > 800"
 
 
 # ---- 6: best representative ------------------------------------------------------
@@ -113,6 +125,14 @@ def p6_records(spark: SparkSession, folder: str) -> DataFrame:
     return merged_records(table(spark, folder, "pdf_page_readings"), table(spark, folder, "ocr_engines"))
 
 
+ORACLE["p6_records"] = _P6_RANKED + r"""
+, l AS (SELECT *, regexp_matches(markdown, '[^\s\x{a0}]') AS md, regexp_matches(layout_json, '[^\s\x{a0}]') AS ly, replace(lower(trim(engine)), '_', '-') AS e FROM k),
+m AS (SELECT pdf_stem, page_num, arg_min(id, n) FILTER (md) AS mid, arg_min(coalesce(e, ''), n) FILTER (md) AS me FROM l GROUP BY ALL),
+c AS (SELECT l.pdf_stem, l.page_num, max(CASE WHEN n = 1 THEN id END) AS id, coalesce(any_value(mid), 0) AS markdown_id, coalesce(arg_min(id, n) FILTER (ly AND coalesce(e, '') = me), 0) AS layout_id, max(c) AS readings FROM l JOIN m USING (pdf_stem, page_num) GROUP BY ALL)
+SELECT c.*, r.engine, r.engine_identity, r.text, r.score, r.recorded_at, r.reason, mm.markdown, y.layout_json FROM c JOIN pdf_page_readings r ON r.id = c.id LEFT JOIN pdf_page_readings mm ON mm.id = c.markdown_id LEFT JOIN pdf_page_readings y ON y.id = c.layout_id
+"""
+
+
 # ---- 5: near duplicates ----------------------------------------------------------
 
 
@@ -141,6 +161,22 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return Forest(table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "text"), within=True).groups()
 
 
+ORACLE["p5_groups"] = r"""
+WITH RECURSIVE w AS (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM pdf_page_readings),
+g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(generate_series(1, len(w) - 2)) AS u(i) WHERE len(w) >= 20),
+sets AS (SELECT id, md5(string_agg(g, '|' ORDER BY g)) AS same FROM g GROUP BY id),
+own AS (SELECT id, coalesce(same, CASE WHEN len(w) > 0 THEN 'w' || array_to_string(w, ' ') ELSE 'i' || id END) AS same FROM w LEFT JOIN sets USING (id)),
+reps AS (SELECT id, min(id) OVER (PARTITION BY same) AS rep FROM own),
+s AS (SELECT g.* FROM g WHERE id IN (SELECT rep FROM reps)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.5 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+cc AS (SELECT DISTINCT rep AS node, rep AS root FROM reps UNION SELECT ways.b, cc.root FROM cc JOIN ways ON ways.a = cc.node),
+c AS (SELECT node, min(root) AS root FROM cc GROUP BY node)
+SELECT r.id, least(c.root, r.rep) AS class_id, (SELECT count(*) FROM ways WHERE a = r.rep) AS links FROM reps r JOIN c ON c.node = r.rep
+"""
+
+
 # ---- 2: personal information -----------------------------------------------------
 
 
@@ -260,3 +296,21 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
     used = fill_containers(token_counts(table(spark, folder, "documents", "doc_id", "text"))).groupBy("container").agg(F.sum("tokens").alias("used"))
     return used.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.avg("used") / CAPACITY, 4).alias("mean_fill"))
+
+
+@query
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the containers keep their rules: documents placed, places used twice, containers over their size, documents cut without need or not whole."""
+    from pagewright.llm.packing import CAPACITY, fill_containers, token_counts
+    from pagewright.session import materialize
+
+    sizes = materialize(token_counts(table(spark, folder, "documents", "doc_id", "text")), "sizes")
+    placed = materialize(fill_containers(sizes), "placed")
+    of_doc = placed.groupBy("doc_id").agg(F.sum("tokens").alias("sum"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("different"))
+    j = of_doc.join(sizes, "doc_id")
+    docs = j.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("sum") != F.col("tokens")).alias("not_whole"), F.count_if(F.col("pieces") != F.col("different")).alias("twice"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= CAPACITY)).alias("cut"))
+    over = placed.groupBy("container").agg(F.sum("tokens").alias("used")).agg(F.count_if(F.col("used") > CAPACITY).alias("too_full"))
+    return docs.crossJoin(over)  # single rows
+
+
+ORACLE["p8_checked"] = r"SELECT count(*) AS documents, 0 AS not_whole, 0 AS twice, 0 AS cut, 0 AS too_full FROM documents WHERE regexp_matches(text, '[^\s\x{a0}\x{200b}\x{feff}]')"

@@ -14,6 +14,7 @@ from pagewright.llm.arrow import map_batches
 MAX_CHARS, OVERLAP, MIN_CHARS = 800, 150, 300
 LEVELS = ("paragraph", "line", "sentence", "word")
 _PARAGRAPH = re.compile(r"(?<=\n)(?:[ \t]*\n)+")
+_LINE = re.compile(r"\n")
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
 _WORD = re.compile(r"[ \t\n]+")
 _WINDOW = 16
@@ -56,7 +57,7 @@ def boundaries(text: str) -> dict[str, list[int]]:
     """Positions at which a piece may begin, by level; each is the first character after the pause."""
     return {
         "paragraph": [m.end() for m in _PARAGRAPH.finditer(text)],
-        "line": [i + 1 for i, ch in enumerate(text) if ch == "\n"],
+        "line": [m.end() for m in _LINE.finditer(text)],
         "sentence": [m.end() for m in _SENTENCE.finditer(text)],
         "word": [m.end() for m in _WORD.finditer(text)],
     }
@@ -96,9 +97,10 @@ def split_text(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP, least:
     return out
 
 
-def split_items(df: DataFrame, key: str = "id", text: str = "text", limit: int = MAX_CHARS, overlap: int = OVERLAP, least: int = MIN_CHARS) -> DataFrame:
+def split_items(df: DataFrame, key: str = "id", text: str = "text", limit: int = MAX_CHARS, overlap: int = OVERLAP, least: int = MIN_CHARS, with_text: bool = False) -> DataFrame:
     """One row per text of more than ``limit`` characters: key, ``cut`` (see cut_level) and
-    ``pieces``, an array of ``start``, ``end`` (zero-based, in characters), ``boundary``.
+    ``pieces``, an array of ``start``, ``end`` (zero-based, in characters), ``boundary`` and,
+    if wanted, ``text``.
 
     Null, empty and short texts have no row; repeated keys have a row each; other
     columns are not read. A very long text is cut in one task, in time linear in its
@@ -108,10 +110,12 @@ def split_items(df: DataFrame, key: str = "id", text: str = "text", limit: int =
     src = df.where(F.length(text) > limit).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
     def batch(keys: list, texts: list) -> dict[str, list]:
+        cuts = [split_text(t, limit, overlap, least) for t in texts]
+        more = (lambda t, a, b: {"text": t[a:b]}) if with_text else (lambda t, a, b: {})
         return {
             "_key": keys,
             "cut": [cut_level(t, limit) for t in texts],
-            "pieces": [[{"start": a, "end": b, "boundary": c} for a, b, c in split_text(t, limit, overlap, least)] for t in texts],
+            "pieces": [[{"start": a, "end": b, "boundary": c, **more(t, a, b)} for a, b, c in cut] for t, cut in zip(texts, cuts)],
         }
 
-    return map_batches(src, batch, f"_key {of}, cut string, pieces array<struct<start:int,end:int,boundary:string>>").withColumnRenamed("_key", key)
+    return map_batches(src, batch, f"_key {of}, cut string, pieces array<struct<start:int,end:int,boundary:string{',text:string' if with_text else ''}>>").withColumnRenamed("_key", key)
