@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.operators import archive_state as A
 from pagewright.operators import chunk as C
-from pagewright.operators import citations, display, geo, graph, layout, quality, retrieval, state
+from pagewright.operators import citations, display, forms, geo, graph, layout, quality, retrieval, state
 from pagewright.plans.catalog import _BM25, _DIST, _EDGES, _ENT, _FILES, _PAGES, _REL, _RES, _SCORED, _TWO, QUERY_TEXT, _edges, _entities, _query_vector, _texts, _vectors, current_pages, files, page_scores, query
 from pagewright.sources.tables import table
 
@@ -173,6 +173,25 @@ def lay11_with_redactions(spark, d):
     return p.select(*A.PAGE, F.size(layout.with_redactions(F.col("blocks"), stripes)).alias("blocks"), early.alias("masked_before"))
 
 
+_FORM = {"name": "kund", "match": ["KUNDBLAD"], "labels": {"01": "Namn", "02": "Telefon", "03": "Segment", "04": "Land"}}
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS id, c_name, c_mktsegment, c_nationkey FROM customer) SELECT id, '01' AS number, 'Namn' AS label, c_name AS value FROM c UNION ALL SELECT id, '02', 'Telefon', CASE WHEN id % 3 <> 0 THEN '08-' || (100000 + id) ELSE '' END FROM c UNION ALL SELECT id, '03', 'Segment', c_mktsegment FROM c UNION ALL SELECT id, '04', 'Land', '' || c_nationkey FROM c"""
+)
+def lay13_form_fields(spark, d):
+    """LAY13 to LAY19: forms read by place: a value below its label, one below two labels of a row, one on the label's line, one beside it."""
+    c = table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    at = lambda text, x0, y0, x1: F.struct(text.alias("text"), F.array(*[F.lit(v) for v in (x0, y0, x1, y0 + 10)]).alias("bbox"))
+    phone = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("08-"), (F.col("c_custkey") + 100000).cast("string"))).otherwise("")
+    blocks = F.array(
+        at(F.lit("KUNDBLAD"), 0, 0, 100), at(F.lit("01 Namn"), 0, 20, 100), at(F.col("c_name"), 0, 31, 100), at(F.lit("02 Telefon"), 200, 20, 300), at(phone, 200, 31, 300),
+        at(F.concat(F.lit("03 Segment "), "c_mktsegment"), 0, 100, 190), at(F.lit("04 Land"), 200, 100, 240), at(F.col("c_nationkey").cast("string"), 250, 100, 280), at(F.lit("Fri text utan värde längst ned på sidan."), 0, 300, 300),
+    )
+    got = forms.form_fields(c.select(F.col("c_custkey").alias("id"), blocks.alias("b")), ["id"], "b", [forms.template(_FORM)])
+    return got.select("id", "number", "label", "value")
+
+
 # ---- search ----------------------------------------------------------------------
 
 _RRF = "u AS (SELECT doc_id, rank, 0 AS l FROM a UNION ALL SELECT doc_id, rank, 1 FROM b), rr AS (SELECT doc_id, round(sum(1 / (61 + rank)), 8) AS score, min((l, rank)) AS o FROM u GROUP BY 1), hy AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, o) - 1 AS rank FROM rr ORDER BY rank LIMIT 20)"
@@ -550,11 +569,11 @@ def etc52_unusable(spark, d):
     return f.unionByName(new).groupBy("pdf_stem").agg(F.max("mtime").alias("mtime"))
 
 
-@query(f"WITH {_SCORED} SELECT pdf_stem, round(avg(score), 2) AS score, count(*) AS n_pages, count(*) FILTER (coalesce(image_page, 0) = 1) AS images FROM scored WHERE length(pdf_stem) % 2 = 0 GROUP BY 1")
+@query(f"WITH {_SCORED} SELECT pdf_stem, round(sum(score), 1) AS score, count(*) AS n_pages, count(*) FILTER (coalesce(image_page, 0) = 1) AS images FROM scored WHERE length(pdf_stem) % 2 = 0 GROUP BY 1")
 def jn18_quality_run(spark, d):
     """JN18, ETC14: scores of a part of the documents from their pages."""
     s = page_scores(spark, d).where(F.length("pdf_stem") % 2 == 0)
-    return s.groupBy("pdf_stem").agg(F.round(F.avg("score"), 2).alias("score"), F.count(F.lit(1)).alias("n_pages"), F.count_if(F.coalesce("image_page", F.lit(0)) == 1).alias("images"))
+    return s.groupBy("pdf_stem").agg(F.round(F.sum("score"), 1).alias("score"), F.count(F.lit(1)).alias("n_pages"), F.count_if(F.coalesce("image_page", F.lit(0)) == 1).alias("images"))
 
 
 @query("SELECT vec_id, vec_id % 10 <> 3 AS usable FROM embeddings")

@@ -1,17 +1,50 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import citations, forms, layout, replies, review
 from pagewright.sources import files
 
 
+FORM = {"name": "a", "match": ["PROMEMORIA"], "labels": {"01": "Namn", "02": "Adress", "03": "Telefon", "04": "Yrke", "05": "Datum", "06": "Klockan", "18": "I sak", "20": "Tagit del", "21": "Spanchef", "22": "Registrator"}, "free_text": ["18"], "printed": ["Spaningschef"], "aliases": {"06": ["Utskriftsdatum"]}}
+BLOCKS = [
+    ("PROMEMORIA", [0, 0, 100, 10]), ("01 Namn", [0, 20, 100, 30]), ("Anna Berg", [0, 31, 100, 41]), ("02 Adress", [120, 20, 220, 30]), ("Storgatan 5", [120, 31, 220, 41]), ("03 Telefon 08-12", [0, 60, 100, 70]),
+    ("04 Yrke", [0, 100, 50, 110]), ("Kock", [60, 100, 100, 110]), ("05 Datum 06 Klockan", [0, 140, 190, 150]), ("860228      23.21", [0, 151, 170, 161]), ("Spaningschef", [300, 140, 400, 150]), ("Vittnet gick hem.", [0, 300, 200, 310]),
+]
+
+
 def test_form_fields(spark):
-    b = [("1. Namn", [0, 0, 100, 20]), ("Anna Berg", [0, 22, 100, 40]), ("2. Adress", [120, 0, 220, 20]), ("Storgatan 5", [120, 22, 220, 40]), ("3. Telefon 08-12", [0, 60, 100, 80]), ("4 Yrke", [0, 100, 50, 120]), ("Kock", [60, 100, 100, 120])]
-    df = spark.createDataFrame([("p", b), ("q", None), ("r", [])], "k string, blocks array<struct<text:string,bbox:array<int>>>")
-    labels = {"1": "Namn", "2": "Adress", "3": "Telefon", "4": "Yrke"}
-    got = {r["number"]: r["value"] for r in forms.form_fields(df, ["k"], "blocks", labels).collect()}
-    assert got == {"1": "Anna Berg", "2": "Storgatan 5", "3": "08-12", "4": "Kock"}
-    assert forms.choose_template([x[0] for x in b], {"a": labels, "b": {"1": "Bil", "2": "Färg", "3": "Regnr"}}) == "a"
-    assert forms.choose_template(["inget"], {"a": labels}) is None
+    df = spark.createDataFrame([("p", BLOCKS), ("q", None), ("r", [])], "k string, blocks array<struct<text:string,bbox:array<int>>>")
+    t = forms.template(FORM)
+    got = {r["number"]: r["value"] for r in forms.form_fields(df, ["k"], "blocks", [t]).collect()}
+    assert got == {"01": "Anna Berg", "02": "Storgatan 5", "03": "08-12", "04": "Kock", "05": "860228", "06": "23.21"}
+    blocks = [{"text": x, "bbox": b} for x, b in BLOCKS]
+    fields, left = forms.extract(blocks, t)
+    assert set(left) == {"PROMEMORIA", "Spaningschef", "Vittnet gick hem."} and [f["label"] for f in fields][:2] == ["Namn", "Adress"]
+    assert forms.choose_template([x for x, _ in BLOCKS], [forms.template(FORM | {"name": "b", "match": ["ANNAT"]}), t]).name == "a"
+    assert forms.choose_template(["inget"], [t]) is None
+
+
+def test_form_options_tables_and_outliers():
+    t = forms.template(FORM | {"match": []})
+    boxes = [{"text": "04 Yrke", "bbox": [0, 100, 50, 110]}, {"text": "☒ kock ☐ svarvare", "bbox": [0, 111, 150, 121]}, {"text": "01 Namn", "bbox": [0, 20, 100, 30]}, {"text": "02 Adress", "bbox": [0, 60, 100, 70]}]
+    fields, _ = forms.extract(boxes, t, 1000)
+    assert [(f["label"], f["checked"]) for f in fields if f["checked"] is not None] == [("kock", True), ("svarvare", False)]
+    assert forms.table_fields([["01 Namn", "02 Adress"], ["Anna", "Storgatan 5"]], t)[0][1]["value"] == "Storgatan 5"
+    assert forms.table_fields([["01 Namn", "annat"], ["Anna", "x"]], t) is None
+    assert forms.table_fields([["18 I sak"], ["Hon gick hem."]], t) == ([{"number": "18", "label": "I sak", "value": "", "checked": None, "source": ""}], ["Hon gick hem."])
+    assert forms.order_outliers([(1, 0, 10), (2, 0, 20), (9, 0, 5), (3, 0, 30)]) == {2} and forms.order_outliers([]) == set()
+    foot = [forms.Line(f"{n} x", 0, y, 50, y + 5, 5, number=n) for n, y in ((20, 900), (21, 905), (22, 910), (21, 300))]
+    assert [e.y0 for e in forms.footer_outliers(foot, 18, 1000)] == [300] and len(forms.footer_outliers(foot[:2], 18, 1000)) == 2
+    assert forms.value_like("krinsp Lennart Gustafsson") and forms.value_like("860308") and not forms.value_like("nej") and not forms.value_like("Hon gick. sedan hem 3")
+    assert forms.label_match("Avsnitt12", "Avsnitt") == (1.0, "12") and forms.is_printed("| Spaningschef |", t)
+    for bad in ({"name": ""}, {"labels": {"99": "x"}}, {"free_text": ["07"]}, {"extra": 1}, {"aliases": {"01": "x"}}):
+        with pytest.raises(ValueError):
+            forms.template(FORM | bad)
+    assert [x.name for x in forms.templates([("f", json.dumps({"templates": [FORM]}))])] == ["a"]
+    with pytest.raises(ValueError):
+        forms.templates([("f", "{")])
 
 
 def test_masks(spark):
@@ -77,7 +110,7 @@ def test_files(spark, tmp_path):
 
 
 def test_order_and_headers(spark):
-    assert forms.order_outliers([(1, 0, 0), (2, 0, 10), (3, 0, 90), (4, 0, 30), (5, 0, 40)]) == {3}
+    assert forms.order_outliers([(1, 0, 0), (2, 0, 10), (3, 0, 90), (4, 0, 30), (5, 0, 40)]) == {2}  # places, from 0
     assert forms.order_outliers([]) == set()
     df = spark.createDataFrame([("Förhörsledare: Anna\nBerg\nTolk Bo\n\nTolk x",), (None,)], "t string")
     got = [[(r["label"], r["value"]) for r in x[0]] for x in df.select(forms.header_fields(F.col("t"), ("Förhörsledare", "Tolk"))).collect()]
