@@ -313,4 +313,4 @@ def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
     return docs.crossJoin(over)  # single rows
 
 
-ORACLE["p8_checked"] = r"SELECT count(*) AS documents, 0 AS not_whole, 0 AS twice, 0 AS cut, 0 AS too_full FROM documents WHERE regexp_matches(text, '[^\s\x{a0}\x{200b}\x{feff}]')"
+ORACLE["p8_checked"] = "SELECT count(*) AS documents, 0 AS not_whole, 0 AS twice, 0 AS cut, 0 AS too_full FROM documents WHERE replace(text, ' ', '') <> ''"
