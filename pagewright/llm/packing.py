@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 
+import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,24 +16,12 @@ from pagewright.session import materialize
 CAPACITY = 2048
 
 
-def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
-    """Where the vocabulary file of a public tokenizer lies on this machine."""
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"/opt/tokenizers/{name}"
-
-
-def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
-    """key, ``tokens`` (64-bit) of every text by a sentencepiece model file; null and empty texts have 0."""
-    path, of = model or tokenizer_path(), dict(df.dtypes)[key]
+def token_counts(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ``tokens`` (64-bit) of every text by the sentencepiece ``model`` file, which every machine has at that path; null and empty texts have 0."""
+    of = dict(df.dtypes)[key]
 
     def start():
-        import sentencepiece
-
-        return sentencepiece.SentencePieceProcessor(model_file=path)
+        return sentencepiece.SentencePieceProcessor(model_file=model)
 
     def batch(model, keys: list, texts: list) -> dict[str, list]:
         out: list[int] = []

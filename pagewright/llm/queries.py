@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.leakage import leaked_passages
+from pagewright.llm.names import link_names
+from pagewright.llm.near_dup import Forest
+from pagewright.llm.packing import CAPACITY, fill_containers, token_counts
+from pagewright.llm.pii import personal_information, redacted
+from pagewright.llm.representative import choose_bundles, merged_records
+from pagewright.llm.scan_repair import learn, scan_repair
+from pagewright.llm.spam import spam_pages
+from pagewright.llm.split import split_items
+from pagewright.llm.text_stats import quality_statistics
+from pagewright.session import materialize
 from pagewright.sources.tables import table
 
+#: A public tokenizer's vocabulary file, the same path on every machine.
+TOKENIZER = os.environ.get("PAGEWRIGHT_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,16 +39,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Readings that aren't mainly running prose or dialogue."""
-    from pagewright.llm.text_stats import quality_statistics
-
     return quality_statistics(table(spark, folder, "pdf_page_readings", "id", "text")).where(~F.col("is_prose")).select("id").distinct()
 
 
 @query
 def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics of every reading beside the latest stored page score and character count."""
-    from pagewright.llm.text_stats import quality_statistics
-
     readings = table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "page_num", "text")
     stored = (
         table(spark, folder, "quality_pages", "pdf_stem", "page_num", "score", "chars", "scored_at")
@@ -51,8 +62,6 @@ def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """At which level each over-long reading can be cut."""
-    from pagewright.llm.split import split_items
-
     return split_items(table(spark, folder, "pdf_page_readings", "id", "text")).select("id", "cut").distinct()
 
 
@@ -71,8 +80,6 @@ FROM t JOIN paragraphs p USING (id) JOIN line_max l USING (id) JOIN sentence_max
 @query
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every over-long reading, with their text."""
-    from pagewright.llm.split import split_items
-
     cut = split_items(table(spark, folder, "pdf_page_readings", "id", "text"), with_text=True).select("id", F.posexplode("pieces").alias("piece", "p"))
     return cut.select("id", "piece", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.boundary").alias("boundary"), F.col("p.text").alias("text"))
 
@@ -96,8 +103,6 @@ ORACLE["p4_rebuilt"] = "SELECT DISTINCT id, true AS within, true AS shared_littl
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Of every page with several readings the chosen one, and the one that gives the markdown."""
-    from pagewright.llm.representative import choose_bundles
-
     chosen = choose_bundles(table(spark, folder, "pdf_page_readings"), table(spark, folder, "ocr_engines"))
     return chosen.where(F.col("readings") > 1).select("pdf_stem", "page_num", "id", "markdown_id")
 
@@ -120,8 +125,6 @@ FROM k WHERE c > 1 GROUP BY pdf_stem, page_num
 @query
 def p6_records(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving record of every page."""
-    from pagewright.llm.representative import merged_records
-
     return merged_records(table(spark, folder, "pdf_page_readings"), table(spark, folder, "ocr_engines"))
 
 
@@ -139,8 +142,6 @@ SELECT c.*, r.engine, r.engine_identity, r.text, r.score, r.recorded_at, r.reaso
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of readings of different documents that share at least half of their three-word sequences."""
-    from pagewright.llm.near_dup import Forest
-
     return Forest(table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "text")).between_groups()
 
 
@@ -156,8 +157,6 @@ SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c
 @query
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The class of every reading, copies by class and not as pairs."""
-    from pagewright.llm.near_dup import Forest
-
     return Forest(table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "text"), within=True).groups()
 
 
@@ -183,16 +182,12 @@ SELECT r.id, least(c.root, r.rep) AS class_id, (SELECT count(*) FROM ways WHERE
 @query
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct piece of personal information by reading and field."""
-    from pagewright.llm.pii import personal_information
-
     return personal_information(table(spark, folder, "pdf_page_readings", "id", "text", "markdown")).select("id", "field", "kind", "snippet").distinct()
 
 
 @query
 def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The texts and markdowns with typed placeholders."""
-    from pagewright.llm.pii import redacted
-
     return redacted(table(spark, folder, "pdf_page_readings", "id", "text", "markdown"))
 
 
@@ -202,8 +197,6 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """What scanning did to each prose reading, item by item."""
-    from pagewright.llm.scan_repair import learn, scan_repair
-
     readings = table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "page_num", "text")
     return scan_repair(readings, learn(readings)).select("id", F.explode("found").alias("f")).select("id", "f.kind", "f.item").distinct()
 
@@ -211,8 +204,6 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Prose readings as continuous paragraphs."""
-    from pagewright.llm.scan_repair import learn, scan_repair
-
     readings = table(spark, folder, "pdf_page_readings", "id", "pdf_stem", "page_num", "text")
     return scan_repair(readings, learn(readings)).select("id", "repaired")
 
@@ -223,8 +214,6 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of spellings of one person or organisation."""
-    from pagewright.llm.names import link_names
-
     linked = link_names(table(spark, folder, "doc_entities", "payload"), table(spark, folder, "graph_review_decisions", "target_json")).where("links > 0")
     a, b = (linked.select("kind", "entity", F.col("name").alias(f"name_{x}")) for x in "ab")
     return a.join(b, ["kind", "entity"]).where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b").distinct()
@@ -233,8 +222,6 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p7_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Every name with the entity it stands for."""
-    from pagewright.llm.names import link_names
-
     return link_names(table(spark, folder, "doc_entities", "payload"), table(spark, folder, "graph_review_decisions", "target_json"))
 
 
@@ -244,16 +231,12 @@ def p7_entities(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least half of a test passage, with the items concerned."""
-    from pagewright.llm.leakage import leaked_passages
-
     return leaked_passages(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "passage")).select("doc_id", "item_id").distinct()
 
 
 @query
 def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     """The documents without those that leak a test item."""
-    from pagewright.llm.leakage import leaked_passages
-
     documents = table(spark, folder, "documents")
     leaked = leaked_passages(documents, table(spark, folder, "eval_items", "item_id", "passage")).select("doc_id").distinct()
     return documents.join(leaked, "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars")
@@ -265,16 +248,12 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents made of keywords, links or tags."""
-    from pagewright.llm.spam import spam_pages
-
     return spam_pages(table(spark, folder, "documents", "doc_id", "text", "lang")).where("is_spam").select("doc_id").distinct()
 
 
 @query
 def p10_curves(spark: SparkSession, folder: str) -> DataFrame:
     """The rank-frequency figures of every document."""
-    from pagewright.llm.spam import spam_pages
-
     return spam_pages(table(spark, folder, "documents", "doc_id", "text", "lang"))
 
 
@@ -284,27 +263,20 @@ def p10_curves(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p8_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """Which container every document goes into."""
-    from pagewright.llm.packing import fill_containers, token_counts
-
-    return fill_containers(token_counts(table(spark, folder, "documents", "doc_id", "text")))
+    return fill_containers(token_counts(table(spark, folder, "documents", "doc_id", "text"), TOKENIZER))
 
 
 @query
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     """How full the containers are."""
-    from pagewright.llm.packing import CAPACITY, fill_containers, token_counts
-
-    used = fill_containers(token_counts(table(spark, folder, "documents", "doc_id", "text"))).groupBy("container").agg(F.sum("tokens").alias("used"))
+    used = fill_containers(token_counts(table(spark, folder, "documents", "doc_id", "text"), TOKENIZER)).groupBy("container").agg(F.sum("tokens").alias("used"))
     return used.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.avg("used") / CAPACITY, 4).alias("mean_fill"))
 
 
 @query
 def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the containers keep their rules: documents placed, places used twice, containers over their size, documents cut without need or not whole."""
-    from pagewright.llm.packing import CAPACITY, fill_containers, token_counts
-    from pagewright.session import materialize
-
-    sizes = materialize(token_counts(table(spark, folder, "documents", "doc_id", "text")), "sizes")
+    sizes = materialize(token_counts(table(spark, folder, "documents", "doc_id", "text"), TOKENIZER), "sizes")
     placed = materialize(fill_containers(sizes), "placed")
     of_doc = placed.groupBy("doc_id").agg(F.sum("tokens").alias("sum"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("different"))
     j = of_doc.join(sizes, "doc_id")

@@ -331,6 +331,7 @@ class Reader:
             for i, part in enumerate(_thirds(k)):
                 self.parts[i, len(k), part].append(k)
         self.lines: dict[str, bool] = {}
+        self.lows: dict[str, str] = {}
         self.local: dict[str, tuple[int, str]] = {}
 
     def is_furniture(self, line: str, of: str) -> bool:
@@ -368,9 +369,13 @@ class Reader:
 
     def misread(self, token: str) -> tuple[str, str] | None:
         """The core of a token and the word it should be, if the token is a misread word."""
-        core = token.strip(_STRIP)
-        got = self.local.get(core.lower().translate(_LIGATURES))
-        return (core, got[1]) if got and got[1] else None
+        low = self.lows.get(token)
+        if low is None:
+            if len(self.lows) > 500_000:
+                self.lows.clear()
+            low = self.lows[token] = token.strip(_STRIP).lower().translate(_LIGATURES)
+        got = self.local.get(low)
+        return (token.strip(_STRIP), got[1]) if got and got[1] else None
 
 
 def _thirds(key: str) -> tuple[str, str, str]:

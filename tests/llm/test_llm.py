@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import leakage, names, near_dup, packing, pii, representative, scan_repair, spam, split, text_stats
 from pagewright.llm.page_lines import read_page
-from pagewright.llm.queries import ORACLE, QUERIES
+from pagewright.llm.queries import ORACLE, QUERIES, TOKENIZER
 
 PROSE = "Vittnet såg en man vid torget sent på kvällen. Han gick sedan mot hamnen, men minns inte vilken väg. Polisen kom efter en stund och frågade ut alla som var kvar."
 LIST = "\n".join(f"- {i} st. trasig cykel, mitt emot kajen" for i in range(12))
@@ -438,7 +438,7 @@ def test_containers(spark):
 
 
 def test_token_counts(spark):
-    got = {r["doc_id"]: r["tokens"] for r in packing.token_counts(spark.createDataFrame([(1, "En cykel."), (2, ""), (3, None), (4, LONG)], "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["tokens"] for r in packing.token_counts(spark.createDataFrame([(1, "En cykel."), (2, ""), (3, None), (4, LONG)], "doc_id long, text string"), TOKENIZER).collect()}
     assert got[1] > 1 and got[2] == got[3] == 0 and got[4] > 50_000
 
 
