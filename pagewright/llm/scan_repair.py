@@ -340,7 +340,7 @@ class Reader:
             return False
         known = self.lines.get(line)
         if known is None:
-            if len(self.lines) > 500_000:
+            if len(self.lines) > 100_000:
                 self.lines.clear()
             key = furniture_key(line)
             known = key in self.know.furniture or len(key) >= 8 and of != PROSE and self._like(key)
@@ -371,7 +371,7 @@ class Reader:
         """The core of a token and the word it should be, if the token is a misread word."""
         low = self.lows.get(token)
         if low is None:
-            if len(self.lows) > 500_000:
+            if len(self.lows) > 100_000:
                 self.lows.clear()
             low = self.lows[token] = token.strip(_STRIP).lower().translate(_LIGATURES)
         got = self.local.get(low)
