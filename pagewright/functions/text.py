@@ -257,10 +257,23 @@ def cost_text(cost: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """'2 h 5 min 3 s', without leading zeros parts."""
-    s = seconds.cast("long")
+    """'2 h 5 min', '5 min 3 s' or '3 s'; a span that runs backwards is 0 s."""
+    s = F.greatest(seconds.cast("long"), F.lit(0))
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(h > 0, F.format_string("%d h %d min %d s", h, m, r)).when(m > 0, F.format_string("%d min %d s", m, r)).otherwise(F.format_string("%d s", r))
+    return F.when(h > 0, F.format_string("%d h %d min", h, m)).when(m > 0, F.format_string("%d min %d s", m, r)).otherwise(F.format_string("%d s", r))
+
+
+def usage_summary(calls: Column, inputs: Column, outputs: Column, cost: Column, partial: Column) -> Column:
+    """Calls, tokens and cost of a profile on one line; a missing cost is unknown, not nothing."""
+    head = F.concat(calls.cast("string"), F.lit(" anrop · ↑"), compact_count(inputs), F.lit(" ↓"), compact_count(outputs))
+    c = F.coalesce(cost, F.lit(0.0))
+    money = F.concat(F.lit(" · ≈ "), cost_text(c), F.when(partial, " (ofullständig — anrop utan pris)").otherwise(""))
+    return F.when(F.coalesce(calls, F.lit(0)) == 0, "0 anrop").otherwise(F.concat(head, F.when((c == 0) & ~partial, "").when(c == 0, " · kostnad okänd").otherwise(money)))
+
+
+def recognition_languages(text: Column, english: Column) -> Column:
+    """The languages a page is to be read in, by the share of English (of a detector or of function words): both where there is no text."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "swe+eng").when(english > 0.80, "eng").otherwise("swe")
 
 
 def time_of(value: Column) -> Column:

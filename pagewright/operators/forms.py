@@ -468,12 +468,12 @@ def overlaps(box: Column, other: Column) -> Column:
 
 def usage_fields(raw: Column) -> Column:
     """Token counts of a provider's usage report, whichever of the two usual shapes it has."""
-    r = F.from_json(raw, "struct<prompt_tokens:long,completion_tokens:long,input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long,prompt_cache_hit_tokens:long>")
+    r = F.from_json(raw, "struct<prompt_tokens:long,completion_tokens:long,input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long,prompt_cache_hit_tokens:long,prompt_tokens_details:struct<cached_tokens:long>>")
     zero = lambda c: F.coalesce(r[c], F.lit(0))
     return F.struct(
         F.coalesce(r["prompt_tokens"], zero("input_tokens") + zero("cache_creation_input_tokens") + zero("cache_read_input_tokens")).alias("input"),
         F.coalesce(r["completion_tokens"], r["output_tokens"], F.lit(0)).alias("output"),
-        F.coalesce(r["prompt_cache_hit_tokens"], r["cache_read_input_tokens"], F.lit(0)).alias("cached"),
+        F.coalesce(r["prompt_cache_hit_tokens"], r["prompt_tokens_details"]["cached_tokens"], r["cache_read_input_tokens"], F.lit(0)).alias("cached"),
     )
 
 

@@ -210,3 +210,35 @@ def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
 def difference(wanted: DataFrame, live: DataFrame) -> DataFrame:
     """Rows of two graphs that differ, with ``side`` 'missing' (wanted only) or 'surplus' (live only)."""
     return wanted.subtract(live).withColumn("side", F.lit("missing")).unionByName(live.subtract(wanted).withColumn("side", F.lit("surplus")))
+
+
+def merged(nodes: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Nodes after new ones are merged in: one per key; of each property the first value that was written stays."""
+    props = [c for c in nodes.columns if c not in key]
+    rows = nodes.withColumn("_o", F.lit(-1).cast("long")).unionByName(new.select(*nodes.columns, F.col(order).cast("long").alias("_o")))
+    return rows.groupBy(*key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_o", F.col(c)))).alias(c) for c in props])
+
+
+def by_labels(edges: DataFrame) -> DataFrame:
+    """How many edges go from each kind of node to each, as they are written kind by kind."""
+    return edges.groupBy("src_label", "dst_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def preview_of(runs: DataFrame, expected: str, order: str = "id") -> DataFrame:
+    """The newest saved preview with the expected fingerprint (no row: nothing was previewed in this state)."""
+    return runs.where(F.col("fingerprint") == expected).orderBy(F.desc(order)).limit(1)
+
+
+def guard(rows: DataFrame, expected: str, *columns: str) -> None:
+    """Raise if a table isn't as it was when its fingerprint was taken."""
+    if fingerprint(rows, *columns).first()[0] != expected:
+        raise RuntimeError("the source has changed since the preview")
+
+
+def decoded_centres(token: Column) -> Column:
+    """Centres shared in a link: a base64 list of name, kind and key; incomplete ones are left out, a broken link gives none."""
+    padded = F.concat(F.translate(token, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(token), F.lit(4))))
+    valid = token.rlike(r"^[A-Za-z0-9_-]+$")
+    got = F.from_json(F.when(valid, F.decode(F.unbase64(padded), "UTF-8")), "array<struct<namn:string,label:string,norm:string>>")
+    clean = F.transform(got, lambda e: F.struct(*[F.trim(F.coalesce(e[c], F.lit(""))).alias(c) for c in ("namn", "label", "norm")]))
+    return F.coalesce(F.filter(clean, lambda e: (e["namn"] != "") & (e["label"] != "") & (e["norm"] != "")), F.array().cast("array<struct<namn:string,label:string,norm:string>>"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.session import with_package
 
 IMAGE_PAGE_ALNUM = 30
 
@@ -55,3 +57,50 @@ def worst(df: DataFrame, score: str, keys: list[str], n: int) -> DataFrame:
 def decide(a: Column, b: Column, margin: float = 5) -> Column:
     """Which of two copies is better by more than the margin: 'a', 'b' or 'tie'."""
     return F.when(a - b > margin, "a").when(b - a > margin, "b").otherwise("tie")
+
+
+def merge_plan(pairs: DataFrame, margin: float = 5) -> DataFrame:
+    """What becomes of every document of one collection that may replace documents of another: ``a``, ``b``, ``category``.
+
+    ``pairs``: ``group`` (documents under one archive number), ``a``, ``a_score``, ``b``,
+    ``b_score`` (null ``b``: nothing to compare with, 'new'). Documents are taken in order,
+    each against its candidates in order: one that is worse by more than the margin is
+    'lost' and goes no further; a candidate that is worse is 'better' and gone for those
+    after; else both are 'kept'. Only one number's few documents are looked at together.
+    """
+    with_package(pairs.sparkSession)
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        won: set[str] = set()
+        out: dict[str, tuple] = {}
+        for a, rows in pdf.sort_values(["a", "b"], na_position="last").groupby("a", sort=True):
+            best, told = ("new", None), set()
+            for r in rows.itertuples():
+                if r.b is None or r.b != r.b or r.b in won or r.b in told:
+                    continue
+                told.add(r.b)
+                if r.b_score - r.a_score > margin:
+                    best = best if best[0] == "better" or best[0] == "kept" else ("lost", r.b)
+                    break
+                if r.a_score - r.b_score > margin:
+                    won.add(r.b)
+                    best = ("better", r.b) if best[0] != "better" else best
+                elif best[0] == "new":
+                    best = ("kept", r.b)
+            out[a] = best
+        return pd.DataFrame({"a": list(out), "b": [x[1] for x in out.values()], "category": [x[0] for x in out.values()]})
+
+    return pairs.groupBy("group").applyInPandas(plan, "a string, b string, category string")
+
+
+def dictionary_share(texts: DataFrame, key: str, text: str, dictionary: DataFrame, word: str = "word", most: int = 50_000) -> DataFrame:
+    """``key``, ``share`` of a text's words that a dictionary has; null for texts without words or with more than ``most`` (the score does without it there)."""
+    words = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([a-zåäö\-]+)"), 1)).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+    known = dictionary.select(F.lower(word).alias("w")).distinct().withColumn("_in", F.lit(1))
+    got = words.join(known, "w", "left").groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_in") == 1, F.col("n")).otherwise(0)).alias("k"))
+    return texts.select(key).distinct().join(got, key, "left").select(key, F.when(F.col("n") <= most, F.round(F.col("k") / F.col("n"), 3)).alias("share"))
+
+
+def comparison_score(text: Column) -> Column:
+    """The score by which readings are compared: of the cleaned text, without a dictionary."""
+    return T.score_from(T.text_counts(T.normalize_text(F.coalesce(text, F.lit("")))))

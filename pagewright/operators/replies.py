@@ -53,3 +53,31 @@ def web_hits(df: DataFrame, keys: list[str], annotations: str, excluded: Column)
     """Links of an answer's annotations (JSON) without those of excluded hosts; ``excluded`` may refer to ``url``."""
     a = df.select(*keys, F.explode(F.from_json(annotations, "array<struct<url:string,title:string,content:string>>")).alias("a")).select(*keys, "a.url", F.coalesce("a.title", F.lit("")).alias("title"), F.substring(F.coalesce("a.content", F.lit("")), 1, 700).alias("excerpt"))
     return a.where(F.col("url").isNotNull() & ~excluded)
+
+
+def recent_lines(lines: DataFrame, job: str, order: str, line: str, n: int = 5) -> DataFrame:
+    """Per job the last ``n`` lines that aren't for debugging, as clock and message."""
+    from pyspark.sql import Window
+
+    part = lambda i: F.regexp_extract(line, r"^\S*?T?(\d\d:\d\d:\d\d)\S*\s+\[(\w+)\]\s*(.*)$", i)
+    told = lines.select(job, order, part(1).alias("clock"), F.lower(part(2)).alias("level"), part(3).alias("msg")).where("level <> '' and level <> 'debug'")
+    w = Window.partitionBy(job).orderBy(F.desc(order))
+    return told.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n).select(job, "back", F.trim(F.concat_ws(" ", "clock", "msg")).alias("line"))
+
+
+def suggestions(df: DataFrame, keys: list[str], raw: str, source: str) -> DataFrame:
+    """Suggestions in replies that are whole and whose evidence stands in the page, the first for each item."""
+    from pagewright.operators.review import suggestion_ok
+
+    shape = "struct<suggestions:array<struct<item_key:string,action:string,note:string,evidence:string>>>"
+    s = df.select(*keys, F.col(source).alias("_source"), F.posexplode(F.from_json(first_object(F.col(raw)), shape)["suggestions"]).alias("_i", "s")).select(*keys, "_source", "_i", "s.*")
+    whole = F.col("action").isin("keep", "exclude", "replace") & (F.trim(F.coalesce("note", F.lit(""))) != "") & (F.trim(F.coalesce("item_key", F.lit(""))) != "")
+    ok = s.where(whole & suggestion_ok(F.col("evidence"), F.col("_source")))
+    return ok.groupBy(*keys, "item_key").agg(F.min_by(F.struct("action", F.trim("note").alias("note"), F.trim("evidence").alias("evidence")), "_i").alias("x")).select(*keys, "item_key", "x.*")
+
+
+def pages_to_ask(items: DataFrame, order: list[str], most: int) -> DataFrame:
+    """Items with issues and no decision by page, the first ``most`` pages (a run's limit): pdf_stem, page_num, ``items``."""
+    open_ = items.where((F.size("issues") > 0) & F.col("decision").isNull())
+    pages = open_.groupBy("pdf_stem", "page_num").agg(F.sort_array(F.collect_list("item_key")).alias("items"))
+    return pages.orderBy(*order).limit(most)

@@ -98,6 +98,12 @@ def inherited_level(lines: DataFrame, group: str, order: str, text: str) -> Data
     return lines.withColumn("level", F.last(own, ignorenulls=True).over(w))
 
 
+def log_lines(lines: DataFrame, group: str, order: str, text: str, levels: list[str], query: str = "") -> DataFrame:
+    """Log lines of some levels (those without one have the level of the line before) that hold a text, whatever its case."""
+    kept = inherited_level(lines, group, order, text).where(F.col("level").isin(*levels))
+    return kept.where(F.lower(text).contains(query.lower())) if query else kept
+
+
 def archived(history: DataFrame, current: DataFrame, keys: DataFrame, on: list[str], reason: str) -> DataFrame:
     """The history with the current rows of the given keys added, before they are overwritten."""
     return history.unionByName(current.join(keys, on, "left_semi").withColumn("reason", F.lit(reason)).select(*history.columns))

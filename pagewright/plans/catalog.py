@@ -59,6 +59,7 @@ def _counts_sql(t: str) -> str:
 
 _SCORE_SQL = """CASE WHEN tokens > 0 THEN round(greatest(0.0, least(100.0, 100 - round(junk / greatest(chars, 1), 3) * 200 - round(short / greatest(words, 1), 3) * 80
   - round(long / greatest(words, 1), 3) * 100 - round(mixed / greatest(tokens, 1), 3) * 150 - abs(round(vowels / greatest(letters, 1), 3) - 0.4) * 100)), 1) ELSE 0.0 END"""
+_COUNTED_TEXT = _counts_sql("t")
 _DOC_SCORES = f"counted AS (SELECT doc_id, lang, source, {_counts_sql('coalesce(text, chr(32)[1:0])')} FROM documents), docs AS (SELECT *, {_SCORE_SQL} AS quality FROM counted)"
 
 
@@ -608,7 +609,7 @@ def txt31_compact_counts(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT event_id, CAST(floor(value * 97) AS BIGINT) AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN s // 3600 || ' h ' || s % 3600 // 60 || ' min ' || s % 60 || ' s' WHEN s >= 60 THEN s // 60 || ' min ' || s % 60 || ' s' ELSE s || ' s' END AS shown FROM s"""
+    """WITH s AS (SELECT event_id, CAST(floor(value * 97) AS BIGINT) AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN s // 3600 || ' h ' || s % 3600 // 60 || ' min' WHEN s >= 60 THEN s // 60 || ' min ' || s % 60 || ' s' ELSE s || ' s' END AS shown FROM s"""
 )
 def txt33_durations(spark, d):
     return table(spark, d, "events", "event_id", "value").select("event_id", T.duration_text(F.floor(F.col("value") * 97)).alias("shown"))
@@ -937,3 +938,4 @@ def ext_sessions(spark, d):
 from pagewright.plans import catalog_review  # noqa: E402,F401  (adds its queries)
 from pagewright.plans import catalog_state  # noqa: E402,F401
 from pagewright.plans import catalog_more  # noqa: E402,F401
+from pagewright.plans import catalog_rest  # noqa: E402,F401

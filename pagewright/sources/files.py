@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# How files of a kind begin (hexadecimal), and their extension.
+# How files of a kind begin, and their extension.
 SIGNATURES = (
-    ("255044462D", ".pdf"), ("25504446", ".pdf"), ("FFD8FF", ".jpg"), ("89504E470D0A1A0A", ".png"), ("474946383761", ".gif"), ("474946383961", ".gif"), ("504B0304", ".zip"), ("7B5C727466", ".rtf"), ("D0CF11E0", ".doc"),
-    ("49492A00", ".tif"), ("4D4D002A", ".tif"), ("424D", ".bmp"), ("52494646", ".webp"), ("000000186674797068656963", ".heic"), ("000000186674797068656978", ".heic"), ("000000206674797068656963", ".heic"),
+    (b"%PDF-", ".pdf"), (b"%PDF", ".pdf"), (b"\xff\xd8\xff", ".jpg"), (b"\x89PNG\r\n\x1a\n", ".png"), (b"GIF87a", ".gif"), (b"GIF89a", ".gif"), (b"PK\x03\x04", ".zip"), (b"{\\rtf", ".rtf"), (b"\xd0\xcf\x11\xe0", ".doc"),
+    (b"II*\x00", ".tif"), (b"MM\x00*", ".tif"), (b"BM", ".bmp"), (b"RIFF", ".webp"), (b"\x00\x00\x00\x18ftypheic", ".heic"), (b"\x00\x00\x00\x18ftypheix", ".heic"), (b"\x00\x00\x00\x20ftypheic", ".heic"),
 )
 
 
 def extension_of(content: Column) -> Column:
     """The extension a file's first bytes tell, '' if none does."""
-    head, out = F.hex(F.substring(content, 1, 32)), F.lit("")
+    out = F.lit("")
     for sig, ext in reversed(SIGNATURES):
-        out = F.when(head.startswith(sig), ext).otherwise(out)
+        out = F.when(F.substring(content, 1, len(sig)) == F.lit(sig), ext).otherwise(out)
     return out
 
 
