@@ -620,10 +620,13 @@ def txt35_source_of_path(spark, d):
     return table(spark, d, "pdf_files", "pdf_stem", "pdf_path").where("pdf_path is not null").select("pdf_stem", F.when(F.array_contains(F.split("pdf_path", "/"), "wpu_files"), "wpu").otherwise("files").alias("kind"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT id, regexp_replace(text, '([\p{L}\p{N}_])-\n((och|eller|som|till|samt)([^\p{L}\p{N}_]|$))', '\1-' || chr(1) || '\2', 'g') AS t FROM pdf_page_readings WHERE text IS NOT NULL),
+b AS (SELECT id, regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])-\n([a-zåäöéü])', '\1\2', 'g'), '([\p{L}\p{N}_])-\n([a-zåäöéü])', '\1\2', 'g') AS t FROM a) SELECT id, md5(replace(t, chr(1), chr(10))) AS h FROM b"""
+)
 def txt36_dehyphenate(spark, d):
-    """Texts with broken words put together (look-around that DuckDB's patterns lack)."""
-    return table(spark, d, "pdf_page_readings", "id", "text").where("text is not null").select("id", T.dehyphenate(F.col("text")).alias("text"))
+    """Texts with broken words put together."""
+    return table(spark, d, "pdf_page_readings", "id", "text").where("text is not null").select("id", F.md5(T.dehyphenate(F.col("text"))).alias("h"))
 
 
 @query(
@@ -651,6 +654,29 @@ def chk02_markdown_chunks(spark, d):
     return C.markdown_chunks(current_pages(spark, d, "markdown").where("markdown is not null"), ["pdf_stem", "page_num"], "markdown")
 
 
+_CLEAN = "trim(regexp_replace(replace(text, chr(12), ' '), '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ' || chr(10))"
+
+
+@query(f"WITH {_PAGES} SELECT pdf_stem, page_num, length({_CLEAN}) AS chars, true AS within, true AS whole FROM pages WHERE {_CLEAN} <> ''")
+def chk01_covered(spark, d):
+    """Chunks of every page put beside its text: none too long, none missing between them."""
+    c = chk01_chunks(spark, d)
+    w = F_Window("page", "chunk_idx")
+    c = c.withColumn("page", F.struct("pdf_stem", "page_num")).withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(w), F.lit(0)))
+    return c.groupBy("pdf_stem", "page_num").agg(F.max("end").alias("chars"), (F.max(F.length("chunk")) <= C.SIZE).alias("within"), (F.max("gap") <= 0).alias("whole"))
+
+
+@query(f"WITH {_PAGES} SELECT pdf_stem, page_num, true AS within, 0 AS lost FROM pages WHERE length(trim(markdown)) >= 160")
+def chk02_conserved(spark, d):
+    """Markdown chunks beside their page: none too long, and every word of the page in one that is kept."""
+    p = current_pages(spark, d, "markdown").where("length(trim(markdown)) >= 160")
+    c = C.markdown_chunks(p, ["pdf_stem", "page_num"], "markdown")
+    words = lambda t: F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    kept = F.when(F.length("chunk") >= C.LEAST, words(F.col("chunk")))
+    got = c.groupBy("pdf_stem", "page_num").agg((F.max(F.length("chunk")) <= C.SIZE).alias("within"), F.array_distinct(F.flatten(F.collect_list(kept))).alias("have"))
+    return p.join(got, ["pdf_stem", "page_num"]).select("pdf_stem", "page_num", "within", F.size(F.array_except(words(F.col("markdown")), F.col("have"))).alias("lost"))
+
+
 @query()
 def chk16_useful_chunks(spark, d):
     """Chunks worth indexing, Markdown where a page has it, numbered through each document."""
@@ -909,11 +935,15 @@ def map05_colours(spark, d):
     return table(spark, d, "customer", "c_custkey", "c_name").select("c_custkey", geo.color_index(F.col("c_name")).alias("colour"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT user_id, (CASE WHEN hour(ts) < 12 THEN 24 + hour(ts) ELSE hour(ts) END) * 60 + minute(ts) AS m, event_id % 300 / 100 + 11 AS x, event_id % 700 / 100 + 55 AS y FROM events)
+SELECT user_id, count(*) AS points, '{"type":"LineString","coordinates":[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY m, x, y) || ']}' AS geometry FROM p GROUP BY user_id HAVING count(*) > 1"""
+)
 def map07_geojson(spark, d):
     """Lines of the night per person."""
-    e = table(spark, d, "events", "user_id", "ts", "value").withColumn("m", T.clock_minutes(F.date_format("ts", "HH:mm")))
-    return geo.geojson(e.withColumn("lat", F.round(F.col("value") / 10 + 55, 4)).withColumn("lon", F.round(F.col("value") / 8 + 11, 4)), "user_id", "lat", "lon", "m")
+    e = table(spark, d, "events", "event_id", "user_id", "ts").withColumn("m", T.clock_minutes(F.date_format("ts", "HH:mm")))
+    n = F.col("event_id")
+    return geo.geojson(e.withColumn("lat", n % 700 / 100 + 55).withColumn("lon", n % 300 / 100 + 11), "user_id", "lat", "lon", "m")
 
 
 # ---- windows over events (extension) ---------------------------------------------
