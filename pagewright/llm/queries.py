@@ -17,7 +17,7 @@ from pagewright.llm.representative import choose_bundles, merged_records
 from pagewright.llm.scan_repair import learn, scan_repair
 from pagewright.llm.spam import spam_pages
 from pagewright.llm.split import split_items
-from pagewright.llm.text_stats import quality_statistics
+from pagewright.llm.text_stats import page_statistics, quality_statistics
 from pagewright.session import materialize
 from pagewright.sources.tables import table
 
@@ -56,6 +56,17 @@ def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return readings.select("id", "pdf_stem", "page_num").join(stats, "id").join(stored, ["pdf_stem", "page_num"], "left")
 
 
+@query
+def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Characters and words of every reading with something in it."""
+    return page_statistics(table(spark, folder, "pdf_page_readings", "id", "text")).select("id", "chars", "words")
+
+
+ORACLE["p1_counts"] = r"""
+SELECT id, length(text) AS chars, len(regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) AS words FROM pdf_page_readings WHERE words > 0
+"""
+
+
 # ---- 4: splitting ----------------------------------------------------------------
 
 

@@ -148,6 +148,26 @@ def test_scan_repair(spark):
     assert scan_repair.scan_repair(empty, scan_repair.learn(empty)).count() == 0
 
 
+def test_a_page_is_repaired_alike_however_often_the_corpus_holds_it(spark):
+    body = "Vittnet gick nedanför torget klockan nio och såg sedan bilen vid hamnen.\nHan lämnade en handskriven lapp {} på disken och gick nedanför kajen."
+    rows = [(i, f"d{i}", 1, body.format(chr(97 + i) * 5)) for i in range(20)]
+    rows += [(100, "x", 7, body.format("zzzzz").replace("sedan", "seclan").replace("nedanför torget", "ned-\nanför torget"))]
+    many = rows + [(1000 + 50 * k + j, f"{s}-{k}", n, t) for k in range(9) for j, (i, s, n, t) in enumerate(rows)]
+    found = []
+    for r in (rows, many):
+        df = spark.createDataFrame(r, "id long, pdf_stem string, page_num int, text string")
+        found.append({(x["id"], f["kind"], f["item"]) for x in scan_repair.scan_repair(df, scan_repair.learn(df)).where("id = 100").collect() for f in x["found"]})
+    assert found[0] == found[1] == {(100, "chars", "seclan"), (100, "hyphen", "nedanför")}
+
+
+def test_numbers_that_run_on_are_page_numbers(spark):
+    body = "Vittnet {} gick nedanför torget klockan nio och såg sedan bilen vid hamnen.\nHan lämnade en lapp på disken och gick nedanför kajen."
+    rows = [(i, "akt", i, f"{body.format(chr(96 + i) * 5)}\n{i + 40}") for i in range(1, 9)] + [(50, "annan", 3, f"{body.format('qqqqq')}\n43")]
+    df = spark.createDataFrame(rows, "id long, pdf_stem string, page_num int, text string")
+    got = {r["id"]: {(f["kind"], f["item"]) for f in r["found"]} for r in scan_repair.scan_repair(df, scan_repair.learn(df)).collect()}
+    assert all(got[i] == {("page_number", str(i + 40))} for i in range(1, 9)) and got[50] == set()
+
+
 def test_headers_of_one_document_and_of_two_lines(spark):
     body = "Vittnet {} gick nedanför torget klockan nio och såg sedan bilen vid hamnen.\nHan lämnade en handskriven lapp på disken och gick nedanför kajen."
     rows = [(i, "ensam", i, f"Akten om kajbranden\nAvskrift för rotel fem\n{body.format(chr(97 + i) * 5)}") for i in range(8)]
@@ -266,6 +286,23 @@ def test_a_template_in_a_third_of_the_rows_costs_no_pairs(spark, monkeypatch):
     assert found() == whole
 
 
+@pytest.mark.parametrize("n", [30, 400])
+def test_recall_at_the_threshold_is_alike_in_crowded_regions(spark, n):
+    rng = random.Random(20)
+    draw = lambda k: [f"ord{rng.randrange(10**6)}" for _ in range(k)]
+    template = draw(82)  # 80 of 156 sequences are common to any two texts: 0.513
+    df = spark.createDataFrame([(i, f"s{i}", " ".join(template + draw(38))) for i in range(n)], "id long, pdf_stem string, text string")
+    assert near_dup.Forest(df).between_groups().count() >= 0.95 * n * (n - 1) / 2
+
+
+def test_stems_that_a_short_hash_confuses(spark):
+    same = " ".join(f"ord{i}" for i in range(60))
+    a, b = "doc-180379", "doc-32448"  # equal in 32 bits
+    df = spark.createDataFrame([(1, a, same), (2, "annan", same), (3, b, same), (4, a, same)], "id long, pdf_stem string, text string")
+    assert df.select(F.hash("pdf_stem")).where(F.col("pdf_stem").isin(a, b)).distinct().count() == 1
+    assert {(r[0], r[1]) for r in near_dup.Forest(df).between_groups().collect()} == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
+
+
 def test_groups_hold_readings_of_one_stem_and_short_texts(spark):
     w = [f"ord{i}" for i in range(90)]
     near = lambda k: " ".join([*w[:k], "annat", *w[k:]])
