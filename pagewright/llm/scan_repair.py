@@ -32,6 +32,7 @@ _JOIN = re.compile(rf"(?<=[^\W\d_])[{_HYPHENS}][ \t]*\r?\n[ \t]*(?=[a-zà-öø-
 _TOKEN = re.compile(r"[^\W_]+(?:[-=|!][^\W_]+)*")
 _TAIL = re.compile(rf"([^\W_]+(?:[-–][^\W_]+)*)[{_HYPHENS}][ \t]*$")
 _HEAD = re.compile(r"[a-zà-öø-ÿ0-9][^\W_]*")
+_NO_WORD = re.compile(r"[^\w\-=|!]|_")
 _BREAKS = re.compile(rf"[{_HYPHENS}][ \t]*\r?\n")
 _NUM = r"[0-9lIOoSB|]{1,4}"
 _NUMBER_LINE = re.compile(
@@ -189,7 +190,10 @@ def vocabulary(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _suspect(token: str) -> str | None:
     """The word in a token of a text, small, if it may be a misread one."""
     low = token.strip(_STRIP).lower().translate(_LIGATURES)
-    return None if len(low) < 3 or "@" in low or "/" in low or sum(map(str.isdigit, low)) * 2 > len(low) else low
+    if low.isalpha():
+        return low if len(low) > 2 else None
+    # Words are letters, digits and what stands between or for them; any other sign stays in a look, so no word looks so.
+    return None if len(low) < 3 or _NO_WORD.search(low) or sum(map(str.isdigit, low)) * 2 > len(low) else low
 
 
 def _broken(text: str) -> Iterator[tuple[str, str]]:
