@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,26 +98,33 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)), 6)
 
 
-def fuzzy(df: DataFrame, key: str, text: str, query: str, k: int, threshold: float, exact_ratio: bool = True) -> DataFrame:
-    """Texts with a token like one of the query's: ``key``, ``score``.
+def fuzzy_index(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``token``: each different token of each text. Write it as a table to search it often."""
+    return df.select(key, F.explode(F.array_distinct(T.search_tokens(F.col(text)))).alias("token"))
+
+
+def fuzzy_in(index: DataFrame, key: str, query: str, k: int, threshold: float, exact_ratio: bool = True) -> DataFrame:
+    """Texts of an index with a token like one of the query's: ``key``, ``score``.
 
-    The vocabulary is compared, not the texts: distinct tokens whose length alone
-    doesn't rule the threshold out, each with each of the few query tokens.
+    The vocabulary is compared once, not the texts: distinct tokens whose length alone
+    doesn't rule the threshold out, each with the few query tokens; the index is then
+    read for the tokens that are alike.
     """
-    with_package(df.sparkSession)
+    with_package(index.sparkSession)
     wanted = list(dict.fromkeys(re.findall("[0-9a-zåäöéèü]+", query.lower())))
-    postings = df.select(key, F.explode(F.array_distinct(T.search_tokens(F.col(text)))).alias("token"))
-    scores = []
-    for w in wanted:
-        n = len(w)
-        size = F.length("token")
-        near = postings.select("token").distinct().where((2 * F.least(size, F.lit(n)) >= threshold * (size + n)) if exact_ratio else (F.least(size, F.lit(n)) >= threshold * F.greatest(size, F.lit(n))))
-        scores.append(near.withColumn("s", similarity(F.lit(w), F.col("token")) if exact_ratio else levenshtein_ratio(F.lit(w), F.col("token"))).where(F.col("s") >= threshold))
-    best = scores[0]
-    for s in scores[1:]:
-        best = best.unionByName(s)
-    hits = postings.join(best.groupBy("token").agg(F.max("s").alias("s")), "token")
-    return hits.groupBy(key).agg(F.round(F.max("s"), 3).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    if not wanted:
+        return index.select(key, F.lit(None).cast("double").alias("score")).limit(0)
+    size = F.length("token")
+    fits = {w: (2 * F.least(size, F.lit(len(w))) >= threshold * (size + len(w))) if exact_ratio else (F.least(size, F.lit(len(w))) >= threshold * F.greatest(size, F.lit(len(w)))) for w in wanted}
+    vocabulary = index.select("token").distinct().where(reduce(lambda a, b: a | b, fits.values()))
+    scores = [F.when(fits[w], similarity(F.lit(w), F.col("token")) if exact_ratio else levenshtein_ratio(F.lit(w), F.col("token"))) for w in wanted]
+    best = vocabulary.select("token", F.array_max(F.array(*scores)).alias("s")).where(F.col("s") >= threshold)
+    return index.join(best, "token").groupBy(key).agg(F.round(F.max("s"), 3).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def fuzzy(df: DataFrame, key: str, text: str, query: str, k: int, threshold: float, exact_ratio: bool = True) -> DataFrame:
+    """``fuzzy_in`` over the texts themselves, which are read twice."""
+    return fuzzy_in(fuzzy_index(df, key, text), key, query, k, threshold, exact_ratio)
 
 
 def rerank(hits: DataFrame, score: Column, n: int) -> DataFrame:
