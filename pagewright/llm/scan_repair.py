@@ -139,16 +139,15 @@ def _edge_lines(text: str) -> tuple[list[tuple[str, str]], set[int]]:
 
 
 class Knowledge(NamedTuple):
-    """What the corpus tells: ``words`` (frequent valid words and their counts), ``furniture`` (keys of running headers and footers of many documents), ``own`` (``doc``, ``own``: those of the single documents, and what is between printed and counted page numbers) and ``local`` (``digest``, ``local``: what is known of a text's other words)."""
+    """What the corpus tells: ``words`` (frequent valid words and their counts), ``furniture`` (keys of running headers and footers of many documents) and ``own``, a table of the rest by text and document: ``digest``, ``doc``, ``own`` (furniture of the single document, and what is between its printed and counted page numbers), ``local`` (what is known of the text's other words)."""
 
     words: dict[str, int]
     furniture: frozenset[str]
     own: DataFrame | None = None
-    local: DataFrame | None = None
 
 
-def corpus_words(df: DataFrame, text: str, key: str) -> DataFrame:
-    """``word``, ``n`` over all different texts, broken words put together; counted per batch before the shuffle. Copies of a text count once, so a page copied many times can't make its misreadings words."""
+def corpus_words(df: DataFrame, text: str, key: str, places: DataFrame) -> DataFrame:
+    """``word``, ``n`` over all different texts, broken words put together; counted per batch before the shuffle. Copies of a text count once, so a page copied many times can't make its misreadings words; ``places`` has the digest of each key's text."""
 
     def batch(texts: list) -> dict[str, list]:
         c: Counter[str] = Counter()
@@ -156,10 +155,9 @@ def corpus_words(df: DataFrame, text: str, key: str) -> DataFrame:
             c.update(_TOKEN.findall((_JOIN.sub("", t) if _BREAKS.search(t) else t).lower()))
         return {"word": list(c), "n": list(c.values())}
 
-    of = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(key).alias("k"))
-    first = of.groupBy("h").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.col("k").alias("first"))
+    first = places.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     # Written, so that its size is known: a short list of copies spares the texts a shuffle.
-    copies = materialize(of.join(first, "h").where("k > first").select("k"), "copies")
+    copies = materialize(places.join(first, "digest").where("k > first").select("k"), "copies")
     src = df.where(F.col(text).isNotNull()).join(copies, F.col(key) == F.col("k"), "left_anti").select(text)
     return map_batches(src, batch, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -196,6 +194,19 @@ def _suspect(token: str) -> str | None:
     return None if len(low) < 3 or _NO_WORD.search(low) or sum(map(str.isdigit, low)) * 2 > len(low) else low
 
 
+class _Suspects(dict):
+    """The word of each token met, None for those that can't be misread or are among the common ones."""
+
+    def __init__(self, common: dict[str, int]):
+        super().__init__()
+        self.common = common
+
+    def __missing__(self, token: str) -> str | None:
+        low = _suspect(token)
+        low = self[token] = None if low in self.common else low
+        return low
+
+
 def _broken(text: str) -> Iterator[tuple[str, str]]:
     """For each word broken over lines the whole word and the compound it may be, whichever of the next lines goes on (page furniture may stand between)."""
     lines = text.splitlines()
@@ -214,7 +225,7 @@ def lines_and_words(df: DataFrame, text: str, document: str, page: str, common:
         words = common.value
         keys = {x: x for x in ("", " ", "\n")}
         seen: Counter[tuple] = Counter()
-        known: dict[str, str | None] = {}
+        known = _Suspects(words)
         postings: set[tuple[str, int]] = set()
         wholes: set[tuple[str, int]] = set()
         for d, p, h, t in zip(docs, pages, digests, texts):
@@ -229,13 +240,7 @@ def lines_and_words(df: DataFrame, text: str, document: str, page: str, common:
                 for n in numbers:
                     seen[f"#{n - p}", d, p, ""] += 1
             broken = _BREAKS.search(t) is not None
-            for token in {*(_JOIN.sub("", t) if broken else t).split()}:
-                low = known.get(token, "")
-                if low == "":
-                    low = _suspect(token)
-                    low = known[token] = None if low in words else low
-                if low is not None:
-                    postings.add((low, h))
+            postings.update((low, h) for low in set(map(known.__getitem__, (_JOIN.sub("", t) if broken else t).split())) if low is not None)
             if broken:
                 wholes.update((w, h) for pair in _broken(t) for w in pair if w not in words)
         e, w = list(zip(*seen)), list(zip(*wholes, *(postings - wholes)))
@@ -290,10 +295,12 @@ def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: s
     else stays in tables: rarer furniture by document, and by text what is known of its
     rarer words, so the bounds decide where a thing is looked up, not whether it is known.
     """
-    words = materialize(corpus_words(df, text, key), "words")
+    places = materialize(df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("digest"), F.xxhash64(document).alias("doc")), "places")
+    words = materialize(corpus_words(df, text, key, places), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     valid, rights = vocabulary(words)
     common = {r["word"]: r["n"] for r in valid.where(F.col("n") >= WORD_SHARE * total).collect()}
+    assert len(common) <= 1 / WORD_SHARE + 1
     shared = df.sparkSession.sparkContext.broadcast(common)
     raw = materialize(lines_and_words(df, text, document, page, shared), "lines")
 
@@ -316,8 +323,11 @@ def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: s
     # How frequent a valid word is only matters for words broken over lines.
     told = postings.join(told, "word").where("right is not null or what = 'h'").select("digest", F.concat_ws("\t", "word", F.col("n").cast("string"), F.coalesce("right", F.lit(""))).alias("x"))
     local = materialize(told.groupBy("digest").agg(F.array_join(F.collect_list("x"), "\n").alias("local")), "local")
-    release(raw, edges, words, valid, rights, asked)
-    return Knowledge(common, frozenset(r["key"] for r in furniture), own, local)
+    # One table by text and document, so that the texts meet what is known of them in one join.
+    told = places.select("digest", "doc").distinct().join(own, "doc", "left").join(local, "digest", "left").where("own is not null or local is not null")
+    told = materialize(told.select("digest", "doc", "own", "local"), "told")
+    release(raw, edges, words, valid, rights, asked, own, local, places)
+    return Knowledge(common, frozenset(r["key"] for r in furniture), told)
 
 
 class Repair(NamedTuple):
@@ -421,9 +431,10 @@ def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Re
     paragraphs = _join(kept, reader, found)
     body = "\n".join(s for s, _ in paragraphs)
     suspects, at = [], 0
-    for s, is_row in paragraphs if any(x[1] for x in reader.local.values()) else ():
+    wanted = [w for w, (_, right) in reader.local.items() if right]
+    for s, is_row in paragraphs if wanted else ():
         if not is_row:
-            suspects += [(at + m.start(), m[0], x) for m in _WORDS.finditer(s) if (x := reader.misread(m[0]))]
+            suspects += sorted((at + start, token, x) for start, token in _tokens_with(s, wanted) if (x := reader.misread(token)))
         at += len(s) + 1
     out, at = [], 0
     if suspects:
@@ -492,6 +503,28 @@ _WORDS = re.compile(r"[^\s\x02]+")
 _STRIP = ".,;:!?()[]{}\"'»«”“’*…–-\x02"
 
 
+_LIGATURE = re.compile("[ﬁﬂﬀﬃﬄ]")
+
+
+def _tokens_with(text: str, words: list[str]) -> set[tuple[int, str]]:
+    """Places and tokens of a text that hold one of the (small) words; all tokens where small letters aren't at the same places."""
+    low = text.lower()
+    if len(low) != len(text) or _LIGATURE.search(text):
+        return {(m.start(), m[0]) for m in _WORDS.finditer(text)}
+    out = set()
+    for w in words:
+        p = low.find(w)
+        while p >= 0:
+            start = p
+            while start and not text[start - 1].isspace() and text[start - 1] != "\x02":
+                start -= 1
+            m = _WORDS.match(text, start)
+            if m:
+                out.add((start, m[0]))
+            p = low.find(w, p + len(w))
+    return out
+
+
 def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
@@ -505,7 +538,7 @@ def scan_repair(df: DataFrame, know: Knowledge, key: str = "id", text: str = "te
     are not read. Rows don't depend on each other beyond ``know``.
     """
     spark: SparkSession = df.sparkSession
-    shared: Broadcast[Knowledge] = spark.sparkContext.broadcast(know._replace(own=None, local=None))
+    shared: Broadcast[Knowledge] = spark.sparkContext.broadcast(know._replace(own=None))
     of = dict(df.dtypes)[key]
 
     def batch(reader: Reader, keys: list, texts: list, pages: list, owns: list, locals_: list) -> dict[str, list]:
@@ -518,7 +551,6 @@ def scan_repair(df: DataFrame, know: Knowledge, key: str = "id", text: str = "te
         return {"_key": [i for i, _ in done], "repaired": [r.text for _, r in done], "found": [[{"kind": a, "item": b} for a, b in r.found] for _, r in done]}
 
     src = df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.col(page).alias("_p"), F.xxhash64(document).alias("doc"), F.xxhash64(text).alias("digest")).where(F.col(text).isNotNull())
-    # By document and by text; Spark broadcasts the tables only where they are small.
-    src = src.join(know.own, "doc", "left") if know.own is not None else src.withColumn("own", F.lit(None).cast("array<string>"))
-    src = src.join(know.local, "digest", "left") if know.local is not None else src.withColumn("local", F.lit(None).cast("string"))
+    # Spark broadcasts the table only where it is small.
+    src = src.join(know.own, ["digest", "doc"], "left") if know.own is not None else src.withColumns({"own": F.lit(None).cast("array<string>"), "local": F.lit(None).cast("string")})
     return map_batches(src.select("_key", "_t", "_p", "own", "local"), batch, f"_key {of}, repaired string, found array<struct<kind:string,item:string>>", lambda: Reader(shared.value)).withColumnRenamed("_key", key)
