@@ -189,13 +189,17 @@ def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     extreme = F.greatest(*[F.coalesce(z(c), F.lit(99.0)) for c in names])
     scored = materialize(out.select("_key", "_digest", "tongue", "n", "slope", "residual", "top", "divergence", extreme.alias("extreme")), "extremes")
-    flagged = scored.where(F.col("extreme") >= EXTREME).select("_key", "_digest").distinct()
-
-    def check(keys: list, digests: list, texts: list) -> dict[str, list]:
-        return {"_key": keys, "_digest": digests, "spam": [round(spam_share(t), 4) for t in texts]}
-
-    texts = df.where(F.length(text) > 0).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_digest"), F.col(text).alias("_t")).join(flagged, ["_key", "_digest"], "left_semi")
-    shares = map_batches(texts, check, f"_key {dict(df.dtypes)[key]}, _digest long, spam double").dropDuplicates(["_key", "_digest"])
-    return scored.join(shares, ["_key", "_digest"], "left").select(
+    flagged = scored.where(F.col("extreme") >= EXTREME).select("_digest").distinct()
+
+    def check(digests: list, texts: list) -> dict[str, list]:
+        seen: dict[int, float] = {}  # copies in a batch are looked at once
+        for d, t in zip(digests, texts):
+            if d not in seen:
+                seen[d] = round(spam_share(t), 4)
+        return {"_digest": list(seen), "spam": list(seen.values())}
+
+    texts = df.where(F.length(text) > 0).select(F.xxhash64(text).alias("_digest"), F.col(text).alias("_t")).join(flagged, "_digest", "left_semi")
+    shares = map_batches(texts, check, "_digest long, spam double").dropDuplicates(["_digest"])
+    return scored.join(shares, "_digest", "left").select(
         F.col("_key").alias(key), "tongue", "n", "slope", "residual", "top", "divergence", "spam", "extreme", F.coalesce((F.col("extreme") >= EXTREME) & (F.col("spam") > SPAM_SHARE), F.lit(False)).alias("is_spam")
     )
