@@ -23,6 +23,8 @@ _TITLE = re.compile(rf"^(?:(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, r
 SLIPS = 1
 #: Names with one key that are compared in one place; more are parted.
 BLOCK = 1000
+#: Cost of an abbreviation with a slip.
+SLIPPED = 0.95
 
 
 def fold(token: str) -> str:
@@ -116,10 +118,15 @@ def token_cost(a: str, b: str) -> float:
     sa, sb = _is_short(a), _is_short(b)
     if sa and sb:
         x, y = a.rstrip("."), b.rstrip(".")
-        return 0.9 if x.startswith(y) or y.startswith(x) else 9
+        if x.startswith(y) or y.startswith(x):
+            return 0.9
+        return SLIPPED if min(len(x), len(y)) > 2 and x.isalpha() and y.isalpha() and x[0] == y[0] and within(x, y) else 9
     if sa or sb:
         short, full = (a, b) if sa else (b, a)
-        return 0.8 if _short_of(short, full) or any(_short_of(short, x) for x in _NICK.get(full, ())) else 9
+        if _short_of(short, full) or any(_short_of(short, x) for x in _NICK.get(full, ())):
+            return 0.8
+        cut = short.rstrip(".")  # an abbreviation may have a slip as well, but for its first letter
+        return SLIPPED if len(cut) > 2 and cut.isalpha() and cut[0] == full[0] and any(within(cut, full[:k]) for k in (len(cut) - 1, len(cut), len(cut) + 1)) else 9
     if b in _NICK.get(a, ()) or a in _NICK.get(b, ()) or _NICK.get(a) and set(_NICK[a]) & set(_NICK.get(b, ())):
         return 0.3
     return 0.5 if within(a, b) and not (a in _GIVEN and b in _GIVEN) else 9
@@ -172,8 +179,8 @@ def _assignments(a: list[str], b: list[str], cost: list[list[float]]) -> list[tu
     return sorted(best.values(), key=lambda x: x[0])
 
 
-def align(a: list[str], b: list[str], kind: str = "person") -> tuple[float, bool] | None:
-    """Cost of the best assignment of tokens and whether it rests on an initial, or None if the names can't be one.
+def align(a: list[str], b: list[str], kind: str = "person") -> tuple[float, int] | None:
+    """Cost of the best assignment of tokens and what it rests on (0: whole words, 1: an initial or abbreviation, 2: one with a slip), or None if the names can't be one.
 
     The shorter list is assigned to distinct tokens of the longer one at least cost
     (see _assignments). Left over may be single initials only; at least one token must
@@ -190,11 +197,13 @@ def align(a: list[str], b: list[str], kind: str = "person") -> tuple[float, bool
             continue
         pairs = list(zip(a, (b[j] for j in way)))
         whole = [p for p in pairs if not _is_short(p[0]) and not _is_short(p[1])]
-        if not any(len(x) > 3 for x, _ in whole) and not (whole and not rest and all(x == y for x, y in pairs)) or sum(x != y and token_cost(x, y) == 0.5 for x, y in pairs) > 1:
+        if not any(len(x) > 3 for x, _ in whole) and not (whole and not rest and all(x == y for x, y in pairs)) or sum(x != y and token_cost(x, y) in (0.5, SLIPPED) for x, y in pairs) > 1:
             continue
+        if any(token_cost(x, y) == SLIPPED for x, y in pairs):
+            return c, 2
         if kind != "person" and all(len(x.rstrip(".")) > 2 for p in pairs for x in p) and whole:
-            return c, False  # an abbreviated trade beside a place is no other's
-        return c, len(whole) < len([x for x in a if not (x.endswith(".") and len(x) == 2)]) or len(whole) < 2
+            return c, 0  # an abbreviated trade beside a place is no other's
+        return c, int(len(whole) < len([x for x in a if not (x.endswith(".") and len(x) == 2)]) or len(whole) < 2)
     return None
 
 
@@ -265,7 +274,7 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def name_links(names: DataFrame) -> DataFrame:
-    """Links ``a < b`` (names marked with their kind), ``weak`` where the link rests on an initial or abbreviation."""
+    """Links ``a < b`` (names marked with their kind), ``weak`` (0, 1, 2) as in ``align``."""
 
     def keys(kinds: list, ns: list) -> dict[str, list]:
         out: dict[str, list] = {"key": [], "node": [], "how": []}
@@ -294,7 +303,7 @@ def name_links(names: DataFrame) -> DataFrame:
                 out["weak"].append(got[1])
         return out
 
-    return map_batches(pairs, verify, "a string, b string, weak boolean")
+    return map_batches(pairs, verify, "a string, b string, weak int")
 
 
 def _only_short(name: str, kind: str) -> bool:
@@ -317,14 +326,17 @@ def link_names(entities: DataFrame, decisions: DataFrame) -> DataFrame:
         names.select("kind", "name"), lambda kinds, ns: {"node": [f"{k[0]}{n}" for k, n in zip(kinds, ns)], "kind": kinds, "name": ns, "only_short": [_only_short(n, k) for k, n in zip(kinds, ns)]},
         "node string, kind string, name string, only_short boolean",
     )
-    strong = connected_components(links.where(~F.col("weak")).select("a", "b"))
+    strong = connected_components(links.where("weak = 0").select("a", "b"))
     base = materialize(marked.join(strong, "node", "left").select("node", "kind", "name", "only_short", F.coalesce("component", "node").alias("c")), "namebase")
-    weak = links.where("weak").select("a", "b").unionByName(links.where("weak").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weak = links.where("weak > 0")
+    weak = weak.unionByName(weak.select(F.col("b").alias("a"), F.col("a").alias("b"), "weak"))
     full = base.groupBy("c").agg(F.min("only_short").alias("only_short"))
     # Components that rest on short spellings alone, and all components of the other side they could join.
-    side = weak.join(base.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(base.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where(F.col("ca") != F.col("cb")).select("ca", "cb").distinct()
+    side = weak.join(base.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(base.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where(F.col("ca") != F.col("cb")).groupBy("ca", "cb").agg(F.min("weak").alias("weak"))
     side = side.join(full.select(F.col("c").alias("ca"), F.col("only_short").alias("sa")), "ca").where("sa").join(full.select(F.col("c").alias("cb"), F.col("only_short").alias("sb")), "cb")
-    side = materialize(side.select("ca", "cb", "sb"), "nameside")
+    side = materialize(side.select("ca", "cb", "sb", "weak"), "nameside")
+    # What an abbreviation stands for as it is goes before what it may stand for with a slip.
+    side = side.join(side.groupBy("ca", "sb").agg(F.min("weak").alias("weak")), ["ca", "sb", "weak"]).drop("weak")
     to_full = side.where("not sb").groupBy("ca").agg(F.min("cb").alias("cb"), F.count(F.lit(1)).alias("n"))
     reached = to_full.select("ca")
     lonely = side.where("sb").join(reached, "ca", "left_anti").join(reached.select(F.col("ca").alias("cb")), "cb", "left_anti").select("ca", "cb")

@@ -398,6 +398,13 @@ def test_short_and_long_names_are_linked(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, [ns[:2], ns[2:4], [ns[4]], [ns[5]], ns[6:8], [ns[8]]]))
 
 
+def test_abbreviations_with_a_slip(spark):
+    ns = ["Wilhelm Smättfjell", "Wih. Smättfjell", "Katarina Ekblad", "Karin Ekblad", "Kar. Ekblad", "Walter Bo Ekblad"]
+    payload = '{"entiteter": [' + ", ".join(f'{{"typ": "person", "namn": "{n}"}}' for n in ns) + "]}"
+    got = {r["name"]: r["entity"] for r in names.link_names(spark.createDataFrame([(payload,)], "payload string"), spark.createDataFrame([], "target_json string")).collect()}
+    assert got["Wih. Smättfjell"] == got["Wilhelm Smättfjell"] and got["Kar. Ekblad"] == got["Karin Ekblad"] != got["Katarina Ekblad"]
+
+
 def test_long_assignment_is_the_optimum():
     from itertools import permutations
 
