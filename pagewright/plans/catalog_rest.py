@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import archive_state as A
-from pagewright.operators import forms, graph, index, layout, pages, quality, replies, retrieval, state
+from pagewright.operators import forms, graph, index, layout, pages, quality, replies, retrieval, state, temporal
 from pagewright.plans.catalog import _COUNTED_TEXT, _ENT, _FILES, _PAGES, _RES, _SCORE_SQL, _SCORED, _entities, current_pages, files, page_scores, query
 from pagewright.session import materialize
 from pagewright.sources.tables import table
@@ -278,3 +278,47 @@ def gr10_suggestions(spark, d):
     raw = F.concat(F.lit("Svar: "), F.to_json(F.struct(F.array(s, s).alias("suggestions"))), F.lit(" slut"))
     got = replies.suggestions(g.select("n", raw.alias("raw"), F.lit("I går vittnet såg en bil").alias("page")), ["n"], "raw", "page")
     return got.select("item_key", "action")
+
+
+# ---- extensions ------------------------------------------------------------------
+
+
+@query("SELECT event_type, user_id % 3 AS part, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, user_id % 3)")
+def ext_rollup(spark, d):
+    """Counts by kind and part, by kind, and of all."""
+    e = table(spark, d, "events", "event_type", "user_id", "value").withColumn("part", F.col("user_id") % 3)
+    return e.rollup("event_type", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT event_type, user_id % 3 AS part, count(*) AS n FROM events GROUP BY CUBE (event_type, user_id % 3)")
+def ext_cube(spark, d):
+    e = table(spark, d, "events", "event_type", "user_id").withColumn("part", F.col("user_id") % 3)
+    return e.cube("event_type", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH b AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click') SELECT a.event_id AS id, max(b.event_id) AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') a
+LEFT JOIN (SELECT a.event_id AS id, max(b.ts) AS t FROM events a JOIN b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY 1) m ON m.id = a.event_id LEFT JOIN b ON b.user_id = a.user_id AND b.ts = m.t GROUP BY 1"""
+)
+def ext_asof(spark, d):
+    """For each purchase the user's last click at or before it."""
+    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type")
+    clicks = e.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_click"))
+    bought = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "user_id", "ts")
+    return temporal.asof(bought, clicks, "user_id", "ts", "last_click").select("id", "last_click")
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS line, event_id AS id FROM lineitem JOIN events ON event_id % 1000 BETWEEN l_partkey AND l_partkey + l_linenumber WHERE l_orderkey < 200")
+def ext_ranges(spark, d):
+    """Points in ranges, without meeting every range."""
+    r = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").where("l_orderkey < 200").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("long").alias("low"), (F.col("l_partkey") + F.col("l_linenumber")).cast("long").alias("high"))
+    p = table(spark, d, "events", "event_id").select(F.col("event_id").alias("id"), (F.col("event_id") % 1000).alias("x"))
+    return temporal.in_ranges(p, r, "x", "low", "high", 8).select("k", "line", "id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def ext_sketch_error(spark, d):
+    """Approximate numbers of different ids by kind, kept where they are within a tenth of the exact ones."""
+    e = table(spark, d, "events", "event_id", "event_type")
+    a = e.groupBy("event_type").agg(F.approx_count_distinct("event_id", 0.02).alias("about"), F.count(F.lit(1)).alias("n"))
+    return a.where(F.abs(F.col("about") - F.col("n")) <= 0.1 * F.col("n")).select("event_type", "n")
