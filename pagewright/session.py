@@ -7,8 +7,10 @@ import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _LOCAL_DIRS: list[tempfile.TemporaryDirectory] = []
@@ -93,3 +95,8 @@ def release(*tables: DataFrame) -> None:
         path = _TABLES.pop(id(t), None)
         if path:
             _delete(t.sparkSession, path)
+
+
+def broadcaster(table: DataFrame, rows: int) -> Callable[[DataFrame], DataFrame]:
+    """``broadcast`` if a written table has no more than ``rows`` rows, else what leaves its joins to shuffles. Counting a written table costs next to nothing."""
+    return F.broadcast if table.limit(rows + 1).count() <= rows else lambda df: df
