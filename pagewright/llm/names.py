@@ -13,7 +13,7 @@ from pagewright.llm.arrow import map_batches
 from pagewright.llm.given_names import GIVEN, NICKNAMES
 from pagewright.llm.pii import TITLES
 from pagewright.llm.components import connected_components
-from pagewright.session import materialize
+from pagewright.session import broadcaster, materialize
 
 # Legal forms, which say nothing about which organisation it is.
 LEGAL = frozenset("ab hb kb aktiebolag handelsbolag kommanditbolag ek för filial".split())
@@ -267,9 +267,9 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     blocks, and the left ones meet each block by itself, so no task gets a whole hot key.
     """
     hot = materialize(right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hotkeys")  # at most 1 in BLOCK keys
-    one = F.coalesce(F.col("blocks"), F.lit(1))
-    x = left.join(F.broadcast(hot), "key", "left").select("key", F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), one - 1)).alias("block"))
-    y = right.join(F.broadcast(hot), "key", "left").select("key", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), one).cast("int").alias("block"))
+    one, small = F.coalesce(F.col("blocks"), F.lit(1)), broadcaster(hot, 1_000_000)
+    x = left.join(small(hot), "key", "left").select("key", F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), one - 1)).alias("block"))
+    y = right.join(small(hot), "key", "left").select("key", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), one).cast("int").alias("block"))
     return x.join(y, ["key", "block"]).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import map_batches
 from pagewright.llm.components import connected_components
-from pagewright.session import materialize, release, with_package
+from pagewright.session import broadcaster, materialize, release, with_package
 
 #: Three-word sequences and one half, as the project states its problem (TESTDATA).
 WORDS, SIMILARITY, LEAST_WORDS = 3, 0.5, 20
@@ -168,9 +168,9 @@ def forest_candidates(reps: DataFrame, within: bool = False) -> DataFrame:
 
     with_package(reps.sparkSession)
     rows = reps.select("id", "stem", "sig").mapInArrow(orders, "prefix long, id long, stem long, " + ", ".join(f"{b} long" for b in _SKETCH))
-    # At most TREES / BLOCK of the texts' number of regions are large, 12 bytes each.
+    # At most TREES / BLOCK of the texts' number of regions are large, 12 bytes each; they are broadcast up to a million.
     large = materialize(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("prefix", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "regions")
-    sized = rows.join(F.broadcast(large), "prefix", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0)))
+    sized = rows.join(broadcaster(large, 1_000_000)(large), "prefix", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0)))
     spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
     x, y = F.least("own", "other"), F.greatest("own", "other")
     placed = spread.select(

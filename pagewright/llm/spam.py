@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import map_batches
 from pagewright.llm.page_lines import _BLANK, _MARK, _TURN, FUNCTION_WORDS, GARBAGE, kind, read_page
-from pagewright.session import materialize, release
+from pagewright.session import broadcaster, materialize, release
 
 #: A word belongs to a language's prose model from this share on (at most 100,000 words a language); any other word counts as this rare.
 MODEL_SHARE = 1e-5
@@ -142,7 +142,7 @@ def curves(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     model = materialize(prose.join(F.broadcast(total), "tongue").where(F.col("m") >= MODEL_SHARE * F.col("all")).select("tongue", "word", (F.col("m") / F.col("all")).alias("q")), "prosemodel")
     # The words of a text stand together, so nearly all of this is added up before the shuffle.
     terms = counted.select("_row", "tongue", "n", F.explode("terms").alias("t")).select("_row", "tongue", "t.word", (F.col("t.c") / F.col("n")).alias("p"))
-    far = terms.join(F.broadcast(model), ["tongue", "word"], "left").groupBy("_row").agg(F.sum(F.col("p") * F.log(F.col("p") / F.coalesce("q", F.lit(MODEL_SHARE)))).alias("divergence"))
+    far = terms.join(broadcaster(model, 500_000)(model), ["tongue", "word"], "left").groupBy("_row").agg(F.sum(F.col("p") * F.log(F.col("p") / F.coalesce("q", F.lit(MODEL_SHARE)))).alias("divergence"))
     by_rank = Window.partitionBy("_row").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     points = counted.select("_row", F.explode("curve").alias("p")).select("_row", "p.c", "p.m")
     points = points.select("_row", "c", "m", F.log(F.sum("m").over(by_rank) - (F.col("m") - 1) / 2).alias("x"), F.log("c").alias("y"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.arrow import map_batches
 from pagewright.llm.page_lines import FUNCTION_WORDS, letters_of, read_page
 from pagewright.llm.ranks import exact_ranks
-from pagewright.session import materialize
+from pagewright.session import broadcaster, materialize
 
 #: Statistics that enter the outlier score, with the tail that is suspicious.
 TAILS = {"running_share": "low", "common_share": "low", "ending_share": "low", "symbol_ratio": "high", "mean_word_length": "both", "vowel_ratio": "both"}
@@ -91,10 +91,11 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     side = F.create_map(*[F.lit(x) for kv in TAILS.items() for x in kv])[F.col("stat")]
     tail = F.least(F.lit(1.0), F.when(side == "low", low).when(side == "high", high).otherwise(2 * F.least(low, high)))
     tails = materialize(ranks.select("lang", "stat", "value", (-F.log(tail)).alias("surprise"), "total"), "tails")
+    small = broadcaster(tails, 500_000)  # some 50,000 a language by the grid
     out = stats
     for s in TAILS:
         one = tails.where(F.col("stat") == s).select(F.col("lang").alias("_l"), F.col("value").alias("_v"), F.col("surprise").alias(f"_{s}"))
-        out = out.join(F.broadcast(one), (F.col("lang") == F.col("_l")) & (F.col(s) == F.col("_v")), "left").drop("_l", "_v")
+        out = out.join(small(one), (F.col("lang") == F.col("_l")) & (F.col(s) == F.col("_v")), "left").drop("_l", "_v")
     prose = tails.where(F.col("stat") == "running_share").groupBy(F.col("lang").alias("_l")).agg(F.max("total").alias("_total"))
     out = out.join(F.broadcast(prose), F.col("lang") == F.col("_l"), "left")
     total = sum((F.coalesce(F.col(f"_{s}"), F.lit(0.0)) for s in TAILS), F.lit(0.0))
