@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import archive_state as A
 from pagewright.operators import chunk as C
-from pagewright.operators import citations, display, forms, geo, graph, layout, quality, retrieval, state
-from pagewright.plans.catalog import _BM25, _DIST, _EDGES, _ENT, _FILES, _PAGES, _REL, _RES, _SCORED, _TWO, QUERY_TEXT, _edges, _entities, _query_vector, _texts, _vectors, current_pages, files, page_scores, query
+from pagewright.operators import citations, display, forms, geo, graph, layout, retrieval, state
+from pagewright.plans.catalog import _EDGES, _ENT, _FILES, _PAGES, _REL, _RES, _SCORED, _TWO, QUERY_TEXT, _edges, _entities, _query_vector, _texts, _vectors, current_pages, files, page_scores, query
+from pagewright.session import materialize
 from pagewright.sources.tables import table
 
 # ---- citations -------------------------------------------------------------------
@@ -257,8 +259,6 @@ _PICTURE = f"""{_ENT}, {_RES}, {_REL}, {_EDGES}, cc AS (SELECT min(src) AS norm
 
 
 def _picture(spark, d):
-    from pagewright.session import materialize
-
     edges = materialize(_edges(spark, d), "edges")
     c = edges.agg(F.min("src").alias("norm"))
     rels = edges.join(F.broadcast(c), (F.col("src") == F.col("norm")) | (F.col("dst") == F.col("norm")))
@@ -305,8 +305,6 @@ _KEY = ["pdf_stem", "page_num", "rel", "src_label", "src", "dst_label", "dst"]
 )
 def set01_comparison(spark, d):
     """SET1 to SET4: wanted against live relations, with duplicates and edges of no owner."""
-    from pagewright.session import materialize
-
     e = materialize(_edges(spark, d), "edges")
     return graph.comparison(e, _live(e), _KEY)
 
@@ -314,8 +312,6 @@ def set01_comparison(spark, d):
 @query(f"WITH {_LIVE} SELECT pdf_stem, page_num, rel, src, dst, owner FROM live WHERE coalesce(owner, '') <> 'sync' AND owner IS NOT NULL UNION SELECT pdf_stem, page_num, rel, src, dst, 'sync' FROM edges")
 def set05_replaced(spark, d):
     """SET5: the live edges of one owner replaced by the wanted ones."""
-    from pagewright.session import materialize
-
     e = materialize(_edges(spark, d), "edges")
     return graph.replaced(_live(e).select(*_KEY, "owner"), e.select(*_KEY), "sync").select("pdf_stem", "page_num", "rel", "src", "dst", "owner").distinct()
 
@@ -348,8 +344,6 @@ def flt05_pages_for_places(spark, d):
 @query(f"WITH {_SCORED} SELECT pdf_stem, page_num, row_number() OVER (PARTITION BY pdf_stem ORDER BY page_num) AS place FROM scored WHERE score < 60 AND coalesce(image_page, 0) = 0")
 def flt07_redo_pages(spark, d):
     """FLT7, ETC10: pages to be read anew, in order within their documents."""
-    from pyspark.sql import Window
-
     bad = page_scores(spark, d).where("score < 60 and coalesce(image_page, 0) = 0")
     return bad.select(*A.PAGE, F.row_number().over(Window.partitionBy("pdf_stem").orderBy("page_num")).alias("place"))
 
@@ -590,6 +584,3 @@ def etc17_before_after(spark, d):
     """ETC17: scores before and after, side by side."""
     p = current_pages(spark, d)
     return p.join(page_scores(spark, d), A.PAGE, "left").select("id", F.col("score").isNotNull().alias("scored"))
-
-
-del quality, _BM25, _DIST
