@@ -495,4 +495,4 @@ def header_fields(text: Column, labels: tuple[str, ...]) -> Column:
                 break
         return out
 
-    return F.udf(read, "array<struct<label:string,value:string>>")(text)
+    return F.udf(read, "array<struct<label:string,value:string>>", useArrow=True)(text)
