@@ -14,12 +14,20 @@ def exploded(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def overlaid(pages: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Documents with updated pages put over the old ones: ``key``, ``text``; missing pages are empty, pages below 1 are ignored."""
-    u = updates.where(F.col("page_num") >= 1).select(key, "page_num", F.col("text").alias("new"))
-    j = pages.select(key, "page_num", F.col("text").alias("old")).join(u, [key, "page_num"], "full_outer").select(key, "page_num", F.coalesce("new", "old", F.lit("")).alias("t"))
-    got = j.groupBy(key).agg(F.max("page_num").alias("n"), F.collect_list(F.struct("page_num", "t")).alias("p"))
-    by_page = F.map_from_entries("p")
-    return got.select(key, F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.coalesce(F.element_at(by_page, i), F.lit(""))), "\f").alias("text"))
+    """Documents with updated pages put over the old ones: ``key``, ``text``.
+
+    Missing pages are empty, pages below 1 are ignored, a page given twice is an
+    error; of what has no key only the number of pages is known. Every page brings
+    the gap before it along, so the work grows with the pages of a document.
+    """
+    old, new = (df.where(F.col("page_num") >= 1).select(key, "page_num", F.col("text").alias(t)) for df, t in ((pages, "old"), (updates, "new")))
+    j = old.join(new, [key, "page_num"], "full_outer").select(key, "page_num", F.coalesce("new", "old", F.lit("")).alias("t"))
+    got = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page_num", "t"))).alias("p"))
+    before = F.concat(F.array(F.lit(0)), F.col("p.page_num"))  # one longer: the last meets no page and gives null, which isn't joined
+    gap = lambda n: F.repeat(F.lit("\f"), (n - 1).cast("int"))
+    twice = F.raise_error(F.lit("a page is given twice"))
+    filled = F.zip_with("p", before, lambda x, last: F.when(x["page_num"] <= last, twice).otherwise(F.concat(gap(x["page_num"] - last), x["t"])))
+    return got.select(key, F.when(F.col(key).isNull(), gap(F.array_max("p.page_num"))).otherwise(F.array_join(filled, "\f")).alias("text"))
 
 
 def capped_candidates(df: DataFrame, score: str, keys: list[str], cap: int, group: str) -> DataFrame:

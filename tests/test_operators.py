@@ -217,6 +217,26 @@ def test_overlay(spark):
     assert got == {"d": "ett\f2\f\f4", "e": "\f"}
 
 
+def test_overlay_of_odd_pages(spark):
+    schema = "k string, page_num int, text string"
+    base = spark.createDataFrame([("d", 3, "tre"), ("d", -1, "bort"), ("d", None, "bort"), ("z", 0, "bort"), (None, 2, "två")], schema)
+    new = spark.createDataFrame([("d", 3, None), (None, 2, "två"), (None, 3, "tre")], schema)
+    got = {r["k"]: r["text"] for r in pages.overlaid(base, new, "k").collect()}
+    assert got == {"d": "\f\ftre", None: "\f\f"}
+    assert pages.overlaid(base.limit(0), new.limit(0), "k").count() == 0
+    with pytest.raises(Exception, match="given twice"):
+        pages.overlaid(base, spark.createDataFrame([("d", 4, "a"), ("d", 4, "b")], schema), "k").collect()
+
+
+@given(st.dictionaries(st.integers(-2, 12), st.one_of(st.none(), st.sampled_from(["", "a", "å\n"]))), st.dictionaries(st.integers(-2, 12), st.one_of(st.none(), st.sampled_from(["", "b"]))))
+@settings(max_examples=15, deadline=None)
+def test_overlay_is_a_map_of_pages(spark, old, new):
+    frame = lambda m: spark.createDataFrame([("d", n, t) for n, t in m.items()], "k string, page_num int, text string")
+    want = {n: t or "" for n, t in {**old, **{n: t for n, t in new.items() if t is not None or n not in old}}.items() if n >= 1}
+    got = [r["text"] for r in pages.overlaid(frame(old), frame(new), "k").collect()]
+    assert got == (["\f".join(want.get(i + 1, "") for i in range(max(want)))] if want else [])
+
+
 def page(spark, *blocks):
     """A page read from (label, html, order)."""
     raw = json.dumps([{"label": k, "html": h, "reading_order": o, "bbox": [0, 10 * i, 50, 10 * i + 9]} for i, (k, h, o) in enumerate(blocks)])
