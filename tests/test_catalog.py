@@ -40,7 +40,7 @@ def test_query(spark, folder, db, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["etc16_corrected"])
+@pytest.mark.parametrize("name", ["etc16_corrected", "txt18_merge_pages"])
 def test_long_document(spark, tmp_path, name):
     """A document of very many pages, with gaps, takes seconds; pages without a document or number change nothing."""
     n = 40_000
