@@ -28,7 +28,8 @@ TOP, BOTTOM = 3, 2
 _ENDING = frozenset(".,;?:-=‐¬\xad")
 
 _HYPHENS = "-‐‑¬=\xad"
-_JOIN = re.compile(rf"(?<=[^\W\d_])[{_HYPHENS}][ \t]*\r?\n[ \t]*(?=[a-zà-öø-ÿ])")
+# The hyphen comes first, as signs that a match begins with are found fast.
+_JOIN = re.compile(rf"[{_HYPHENS}](?<=[^\W\d_].)[ \t]*\r?\n[ \t]*(?=[a-zà-öø-ÿ])")
 _TOKEN = re.compile(r"[^\W_]+(?:[-=|!][^\W_]+)*")
 _TAIL = re.compile(rf"([^\W_]+(?:[-–][^\W_]+)*)[{_HYPHENS}][ \t]*$")
 _HEAD = re.compile(r"[a-zà-öø-ÿ0-9][^\W_]*")
@@ -77,13 +78,15 @@ def look(word: str) -> str:
 
 def looks(word: str) -> list[str]:
     """``look`` after each of the ways in which a misreading may hide another; each marked with its way."""
-    out = []
-    for i, first in enumerate(_FIRST):
+    plain = look(word)
+    out = [plain]
+    for i, first in enumerate(_FIRST[1:], 1):
         w = word
         for a, b in first:
-            w = w.replace(a, b)
-        if not i or w != word or i in (2, 3):
-            out.append(f"{'' if i != 2 else '2'}{'' if i != 3 else '3'}{look(w)}")
+            if a in w:
+                w = w.replace(a, b)
+        if w is not word or i in (2, 3):
+            out.append(f"{'' if i != 2 else '2'}{'' if i != 3 else '3'}{plain if w is word else look(w)}")
     return out
 
 
@@ -114,28 +117,45 @@ def page_number(line: str) -> str | None:
 
 def _edge_lines(text: str) -> tuple[list[tuple[str, str]], set[int]]:
     """Lines at the edges of a page that don't end as sentences do, each with the line between it and the edge (page numbers aside): '' if there is none, ' ' if there is none but the line belongs to a sentence, '\\n' if it does and there is one; and the numbers that stand alone on a line at the edges."""
-    every = [s for s in [x.strip(_BLANK) for x in text.splitlines()] if s]
-    n = len(every)
-    numbers: set[int] = set()
-    lines = []
-    for i, s in enumerate(every):
-        number = page_number(s) if len(s) <= 18 else None
-        if number is not None:
-            if (i < TOP or i >= n - BOTTOM) and number.isdigit():
-                numbers.add(int(number))
-        elif not _SPECK.match(s):
-            lines.append(s)
+    every = text.splitlines()
+    head, foot, numbers = [], [], []
+    above = below = i = 0
+    j = len(every)
+    # Only the lines at the edges, with one more on either side for what is beside them, are looked at; what is between them says nothing.
+    while i < j and len(head) <= TOP:
+        s = every[i].strip(_BLANK)
+        i += 1
+        if s:
+            number = page_number(s) if len(s) <= 18 else None
+            if number is not None:
+                numbers.append((above, number))
+            elif s[0].isalnum() or not _SPECK.match(s):
+                head.append(s)
+            above += 1
+    while i < j and len(foot) <= BOTTOM:
+        j -= 1
+        s = every[j].strip(_BLANK)
+        if s:
+            number = page_number(s) if len(s) <= 18 else None
+            if number is not None:
+                if below < BOTTOM:
+                    numbers.append((0, number))
+            elif s[0].isalnum() or not _SPECK.match(s):
+                foot.append(s)
+            below += 1
+    n = above + below
+    lines = head + foot[::-1]
     last, out = len(lines) - 1, []
     for i in {*range(min(TOP, last + 1)), *range(max(0, last + 1 - BOTTOM), last + 1)}:
         s = lines[i]
-        if len(s) < 4 or s[-1] in _ENDING and not _SUFFIX.search(s) or _MARK.match(s) or ";" in s or len(_GAP.findall(s)) > 1 or s.count(",") > 1 and _INDEX.search(s):
+        if len(s) < 4 or s[-1] in _ENDING or _MARK.match(s) or ";" in s or len(_GAP.findall(s)) > 1 or s.count(",") > 1 and _INDEX.search(s):
             continue
         runs_on = s[0].islower() or i < last and lines[i + 1][0].islower() or s.count("(") > s.count(")")
         if i in (0, last):
             out.append((s, " " if runs_on else ""))
         else:
             out.append((s, "\n" if runs_on else lines[i - 1] if i < TOP and i <= last - i else lines[i + 1]))
-    return out, numbers
+    return out, {int(x) for k, x in numbers if (k < TOP or k >= n - BOTTOM) and x.isdigit()}
 
 
 class Knowledge(NamedTuple):
@@ -150,9 +170,13 @@ def corpus_words(df: DataFrame, text: str, key: str, places: DataFrame) -> DataF
     """``word``, ``n`` over all different texts, broken words put together; counted per batch before the shuffle. Copies of a text count once, so a page copied many times can't make its misreadings words; ``places`` has the digest of each key's text."""
 
     def batch(texts: list) -> dict[str, list]:
-        c: Counter[str] = Counter()
+        between: Counter[str] = Counter()  # what stands between blanks; no token holds a blank
         for t in texts:
-            c.update(_TOKEN.findall((_JOIN.sub("", t) if _BREAKS.search(t) else t).lower()))
+            between.update((_JOIN.sub("", t) if _BREAKS.search(t) else t).split())
+        c: dict[str, int] = defaultdict(int)
+        for x, n in between.items():
+            for w in (x.lower(),) if x.isalpha() and x.isascii() else _TOKEN.findall(x.lower()):
+                c[w] += n
         return {"word": list(c), "n": list(c.values())}
 
     first = places.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
@@ -170,16 +194,18 @@ def vocabulary(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     or no plain words.
     """
 
+    words = words.where(F.col("n") >= LEAST_COUNT)  # no other word is valid or right
+
     def keys(ws: list, ns: list) -> dict[str, list]:
         rows = [(k, w, n, w.isalpha()) for w, n in zip(ws, ns) for k in looks(w)]
         return dict(zip(("key", "word", "n", "alpha"), map(list, zip(*rows)))) if rows else {c: [] for c in ("key", "word", "n", "alpha")}
 
     like = materialize(map_batches(words.select("word", "n"), keys, "key string, word string, n long, alpha boolean"), "looks")
-    best = like.groupBy("key").agg(F.max(F.struct("n", "alpha", "word")).alias("b")).select("key", F.col("b.n").alias("bn"), F.col("b.word").alias("right")).where((F.col("bn") >= LEAST_COUNT) & ~F.col("right").rlike(r"\d"))
+    best = like.groupBy("key").agg(F.max(F.struct("n", "alpha", "word")).alias("b")).select("key", F.col("b.n").alias("bn"), F.col("b.word").alias("right")).where(~F.col("right").rlike(r"\d"))
     best = materialize(best, "best")
-    rare = (F.col("n") * DOMINANCE <= F.col("bn")) | ~F.col("alpha") | (F.col("n") < LEAST_COUNT)
+    rare = (F.col("n") * DOMINANCE <= F.col("bn")) | ~F.col("alpha")
     wrong = like.join(best, "key").where((F.col("word") != F.col("right")) & rare).select("word").distinct()
-    valid = materialize(words.where(F.col("n") >= LEAST_COUNT).join(wrong, "word", "left_anti"), "valid")
+    valid = materialize(words.join(wrong, "word", "left_anti"), "valid")
     rights = materialize(best.join(valid.select(F.col("word").alias("right")), "right", "left_semi").select("key", "right"), "rights")
     release(like, best)
     return valid, rights
@@ -187,7 +213,9 @@ def vocabulary(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _suspect(token: str) -> str | None:
     """The word in a token of a text, small, if it may be a misread one."""
-    low = token.strip(_STRIP).lower().translate(_LIGATURES)
+    low = token.strip(_STRIP).lower()
+    if not low.isascii():
+        low = low.translate(_LIGATURES)
     if low.isalpha():
         return low if len(low) > 2 else None
     # Words are letters, digits and what stands between or for them; any other sign stays in a look, so no word looks so.
@@ -228,8 +256,12 @@ def lines_and_words(df: DataFrame, text: str, document: str, page: str, common:
         known = _Suspects(words)
         postings: set[tuple[str, int]] = set()
         wholes: set[tuple[str, int]] = set()
+        read: dict[str, tuple[list[tuple[str, str]], set[int]]] = {}
         for d, p, h, t in zip(docs, pages, digests, texts):
-            edges, numbers = _edge_lines(t)
+            copy = t in read
+            if not copy:
+                read[t] = _edge_lines(t)
+            edges, numbers = read[t]
             for s, near in edges:
                 for x in (s, near):
                     if x not in keys:
@@ -239,6 +271,8 @@ def lines_and_words(df: DataFrame, text: str, document: str, page: str, common:
             if p is not None:
                 for n in numbers:
                     seen[f"#{n - p}", d, p, ""] += 1
+            if copy:
+                continue
             broken = _BREAKS.search(t) is not None
             postings.update((low, h) for low in set(map(known.__getitem__, (_JOIN.sub("", t) if broken else t).split())) if low is not None)
             if broken:
@@ -266,8 +300,8 @@ def page_furniture(edges: DataFrame) -> DataFrame:
     be that of most of its numbered pages.
     """
     known = None
-    # Most lines stand on one page only and can't be furniture whatever is beside them.
-    pages_of = edges.groupBy("key", "doc").agg(F.count_distinct("page").alias("pages"))
+    # Most lines stand on one page only and can't be furniture whatever is beside them. A page counts here for each line that is beside it, which lets a few more pass; page numbers are beside none.
+    pages_of = edges.groupBy("key", "doc").agg(F.count(F.lit(1)).alias("pages"))
     often = pages_of.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.max("pages").alias("most")).where((F.col("documents") >= LEAST_DOCUMENTS) | (F.col("most") >= LEAST_PAGES)).select("key")
     edges = materialize(edges.join(often, "key", "left_semi"), "recurring")
     numbered = edges.where(F.col("key").startswith("#")).groupBy("doc").agg(F.count_distinct("page").alias("numbered"))
@@ -311,8 +345,8 @@ def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: s
     furniture = lines.where(wide).select("key").distinct().collect()
     own = materialize(lines.where(~wide).groupBy("doc").agg(F.collect_set("key").alias("own")), "own")
 
-    postings = raw.where("what <> 'e'").groupBy(F.col("key").alias("word"), F.col("doc").alias("digest")).agg(F.min("what").alias("what"))
-    asked = materialize(raw.where("what <> 'e'").select(F.col("key").alias("word")).distinct().join(valid, "word", "left"), "asked")
+    postings = raw.where("what <> 'e'").select(F.col("key").alias("word"), F.col("doc").alias("digest"), "what")
+    asked = materialize(postings.select("word").distinct().join(valid, "word", "left"), "asked")
 
     def keys(ws: list) -> dict[str, list]:
         rows = [(w, i, k) for w in ws for i, k in enumerate(looks(w))]
@@ -320,9 +354,9 @@ def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: s
 
     fixes = map_batches(asked.where("n is null").select("word"), keys, "word string, i int, key string").join(rights, "key").groupBy("word").agg(F.min_by("right", "i").alias("right"))
     told = asked.where("n is not null").select("word", "n", F.lit(None).cast("string").alias("right")).unionByName(fixes.where("word <> right").select("word", F.lit(0).cast("long").alias("n"), "right"))
-    # How frequent a valid word is only matters for words broken over lines.
+    # How frequent a valid word is only matters for words broken over lines. Copies of a text say the same, so they are made one where little is left.
     told = postings.join(told, "word").where("right is not null or what = 'h'").select("digest", F.concat_ws("\t", "word", F.col("n").cast("string"), F.coalesce("right", F.lit(""))).alias("x"))
-    local = materialize(told.groupBy("digest").agg(F.array_join(F.collect_list("x"), "\n").alias("local")), "local")
+    local = materialize(told.groupBy("digest").agg(F.array_join(F.collect_set("x"), "\n").alias("local")), "local")
     # One table by text and document, so that the texts meet what is known of them in one join.
     told = places.select("digest", "doc").distinct().join(own, "doc", "left").join(local, "digest", "left").where("own is not null or local is not null")
     told = materialize(told.select("digest", "doc", "own", "local"), "told")
@@ -387,7 +421,8 @@ class Reader:
         if low is None:
             if len(self.lows) > 100_000:
                 self.lows.clear()
-            low = self.lows[token] = token.strip(_STRIP).lower().translate(_LIGATURES)
+            low = token.strip(_STRIP).lower()
+            low = self.lows[token] = low if low.isascii() else low.translate(_LIGATURES)
         got = self.local.get(low)
         return (token.strip(_STRIP), got[1]) if got and got[1] else None
 
@@ -413,7 +448,7 @@ def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Re
     found: list[tuple[str, str]] = []
     kept: list[tuple[str, str] | None] = []
     last, at = len(lines) - 1, 0
-    blanks = _blank_before(text)
+    blanks = _blank_before(text, last + 1)
     for i, (s, k) in enumerate(lines):
         if blanks[i]:
             kept.append(None)
@@ -422,7 +457,7 @@ def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Re
             if page is not None and n == str(page) or edge and (n in runs_on or not s.isalnum()):
                 found.append(("page_number", s))
                 continue
-        if _SPECK.match(s):
+        if not s[0].isalnum() and _SPECK.match(s):
             continue
         if (edge or k != PROSE) and reader.is_furniture(s, k) or own and edge and reader.is_own(s, k, own):
             found.append(("header", s))
@@ -454,10 +489,13 @@ def repair(lines: list[tuple[str, str]], text: str, page: int | None, reader: Re
     return Repair(fixed.replace("\x02", "").strip("\n"), found)
 
 
-def _blank_before(text: str) -> list[bool]:
-    """For each line with something on it whether an empty one stands before it."""
+def _blank_before(text: str, lines: int) -> list[bool]:
+    """For each of the ``lines`` with something on them whether an empty one stands before it."""
+    every = text.splitlines()
+    if len(every) == lines:
+        return [False] * lines
     out, blank = [], False
-    for x in text.splitlines():
+    for x in every:
         if x.strip(_BLANK):
             out.append(blank)
             blank = False
@@ -542,12 +580,17 @@ def scan_repair(df: DataFrame, know: Knowledge, key: str = "id", text: str = "te
     of = dict(df.dtypes)[key]
 
     def batch(reader: Reader, keys: list, texts: list, pages: list, owns: list, locals_: list) -> dict[str, list]:
-        done = []
-        for i, t, p, own, local in zip(keys, texts, pages, owns, locals_):
-            lines = read_lines(t)
-            if weigh(lines).running:
-                reader.local = {w: (int(n), r) for w, n, r in [x.split("\t") for x in local.split("\n")]} if local else {}
-                done.append((i, repair(lines, t, p, reader, own)))
+        done: list[tuple[object, Repair]] = []
+        last, got = None, None
+        for i, *known in zip(keys, texts, pages, owns, locals_):
+            if known != last:  # copies mostly follow each other, as texts meet what is known of them by digest
+                t, p, own, local = last = known
+                lines, got = read_lines(t), None
+                if weigh(lines).running:
+                    reader.local = {w: (int(n), r) for w, n, r in [x.split("\t") for x in local.split("\n")]} if local else {}
+                    got = repair(lines, t, p, reader, own)
+            if got is not None:
+                done.append((i, got))
         return {"_key": [i for i, _ in done], "repaired": [r.text for _, r in done], "found": [[{"kind": a, "item": b} for a, b in r.found] for _, r in done]}
 
     src = df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.col(page).alias("_p"), F.xxhash64(document).alias("doc"), F.xxhash64(text).alias("digest")).where(F.col(text).isNotNull())

@@ -180,6 +180,38 @@ def test_headers_of_one_document_and_of_two_lines(spark):
     assert not any(got[40 + i] for i in range(5))
 
 
+@given(st.lists(st.sampled_from(["", " ", "12", "- 7 -", "sid 3", "..", "_", "POLISEN   PROTOKOLL", "och gick vidare", "Rad som slutar.", "Akten om kajen 1974", "Bilaga (a", "1. Lista", "kaj; torg", "abc"]), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_edge_lines_are_those_of_the_whole_page(lines):
+    every = [s for s in map(str.strip, lines) if s]
+    numbers = [scan_repair.page_number(s) for s in every]
+    want = {int(n) for i, n in enumerate(numbers) if n and n.isdigit() and (i < scan_repair.TOP or i >= len(every) - scan_repair.BOTTOM)}
+    kept = [s for s, n in zip(every, numbers) if n is None and not scan_repair._SPECK.match(s)]
+    edges, got = scan_repair._edge_lines("\n".join(lines))
+    fit = [s for i, s in enumerate(kept) if (i < scan_repair.TOP or i >= len(kept) - scan_repair.BOTTOM) and len(s) > 3 and s[-1] != "." and s[0] != "1" and ";" not in s]
+    assert got == want and sorted(s for s, _ in edges) == sorted(fit)
+
+
+def test_repair_looks_at_no_more_than_it_needs(spark, monkeypatch):
+    """Of a long page the lines at its edges, of the words those that are seen often enough to be valid."""
+    asked, number = [], scan_repair.page_number
+    monkeypatch.setattr(scan_repair, "page_number", lambda s: asked.append(s) or number(s))
+    edges, numbers = scan_repair._edge_lines("\n".join(["Akten om kajen", "12", *(f"rad {i} av sidan" for i in range(500)), "7"]))
+    assert numbers == {12, 7} and {"Akten om kajen", "rad 499 av sidan"} <= {s for s, _ in edges} and len(asked) < 15
+    sizes, write = {}, scan_repair.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        sizes[tag] = {r["word"] for r in out.collect()} if tag == "looks" else None
+        return out
+
+    monkeypatch.setattr(scan_repair, "materialize", counted)
+    words = spark.createDataFrame([("sedan", 40), ("seclan", 4), ("sedän", 3), ("torn", 5), ("tom", 5), *((f"ovanlig{i}", 1) for i in range(50))], "word string, n long")
+    valid, rights = scan_repair.vocabulary(words)
+    assert {r["word"] for r in valid.collect()} == {"sedan", "torn", "tom"} and {r["right"] for r in rights.collect()} == {"sedan", "torn"}
+    assert sizes["looks"] == {"sedan", "seclan", "torn", "tom"}
+
+
 # ---- 4 ---------------------------------------------------------------------------
 
 texts = st.lists(st.text("ab .!?\n\t", min_size=0, max_size=60), max_size=60).map("".join)
