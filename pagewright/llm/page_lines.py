@@ -46,9 +46,10 @@ def kind(line: str) -> str:
     """What one stripped, non-empty line looks like by itself."""
     words = line.split()
     n = len(words)
-    run = sum([w.islower() for w in words if len(w) > 1])
+    run = len([1 for w in words if w.islower() and len(w) > 1])
     turn = (":" in line or " - " in line) and _TURN.match(line) is not None
-    if not turn and _MARK.match(line):
+    # A word of letters alone begins no mark, unless a number follows it.
+    if not turn and not (n and words[0].isalpha() and (n == 1 or not words[1][0].isdigit())) and _MARK.match(line):
         return ROW if n > 1 else NEUTRAL
     if "|" in line or ";" in line or "  " in line or "\t" in line or "..." in line:
         gaps = len(_GAP.findall(line))

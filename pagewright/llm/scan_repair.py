@@ -349,10 +349,9 @@ def learn(df: DataFrame, text: str = "text", document: str = "pdf_stem", page: s
     asked = materialize(postings.select("word").distinct().join(valid, "word", "left"), "asked")
 
     def keys(ws: list) -> dict[str, list]:
-        rows = [(w, i, k) for w in ws for i, k in enumerate(looks(w))]
-        return dict(zip(("word", "i", "key"), map(list, zip(*rows)))) if rows else {c: [] for c in ("word", "i", "key")}
+        return {"word": ws, "keys": [looks(w) for w in ws]}
 
-    fixes = map_batches(asked.where("n is null").select("word"), keys, "word string, i int, key string").join(rights, "key").groupBy("word").agg(F.min_by("right", "i").alias("right"))
+    fixes = map_batches(asked.where("n is null").select("word"), keys, "word string, keys array<string>").select("word", F.posexplode("keys").alias("i", "key")).join(rights, "key").groupBy("word").agg(F.min_by("right", "i").alias("right"))
     told = asked.where("n is not null").select("word", "n", F.lit(None).cast("string").alias("right")).unionByName(fixes.where("word <> right").select("word", F.lit(0).cast("long").alias("n"), "right"))
     # How frequent a valid word is only matters for words broken over lines. Copies of a text say the same, so they are made one where little is left.
     told = postings.join(told, "word").where("right is not null or what = 'h'").select("digest", F.concat_ws("\t", "word", F.col("n").cast("string"), F.coalesce("right", F.lit(""))).alias("x"))

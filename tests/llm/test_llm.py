@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagewright.llm import leakage, names, near_dup, packing, pii, representative, scan_repair, spam, split, text_stats
+from pagewright.llm import leakage, names, near_dup, packing, page_lines, pii, representative, scan_repair, spam, split, text_stats
 from pagewright.llm.page_lines import read_page
 from pagewright.llm.queries import ORACLE, QUERIES, TOKENIZER
 
@@ -36,6 +36,11 @@ def test_page_kinds(text, runs):
     assert read_page(text).running is runs
 
 
+@pytest.mark.parametrize("line,kind", [("a 1. Rad", "row"), ("ab12) Rad", "row"), ("ab. 12) Rad", "row"), ("ordlang 12 och mer text", "prose"), ("- rad", "row"), ("b) rad", "row"), ("\u3000", "neutral"), ("\x1f", "neutral")])
+def test_line_kinds(line, kind):
+    assert page_lines.kind(line) == kind
+
+
 def test_statistics_and_scores_equal_brute_force(spark):
     rng = random.Random(1)
     texts = [PROSE[: rng.randint(20, 150)] + "." for _ in range(60)] + [LIST[: rng.randint(60, 300)] for _ in range(15)] + [None, "", " \n", LONG, PROSE, PROSE]
